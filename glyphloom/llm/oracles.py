@@ -1,6 +1,13 @@
 """SQL that gives the same rows as queries of this subpackage, over the same tables."""
 
 ORACLES: dict[str, str] = {
+    "p4_found": r"""
+WITH f AS (SELECT DISTINCT frame_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(combined_text), '[\s\p{Z}]+'), lambda x: x <> ''))) AS w FROM frames WHERE combined_text IS NOT NULL),
+g AS (SELECT frame_id, w, len(w) AS n FROM f WHERE len(w) >= 25),
+t AS (SELECT frame_id, n, unnest(w) AS x FROM g),
+p AS (SELECT a.frame_id AS frame_id_a, b.frame_id AS frame_id_b, count(*) AS c, a.n + b.n AS total FROM t a JOIN t b ON a.x = b.x AND a.frame_id < b.frame_id GROUP BY a.frame_id, b.frame_id, a.n, b.n)
+SELECT frame_id_a, frame_id_b FROM p WHERE c * 5 >= (total - c) * 4
+""",
     "p5_found": """
 WITH r AS (SELECT region_id, max_by(struct_pack(v := video_id, u := run_id, c := confidence), ingested_at) AS k FROM regions WHERE region_id IS NOT NULL GROUP BY region_id),
 m AS (SELECT k.v AS video_id, k.u AS run_id, median(k.c) AS exact FROM r WHERE k.c BETWEEN 0 AND 1 AND NOT isnan(k.c) GROUP BY 1, 2)

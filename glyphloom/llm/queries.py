@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import mixing, packing, quantiles, repeated_lines, splitting
+from glyphloom.llm import mixing, near_duplicates, packing, quantiles, repeated_lines, splitting
 from glyphloom.llm.oracles import ORACLES  # noqa: F401
 from glyphloom.session import materialize
 from glyphloom.sources.tables import table
@@ -20,6 +20,20 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+# 4: near-duplicates
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    classes, members = near_duplicates.word_classes(table(spark, folder, "frames", "frame_id", "combined_text"), "frame_id", "combined_text")
+    linked = near_duplicates.similar_classes(classes)
+    return near_duplicates.record_pairs(classes, members, linked).select(F.col("record_a").alias("frame_id_a"), F.col("record_b").alias("frame_id_b"))
+
+
+@query
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per frame: its class of equal texts, its group of similar ones and its number of links."""
+    return near_duplicates.groups(table(spark, folder, "frames", "frame_id", "combined_text"), "frame_id", "combined_text").withColumnRenamed("record", "frame_id")
+
+
 # 5: percentiles
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
