@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import mixing, near_duplicates, packing, quantiles, repeated_lines, splitting
+from glyphloom.llm import lookalikes, mixing, near_duplicates, packing, quantiles, repeated_lines, splitting
 from glyphloom.llm.oracles import ORACLES  # noqa: F401
 from glyphloom.session import materialize
 from glyphloom.sources.tables import table
@@ -20,6 +20,19 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+# 1: look-alike characters
+@query
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.disguised(table(spark, folder, "regions", "region_id", "text"), table(spark, folder, "promotion_records", "promotion_id", "text", "observed_scripts"))
+
+
+@query
+def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every region's text in consistent form, with its scripts."""
+    formed = lookalikes.consistent(table(spark, folder, "regions", "region_id", "text").distinct())
+    return formed.select("region_id", "text", "canonical", lookalikes.scripts(F.col("canonical")).alias("scripts"))
+
+
 # 4: near-duplicates
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
