@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import lookalikes, mixing, near_duplicates, packing, quantiles, repeated_lines, splitting
+from glyphloom.llm import lookalikes, mixing, near_duplicates, packing, quality, quantiles, repeated_lines, splitting
 from glyphloom.llm.oracles import ORACLES  # noqa: F401
 from glyphloom.session import materialize
 from glyphloom.sources.tables import table
@@ -33,6 +33,19 @@ def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
     return formed.select("region_id", "text", "canonical", lookalikes.scripts(F.col("canonical")).alias("scripts"))
 
 
+# 3: quality statistics
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality.shapes(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "promotion_records", "promotion_id", "text"))
+    return rows.filter("text_shape <> 'prose'").select("record_kind", "record_id", "text_shape").distinct()
+
+
+@query
+def p3_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """All statistics of every document."""
+    return quality.statistics(table(spark, folder, "documents", "doc_id", "text")).drop("text")
+
+
 # 4: near-duplicates
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,11 +79,8 @@ def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     _, documents = repeated_lines.repeated_document_lines(table(spark, folder, "documents"))
-    lines = table(spark, folder, "text_lines", "line_id", "video_id", "frame_id", "line_index", "text")
-    _, frames = repeated_lines.repeated_frame_lines(lines)
-    # A line is identified by its place in the frame; its ids come from the table.
-    ids = lines.withColumn("item", F.xxhash64(repeated_lines.letters(F.col("text")))).select("line_id", "video_id", "frame_id", "line_index", "item")
-    found = ids.join(frames, ["video_id", "frame_id", "line_index", "item"], "left_semi").select("line_id").distinct()
+    _, frames = repeated_lines.repeated_frame_lines(table(spark, folder, "text_lines", "line_id", "video_id", "frame_id", "line_index", "text"))
+    found = frames.select("line_id").distinct()
     return documents.select(F.lit("document").alias("record_kind"), F.col("doc_id").alias("record_id"), "line_number").unionByName(
         found.select(F.lit("text_line").alias("record_kind"), F.col("line_id").alias("record_id"), F.lit(0).alias("line_number"))
     )
