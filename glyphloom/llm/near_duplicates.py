@@ -7,11 +7,12 @@ is not looked at). Each probe chooses its own unequal thresholds by dynamic prog
 partitions (those of common words) are skipped and the others may differ by one bit.
 
 * Correlated words share a partition: words are put in an order in which each follows those it occurs with, and a partition is a
-  stretch of that order. The order is fitted on a bounded sample (``SAMPLE`` sets); it affects speed, never the result.
+  stretch of that order that holds its share of the bits' entropy. The order is fitted on a bounded sample (``SAMPLE`` sets); it affects speed, never the result.
 * Word frequencies are counted over all sets. Only words in more than one set in ``COMMON`` are listed one by one, which is no more than
   ``COMMON`` times the mean set size; rarer words get places by their hash.
 * Sets are indexed in size classes a quarter apart; a probe looks into its own class and the one below, for sets no larger than itself.
-* Every candidate is verified on the words themselves.
+* Index and probe carry the parity of each of 64 groups of bits: sets differ in at least as many bits as in parities, so most candidates end in the
+  join that makes them. Every other one is verified on the words themselves.
 
 Equal sets are one class throughout. Their members are listed beside it and never paired within the operator.
 """
@@ -110,7 +111,7 @@ class Layout:
         sample = [r[0] for r in hashed.orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE).select(F.array_intersect("bits", known)).collect()]
         order = top[correlated_order(sample, words[top])] if len(top) else np.array([], int)
         place = _by_hash(words)
-        mass = share[order]
+        mass = -share[order] * np.log(share[order]) - (1 - share[order]) * np.log1p(-share[order])
         place[order] = (np.cumsum(mass) - mass / 2) / max(mass.sum(), 1e-9)
         return Layout(words, share, place.clip(0, 1 - 1e-9), n, max(0.0, total / n - share.sum()), size_classes(least, most))
 
@@ -154,7 +155,7 @@ def _tag(scheme: int, part: np.ndarray, kind: int) -> np.ndarray:
 
 
 def _signatures(layout: Layout, probe: bool):
-    """Rows (sig, class_id, size): what a set leaves in the index, or what it looks for there."""
+    """Rows (sig, class_id, size, parity): what a set leaves in the index, or what it looks for there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends = np.array(layout.ends)
@@ -169,6 +170,8 @@ def _signatures(layout: Layout, probe: bool):
             place = np.where(known, layout.place[at] if len(layout.words) else 0.0, _by_hash(bits))
             odd = np.where(known, odds[at] if len(layout.words) else 0.0, rare_odds)
             weight = _scramble(bits.astype(np.uint64))
+            parity = np.zeros(len(batch), np.uint64)
+            np.bitwise_xor.at(parity, owner, np.uint64(1) << (weight >> np.uint64(58)))
             own = np.searchsorted(ends, size, side="right") - 1
             for scheme in np.unique(np.concatenate([own, own - 1]) if probe else own):
                 if scheme < 0:
@@ -180,9 +183,9 @@ def _signatures(layout: Layout, probe: bool):
                 m = partitions_of(high)
                 step = max(1, int(4_000_000 // (m * (high // 4 + 8))))
                 for start in range(0, len(chosen), step):
-                    yield from self_rows(layout, chosen[start : start + step], scheme, m, low, high, ids, size, owner, place, odd, weight, probe)
+                    yield from self_rows(layout, chosen[start : start + step], scheme, m, low, high, ids, size, owner, place, odd, weight, parity, probe)
 
-    def self_rows(layout, rows, scheme, m, low, high, ids, size, owner, place, odd, weight, probe):
+    def self_rows(layout, rows, scheme, m, low, high, ids, size, owner, place, odd, weight, parity, probe):
         back = np.full(len(ids), -1)
         back[rows] = np.arange(len(rows))
         mine = back[owner] >= 0
@@ -197,7 +200,7 @@ def _signatures(layout: Layout, probe: bool):
         parts = np.broadcast_to(np.arange(m), total.shape)
 
         def out(sig: np.ndarray, who: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"sig": sig.astype(np.int64), "class_id": ids[rows[who]], "size": size[rows[who]].astype(np.int32)})
+            return pd.DataFrame({"sig": sig.astype(np.int64), "class_id": ids[rows[who]], "size": size[rows[who]].astype(np.int32), "parity": parity[rows[who]].astype(np.int64)})
 
         whole = lambda kind, keep: out(_scramble(total[keep] ^ _tag(scheme, parts[keep], kind)), np.broadcast_to(np.arange(len(rows))[:, None], total.shape)[keep])
         lacking = lambda kind, keep: out(_scramble(less[keep] ^ _tag(scheme, part[keep], kind)), row[keep])
@@ -223,7 +226,7 @@ def _signatures(layout: Layout, probe: bool):
     return run
 
 
-SIGNATURE = "sig long, class_id long, size int"
+SIGNATURE = "sig long, class_id long, size int, parity long"
 
 
 def similar_classes(classes: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -231,8 +234,9 @@ def similar_classes(classes: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     layout = Layout.fit(classes, least)
     bits = classes.select("class_id", "size", F.transform("words", lambda w: F.xxhash64(w)).alias("bits"))
     index = bits.mapInPandas(_signatures(layout, False), SIGNATURE)
-    probes = bits.mapInPandas(_signatures(layout, True), SIGNATURE).select("sig", F.col("class_id").alias("probe"), F.col("size").alias("probe_size"))
+    probes = bits.mapInPandas(_signatures(layout, True), SIGNATURE).select("sig", F.col("class_id").alias("probe"), F.col("size").alias("probe_size"), F.col("parity").alias("probe_parity"))
     fits = (F.col("class_id") != F.col("probe")) & (F.col("size") <= F.col("probe_size")) & (F.col("size") * ALL >= F.col("probe_size") * SAME)
+    fits &= F.bit_count(F.col("parity").bitwiseXOR(F.col("probe_parity"))) * (SAME + ALL) <= F.col("size") + F.col("probe_size")
     pairs = probes.join(index, "sig").filter(fits).select(F.least("class_id", "probe").alias("class_a"), F.greatest("class_id", "probe").alias("class_b")).distinct()
     sets = classes.select("class_id", "words")
     both = F.size(F.array_intersect("words_a", "words_b"))
