@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import lookalikes, mixing, near_duplicates, packing, quality, quantiles, repeated_lines, splitting
+from glyphloom.llm import languages, lookalikes, mixing, near_duplicates, packing, quality, quantiles, repeated_lines, splitting
 from glyphloom.llm.oracles import ORACLES  # noqa: F401
 from glyphloom.session import materialize
 from glyphloom.sources.tables import table
@@ -75,6 +75,22 @@ def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge(daily, keys), keys, [0.05, 0.25, 0.5, 0.75, 0.95])
 
 
+# 6: languages
+def _language_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "documents", "doc_id", "source", "lang", "text"), table(spark, folder, "workbook_rows", "row_id", "source_language", "original_text")
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.mislabelled(languages.recognised(*_language_tables(spark, folder)))
+
+
+@query
+def p6_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment with its language and confidence."""
+    return languages.recognised(*_language_tables(spark, folder), details=True)
+
+
 # 7: repeated lines
 @query
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
