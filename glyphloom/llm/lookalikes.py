@@ -51,6 +51,12 @@ def _ranges(points: list[int]) -> str:
     return "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in out)
 
 
+def wide_maps() -> tuple[str, str]:
+    """Full-width forms of ASCII characters, and unusual spaces."""
+    spaces = [chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) == "Zs" and c != 0x20]
+    return "".join(map(chr, range(0xFF01, 0xFF5F))) + "".join(spaces), "".join(map(chr, range(0x21, 0x7F))) + " " * len(spaces)
+
+
 @lru_cache(1)
 def single_maps() -> tuple[str, str]:
     """Characters with a one-character ordinary form: full-width forms and unusual spaces (compatibility decomposition), and canonical twins."""
