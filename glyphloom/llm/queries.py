@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import languages, lookalikes, mixing, near_duplicates, packing, quality, quantiles, repeated_lines, splitting
+from glyphloom.llm import languages, lookalikes, mixing, near_duplicates, packing, quality, quantiles, repeated_lines, scans, splitting
 from glyphloom.llm.oracles import ORACLES  # noqa: F401
 from glyphloom.session import materialize
 from glyphloom.sources.tables import table
@@ -33,6 +33,22 @@ def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
     return formed.select("region_id", "text", "canonical", lookalikes.scripts(F.col("canonical")).alias("scripts"))
 
 
+# 2: scanned pages
+def _scan_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, folder, "regions"), table(spark, folder, "paragraphs", "paragraph_id", "text"), table(spark, folder, "benchmark_slides", "benchmark_id", "candidate_text")
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.scan_noise(*_scan_tables(spark, folder))
+
+
+@query
+def p2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraph and candidate texts as continuous readable paragraphs."""
+    return scans.readable_paragraphs(*_scan_tables(spark, folder))
+
+
 # 3: quality statistics
 @query
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
