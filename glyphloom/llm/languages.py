@@ -47,6 +47,9 @@ SURE = 0.8
 #: The confidence that a language needs in order to speak against a label or beside another language.
 CONTRADICTS = 0.95
 LEAST_LETTERS = 8
+IS_CYRILLIC = np.array([code == "ru" for code in LANGUAGES])
+#: Score taken off a language that isn't written in the segment's script.
+IMPOSSIBLE = 30.0
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n[ \t]*\n+")
 _VOWELS = "aeiouyáéíóúàèìòùâêîôûäëïöüãõåæœаеёиоуыэюя"
@@ -88,8 +91,8 @@ IS_VOWEL = np.zeros(0x600, bool)
 IS_VOWEL[[ord(c) for c in _VOWELS]] = True
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers of all texts in a row (pairs and triples interleaved per character), where each text's begin, its letters, and its vowels."""
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers of all texts in a row (a pair and a triple per character), where each text's begin, and its numbers of letters, vowels and Cyrillic letters."""
     joined = " ".join(texts) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     c = CODES[np.minimum(points, 0x5FF)]
@@ -107,7 +110,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     # A triple's middle and a pair's first character must be letters; the others point at an unused number.
     both = np.empty((len(c), 2), np.uint32)
     both[:, 0], both[:, 1] = np.where(letter, pair, WIDTH), np.where(letter, triple, WIDTH)
-    return both, start, np.add.reduceat(letter, start, dtype=np.int64), np.add.reduceat(IS_VOWEL[np.minimum(c, 0x5FF)], start, dtype=np.int64)
+    count = lambda what: np.add.reduceat(what, start, dtype=np.int64)
+    return both, start, np.stack([count(letter), count(IS_VOWEL[np.minimum(c, 0x5FF)]), count((c >= 0x400) & (c < 0x530))])
 
 
 def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +120,7 @@ def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
         texts = [t for t in batch["text"] if t]
         if not texts:
             continue
-        number, start, _, _ = features(texts)
+        number, start, _ = features(texts)
         ends = [*start[1:].tolist(), len(number)]
         for a, b in zip(start.tolist(), ends):
             own = number[a:b].ravel()
@@ -129,8 +133,8 @@ def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
     yield pd.DataFrame({"feature": at, "n": total[at]})
 
 
-def inverse_frequencies(records: DataFrame) -> np.ndarray:
-    """The IDF of every feature, over all records; a task sends at most one row per feature."""
+def inverse_frequencies(records: DataFrame) -> tuple[np.ndarray, int]:
+    """The IDF of every feature over all records, and their number; a task sends at most one row per feature."""
     counts = records.select("text").mapInPandas(_document_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     df = np.zeros(WIDTH + 1)
     for r in counts.collect():  # no more than WIDTH + 1 rows
@@ -139,12 +143,12 @@ def inverse_frequencies(records: DataFrame) -> np.ndarray:
     idf = np.log((1 + n) / (1 + df)) + 1
     idf[df == 0] = 0
     idf[WIDTH] = 0
-    return idf.astype(np.float32)
+    return idf.astype(np.float32), int(n)
 
 
 def scores(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unscaled class scores of each text, with its letters and vowels. ``weights`` has the IDF in it and a row of zeros at the end."""
-    number, start, letters, vowels = features(texts)
+    number, start, (letters, vowels, cyrillic) = features(texts)
     total = np.zeros((len(texts), weights.shape[1]), np.float32)
     step = 1 << 20
     # Whole texts are summed in stretches that fit the cache.
@@ -156,7 +160,10 @@ def scores(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
         part += weights[number[a:b, 1]]
         total[first:last] = np.add.reduceat(part, start[first:last] - a, axis=0)
         first = last
-    return total / np.maximum(letters, 1)[:, None], letters, vowels
+    total /= np.maximum(letters, 1)[:, None]
+    # The script settles what it can.
+    total[(cyrillic * 2 > letters)[:, None] != IS_CYRILLIC] -= IMPOSSIBLE
+    return total, letters, vowels
 
 
 class Ftrl:
@@ -207,7 +214,7 @@ def fit(texts: list[str], targets: np.ndarray, idf: np.ndarray, epochs: int = 2,
         for _ in range(epochs):
             for k in range(0, len(chosen), batch):
                 rows = chosen[k : k + batch]
-                number, start, letters, _ = features([texts[i] for i in rows])
+                number, start, (letters, _, _) = features([texts[i] for i in rows])
                 owner = np.repeat(np.arange(len(rows)), np.diff(np.append(start, len(number))))
                 pairs = np.concatenate([owner * (WIDTH + 1) + number[:, 0], owner * (WIDTH + 1) + number[:, 1]])
                 pairs, count = np.unique(pairs[pairs % (WIDTH + 1) < WIDTH], return_counts=True)
@@ -233,18 +240,22 @@ def fit(texts: list[str], targets: np.ndarray, idf: np.ndarray, epochs: int = 2,
     return (w * grid[int(np.argmin(losses))]).astype(np.float32)
 
 
-def train_on(records: DataFrame, idf: np.ndarray, sample: int = SAMPLE, most: int = SEGMENTS) -> np.ndarray:
-    """Fit on the segments of up to ``sample`` records with a known ``label``, in the order of a hash of their text."""
-    rows = records.filter(F.col("label").isNotNull() & (F.length("text") >= 20)).select("text", "label", F.xxhash64("text").alias("h")).orderBy("h", "text", "label").limit(sample).collect()
-    texts, targets = [], []
-    for r in rows:
-        own = segments(r[0])
-        texts += own
-        targets += [LANGUAGES.index(r[1])] * len(own)
-        if len(texts) >= most:
-            break
-    kept = [k for k, t in enumerate(texts[:most]) if len(t) >= 20]
-    return fit([texts[k] for k in kept], np.array([targets[k] for k in kept], np.int64), idf)
+def _labelled_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(t, k) for text, k in zip(batch["text"], batch["label"]) for t in segments(text) if len(t) >= 20]
+        yield pd.DataFrame(rows, columns=["text", "label"])
+
+
+def train_on(records: DataFrame, idf: np.ndarray, n: int, sample: int = SAMPLE, most: int = SEGMENTS) -> np.ndarray:
+    """Fit on segments of about ``sample`` of the ``n`` records, drawn by a hash of their text if they have a known ``label``; of up to ``most`` segments, drawn by another.
+
+    Records are drawn by a share of the hash's range and cut where they lie, so that tasks send only segments of the sample.
+    """
+    share = min(1.0, 1.25 * sample / max(n, 1))
+    drawn = records.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share) or 1)))
+    cut = drawn.select("text", "label").mapInPandas(_labelled_segments, "text string, label string")
+    rows = cut.orderBy(F.xxhash64("text", "label"), "text", "label").limit(most).collect()
+    return fit([r[0] for r in rows], np.array([LANGUAGES.index(r[1]) for r in rows], np.int64), idf)
 
 
 def _path(p: np.ndarray) -> np.ndarray:
@@ -322,8 +333,8 @@ def records(documents: DataFrame, workbook: DataFrame) -> DataFrame:
 def recognised(documents: DataFrame, workbook: DataFrame, details: bool = False) -> DataFrame:
     """``record_kind, record_id, label, language, confidence, letters``: a row for each language of each record. With ``details``, a row for each segment instead."""
     raw = documents.select(label(F.col("lang")).alias("label"), "text").unionByName(workbook.select(label(F.col("source_language")).alias("label"), F.col("original_text").alias("text")))
-    idf = inverse_frequencies(raw)
-    weights = documents.sparkSession.sparkContext.broadcast(train_on(raw, idf))
+    idf, n = inverse_frequencies(raw)
+    weights = documents.sparkSession.sparkContext.broadcast(train_on(raw, idf, n))
     schema = "record_kind string, record_id long, label string, " + ("segment int, segment_text string, language string, confidence double" if details else "language string, confidence double, letters long")
     return records(documents, workbook).select("record_kind", "record_id", "label", "body").mapInPandas(_recognise(weights, details), schema)
 
