@@ -2,42 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from glyphloom.plans import confidence, layout, reports, rules, scoring, slides, translation  # noqa: F401
+from glyphloom.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from glyphloom.sources.tables import latest, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register the decorated function under its own name, with the SQL that gives the same rows."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-REGION_COLUMNS = ("region_id", "video_id", "run_id", "confidence", "ingested_at")
-
-
-@query("""
-WITH r AS (SELECT region_id, max_by(struct_pack(v := video_id, c := confidence), ingested_at) AS k FROM regions WHERE region_id IS NOT NULL GROUP BY region_id),
-u AS (SELECT k.v AS video_id, k.c AS c FROM r WHERE k.c BETWEEN 0 AND 1 AND NOT isnan(k.c))
-SELECT video_id, count(*) AS region_count, min(c) AS minimum, max(c) AS maximum, round(avg(c), 6) AS mean, round(median(c), 6) AS median,
- count(*) FILTER (WHERE c < 0.6::DOUBLE) AS below_threshold_count, round(count(*) FILTER (WHERE c < 0.6::DOUBLE) / count(*), 6) AS below_threshold_proportion
-FROM u GROUP BY video_id
-""")
-def doc_confidence_stats(spark: SparkSession, folder: str) -> DataFrame:
-    from glyphloom.operators.confidence import confidence_stats
-
-    regions = latest(table(spark, folder, "regions", *REGION_COLUMNS), "region_id", "ingested_at")
-    return confidence_stats(regions.filter(F.col("confidence").between(0, 1)), ["video_id"])
+__all__ = ["ORACLES", "QUERIES"]
