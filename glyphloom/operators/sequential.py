@@ -6,7 +6,10 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from glyphloom.session import materialize
 
 
 def per_group(df: DataFrame, keys: list[str], order: list[str], algorithm: Callable[[tuple, Iterator[tuple]], Iterable[tuple]], schema: str, rows_out: int = 4096) -> DataFrame:
@@ -35,3 +38,17 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], algorithm: Calla
 
     names = StructType.fromDDL(schema).names
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """``df`` with ``name``: each row's place (from 1) in the order of all rows, without bringing them together.
+
+    Rows are ranged over tasks and numbered within them; a task's offset is the sum of the sizes of those before, one row per task.
+    """
+    low = (1 << 33) - 1
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    placed = materialize(ranged.withColumns({"__part": F.shiftright("__id", 33), "__row": F.col("__id").bitwiseAND(F.lit(low))}).drop("__id"))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__part", before.alias("__before"))
+    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__row") + 1).drop("__part", "__row", "__before")

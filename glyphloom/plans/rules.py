@@ -192,3 +192,14 @@ def repeated_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     both = rows.withColumn("before", before)
     same = F.coalesce(normalise(F.col("text")) == normalise(F.col("before")), F.lit(False))
     return both.select("line_id", F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit("(blank)")).alias("shown"), same.alias("repeats"))
+
+
+@query(
+    """SELECT time_bucket(INTERVAL '1 hour', ts) AS started, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2"""
+)
+def windowed_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The streaming operator's windows over the whole table at once."""
+    from glyphloom.streaming.frames import windowed_counts
+
+    rows = windowed_counts(table(spark, folder, "events", "ts", "event_type", "value"), "ts", ["event_type"], "1 hour")
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("started"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))

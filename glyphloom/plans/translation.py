@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions.text import language_code, language_name, numeric_tokens
+from glyphloom.operators import sequential
 from glyphloom.operators import translation as ops
 from glyphloom.plans.base import query
 from glyphloom.sources.tables import table
@@ -58,10 +59,10 @@ def _results(spark: SparkSession, folder: str) -> DataFrame:
  row_number() OVER (ORDER BY w.source_reference, w.target_language, w.ordering_index, w.row_id) AS place FROM w JOIN res ON w.request_id = res.request_id AND w.row_id = res.row_id WHERE w.row_id % 7 <> 0"""
 )
 def export_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows and results on their key, numbered in export order (a report's numbering: one sorted sequence)."""
+    """Rows and results on their key, numbered in export order (over all rows, though no task sees them all)."""
     rows = workbook(spark, folder).join(_results(spark, folder), ["request_id", "row_id"])
     numbered = rows.select("request_id", "row_id", "source_item_id", "target_language", "original_text", "status", "translated_text", "source_reference", "ordering_index")
-    return numbered.withColumn("place", F.row_number().over(Window.orderBy("source_reference", "target_language", "ordering_index", "row_id")).cast("long")).drop("source_reference", "ordering_index")
+    return sequential.numbered(numbered, ["source_reference", "target_language", "ordering_index", "row_id"]).drop("source_reference", "ordering_index")
 
 
 @query(

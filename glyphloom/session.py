@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -15,6 +14,7 @@ BROADCAST_ROWS = 200_000
 HOT_SHARE = 200
 #: Rows of one hot key that a salted task should get at most.
 ROWS_PER_SALT = 200_000
+SALT = "__salt"
 
 
 def session(app: str = "glyphloom", cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -35,8 +35,6 @@ def session(app: str = "glyphloom", cores: str | int = "*", partitions: int = 8)
 def shared_folder(spark: SparkSession) -> str:
     """The folder for cut lineage: the session's ``spark.checkpoint.dir``, or one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = spark.sparkContext.getConf().get("spark.glyphloom.own.dir")
     if not folder:
         folder = getattr(spark, "_glyphloom_folder", None)
     if not folder:
@@ -84,14 +82,10 @@ def join_hot(fact: DataFrame, dim: DataFrame, key: str, weight: str, how: str =
     salts = max(-(-n // ROWS_PER_SALT) for _, n in hot)
     hashes = [h for h, _ in hot]
     spread = F.when(F.xxhash64(key).isin(hashes), F.pmod(F.xxhash64(*fact.columns), F.lit(salts))).otherwise(F.lit(0))
-    every: Column = F.when(F.xxhash64(key).isin(hashes), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = fact.withColumn("_salt", spread.cast("int"))
-    right = dim.drop(weight).withColumn("_salt", F.explode(every).cast("int"))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
-
-
-def cores(spark: SparkSession) -> int:
-    return max(1, int(os.environ.get("GLYPHLOOM_TASKS", 0)) or spark.sparkContext.defaultParallelism)
+    every: Column = F.explode(F.when(F.xxhash64(key).isin(hashes), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    left = fact.withColumn(SALT, spread.cast("int"))
+    right = dim.drop(weight).withColumn(SALT, every)
+    return left.join(right, [key, SALT], how).drop(SALT)
 
 
 def ship(spark: SparkSession) -> None:
