@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphloom.functions.text import observed_scripts
 from glyphloom.session import join_hot, materialize
 
 # Letters that look like Latin ones, in pairs.
@@ -155,28 +156,14 @@ def canonical_forms(texts: DataFrame) -> DataFrame:
 
 
 def consistent(records: DataFrame, text: str = "text") -> DataFrame:
-    """``records`` with ``canonical``, the consistent form of ``text``; all rows and other columns stay."""
-    if "canonical" in records.columns:
-        raise ValueError("the records have a column named canonical")
+    """``records`` with ``canonical``, the consistent form of ``text``; all rows and other columns stay, but a column of that name is replaced."""
+    records = records.drop("canonical")
     names = records.columns
-    own = records.withColumnRenamed(text, "text") if text != "text" else records
-    changes = may_change(F.col("text"))
-    forms = materialize(canonical_forms(own.select("text")))
-    changed = join_hot(own.filter(changes), forms, "text", "n")
-    same = own.filter(F.col("text").isNull() | ~changes).withColumn("canonical", F.col("text"))
-    both = changed.select(*same.columns).unionByName(same)
-    return both.withColumnRenamed("text", text).select(*names, "canonical") if text != "text" else both.select(*names, "canonical")
-
-
-# The names of observed scripts, in the order in which they are listed, with their Unicode properties.
-SCRIPTS = [("Latin", "IsLatin"), ("Hebrew", "IsHebrew"), ("Arabic", "IsArabic"), ("Cyrillic", "IsCyrillic"), ("Hangul", "IsHangul"), ("Han", "IsHan")]
-
-
-def scripts(text: Column) -> Column:
-    """The scripts of the letters of ``text``, in listed order; letters of no listed script count as Other/Unknown. Null has none."""
-    listed = "".join(rf"\p{{{p}}}" for _, p in SCRIPTS)
-    tests = [(name, rf"[\p{{L}}&&\p{{{p}}}]") for name, p in SCRIPTS] + [("Other/Unknown", rf"[\p{{L}}&&[^{listed}]]")]
-    return F.array_compact(F.array(*[F.when(text.rlike(test), F.lit(name)) for name, test in tests]))
+    changes = may_change(F.col(text))
+    forms = materialize(canonical_forms(records.select(F.col(text).alias("text")))).withColumnsRenamed({"text": text, "n": "__rows"})
+    changed = join_hot(records.filter(changes), forms, text, "__rows")
+    same = records.filter(F.col(text).isNull() | ~changes).withColumn("canonical", F.col(text))
+    return changed.select(*names, "canonical").unionByName(same)
 
 
 def disguised(regions: DataFrame, promotions: DataFrame) -> DataFrame:
@@ -185,6 +172,6 @@ def disguised(regions: DataFrame, promotions: DataFrame) -> DataFrame:
         promotions.select(F.lit("promotion").alias("record_kind"), F.col("promotion_id").alias("record_id"), "text", F.col("observed_scripts").alias("observed"))
     )
     formed = consistent(rows)
-    other = F.array_sort(F.coalesce("observed", F.array().cast("array<string>"))) != F.array_sort(scripts(F.col("canonical")))
+    other = F.array_sort(F.coalesce("observed", F.array().cast("array<string>"))) != F.array_sort(observed_scripts(F.col("canonical")))
     found = F.when(F.col("record_kind") == "region", F.col("text") != F.col("canonical")).otherwise(other)
     return formed.filter(found).select("record_kind", "record_id").distinct()

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.llm import languages, lookalikes, mixing, near_duplicates, packing, quality, quantiles, repeated_lines, scans, splitting
+from glyphloom.functions.text import observed_scripts
 from glyphloom.llm.oracles import ORACLES  # noqa: F401
-from glyphloom.session import materialize
 from glyphloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +30,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every region's text in consistent form, with its scripts."""
     formed = lookalikes.consistent(table(spark, folder, "regions", "region_id", "text").distinct())
-    return formed.select("region_id", "text", "canonical", lookalikes.scripts(F.col("canonical")).alias("scripts"))
+    return formed.select("region_id", "text", "canonical", observed_scripts(F.col("canonical")).alias("scripts"))
 
 
 # 2: scanned pages
