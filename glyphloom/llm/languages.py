@@ -310,7 +310,7 @@ def _recognise(weights: Column | np.ndarray, details: bool):
                         found.append((c, sure, int(size[held].sum())))
                     k = own[f]
                     if details:
-                        rows += [(kind[k], key[k], known[k], n, texts[i], LANGUAGES[c], float(math.exp(q))) for n, (i, c, q) in enumerate(zip(kept[f:end].tolist(), path.tolist(), mine[np.arange(len(path)), path].tolist()), 1)]
+                        rows += [(kind[k], key[k], known[k], n, texts[i], LANGUAGES[c], min(1.0, float(math.exp(q)))) for n, (i, c, q) in enumerate(zip(kept[f:end].tolist(), path.tolist(), mine[np.arange(len(path)), path].tolist()), 1)]
                     else:
                         rows += [(kind[k], key[k], known[k], LANGUAGES[c], sure, size) for c, sure, size in found if sure >= SURE]
         return pd.DataFrame(rows, columns=SEGMENT_COLUMNS if details else COLUMNS)

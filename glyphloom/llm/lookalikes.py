@@ -127,8 +127,12 @@ def composed(text: pd.Series) -> pd.Series:
 
 def visible(text: Column) -> Column:
     """``text`` without characters that cannot be seen; joiners stay beside letters of scripts that need them."""
-    joiners = rf"(?<![{JOINING}])[\x{{200c}}\x{{200d}}]|[\x{{200c}}\x{{200d}}](?![{JOINING}])"
-    return F.regexp_replace(F.regexp_replace(text, joiners, ""), r"[\p{Cf}\x00-\x08\x0e-\x1f\x7f\x{80}-\x{9f}" + _ranges(sorted(map(ord, UNSEEN))) + r"&&[^\x{200c}\x{200d}]]", "")
+    # Joiners that belong are put aside as noncharacters: a look-behind would see half of a character beyond the basic plane.
+    aside = text
+    for joiner, stand_in in zip("\u200c\u200d", "\ufdd0\ufdd1"):
+        aside = F.regexp_replace(aside, rf"([{JOINING}]){joiner}(?=[{JOINING}])", f"$1{stand_in}")
+    shown = F.regexp_replace(aside, r"[\p{Cf}\x00-\x08\x0e-\x1f\x7f\x{80}-\x{9f}" + _ranges(sorted(map(ord, UNSEEN))) + "]", "")
+    return F.translate(shown, "\ufdd0\ufdd1", "\u200c\u200d")
 
 
 def canonical_forms(texts: DataFrame) -> DataFrame:
