@@ -43,11 +43,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to cut lineage; nothing that was made from them can be read afterwards."""
+    folder = shared_folder(spark)
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/{spark.sparkContext.applicationId}-*")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(pattern) or []:
+        files.delete(found.getPath(), True)
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends there.
 
     A written table is computed once (an eager ``checkpoint()`` runs its plan twice), is columnar,
     and has a known size, so that joins on it are planned by size. A lost executor costs only its tasks.
+    The tables stay until ``release`` or until the folder is cleaned.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
