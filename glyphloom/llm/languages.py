@@ -66,11 +66,12 @@ def segments(text: str) -> list[str]:
     """The sentences of ``text``; long ones, and lines without sentences, in runs of ``RUN`` words."""
     out = []
     for part in _SENTENCE.split(text):
-        words = part.split()
-        if len(words) <= RUN + RUN // 2:
-            if words:
-                out.append(" ".join(words))
+        line = part.replace("\n", " ").strip()
+        if line.count(" ") < RUN + RUN // 2:
+            if line:
+                out.append(line)
         else:
+            words = line.split()
             for k in range(0, len(words), RUN):
                 out.append(" ".join(words[k : k + RUN]))
     return out
@@ -116,6 +117,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total, seen, n = np.zeros(WIDTH + 1, np.int64), np.zeros(WIDTH + 1, np.uint8), 0
+    few, some = np.zeros(WIDTH + 1, np.uint16), 0  # narrow counters are added to fast, and emptied before they could overflow
     for batch in batches:
         texts = [t for t in batch["text"] if t]
         if not texts:
@@ -125,9 +127,14 @@ def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
         for a, b in zip(start.tolist(), ends):
             own = number[a:b].ravel()
             seen[own] = 1
-            total += seen
+            few += seen
             seen[own] = 0
+            some += 1
+            if some == 60_000:
+                total += few
+                few[:], some = 0, 0
         n += len(texts)
+    total += few
     total[WIDTH] = n
     at = np.flatnonzero(total)
     yield pd.DataFrame({"feature": at, "n": total[at]})
