@@ -34,10 +34,30 @@ def _verified(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("benchmark_id", "video_id", collapse(F.col("reference_text")).alias("r"), collapse(F.col("candidate_text")).alias("c"))
 
 
+def _edited(spark: SparkSession, folder: str) -> DataFrame:
+    """Every verified pair with its length and distance in characters."""
+    return _verified(spark, folder).withColumns({"n": F.length("r"), "e": F.levenshtein("r", "c")})
+
+
 def _ascii(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs that both engines' distances agree on: the oracle's counts bytes."""
-    rows = _verified(spark, folder).filter(~F.concat("r", "c").rlike(r"[^\x00-\x7F]"))
-    return rows.withColumns({"n": F.length("r"), "e": F.levenshtein("r", "c")})
+    """The pairs that both engines' distances agree on, as the oracle's counts bytes: a check of the rates, not a report. The ``_all`` queries take every pair."""
+    return _edited(spark, folder).filter(~F.concat("r", "c").rlike(r"[^\x00-\x7F]"))
+
+
+def _rates(edited: DataFrame) -> DataFrame:
+    return edited.select("benchmark_id", F.col("e").cast("long").alias("errors"), F.round(F.when(F.col("n") > 0, F.col("e") / F.col("n")), 9).alias("cer"))
+
+
+def _weighted(edited: DataFrame) -> DataFrame:
+    rate = F.when(F.col("n") > 0, F.col("e") / F.col("n"))
+    return edited.groupBy("video_id").agg(
+        F.sum("e").alias("errors"), F.sum("n").alias("length"), F.round(F.try_divide(F.sum("e"), F.sum("n")), 9).alias("weighted_cer"), F.round(F.avg(rate), 9).alias("mean_cer")
+    )
+
+
+def _worst(edited: DataFrame) -> DataFrame:
+    rows = edited.filter("n > 0").withColumn("rate", F.col("e") / F.col("n"))
+    return rows.orderBy(F.desc_nulls_last("rate"), "benchmark_id").limit(5).select("benchmark_id", F.round("rate", 9).alias("cer"))
 
 
 @query(
@@ -65,22 +85,36 @@ def positional_full_outer(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {ASCII} SELECT benchmark_id, e AS errors, round(CASE WHEN n > 0 THEN e / n END, 9) AS cer FROM s")
 def char_error_rate(spark: SparkSession, folder: str) -> DataFrame:
-    return _ascii(spark, folder).select("benchmark_id", F.col("e").cast("long").alias("errors"), F.round(F.when(F.col("n") > 0, F.col("e") / F.col("n")), 9).alias("cer"))
+    return _rates(_ascii(spark, folder))
+
+
+@query()
+def char_error_rate_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The rate of every verified pair, whatever its script; rows only."""
+    return _rates(_edited(spark, folder))
 
 
 @query(f"WITH {ASCII} SELECT video_id, sum(e)::BIGINT AS errors, sum(n)::BIGINT AS length, round(sum(e) / nullif(sum(n), 0), 9) AS weighted_cer, round(avg(CASE WHEN n > 0 THEN e / n END), 9) AS mean_cer FROM s GROUP BY video_id")
 def weighted_error_rate(spark: SparkSession, folder: str) -> DataFrame:
-    rate = F.when(F.col("n") > 0, F.col("e") / F.col("n"))
-    return _ascii(spark, folder).groupBy("video_id").agg(
-        F.sum("e").alias("errors"), F.sum("n").alias("length"), F.round(F.try_divide(F.sum("e"), F.sum("n")), 9).alias("weighted_cer"), F.round(F.avg(rate), 9).alias("mean_cer")
-    )
+    return _weighted(_ascii(spark, folder))
+
+
+@query()
+def weighted_error_rate_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The rates of each video over all its verified pairs; rows only."""
+    return _weighted(_edited(spark, folder))
 
 
 @query(f"WITH {ASCII} SELECT benchmark_id, round(e / n, 9) AS cer FROM s WHERE n > 0 ORDER BY e / n DESC NULLS LAST, benchmark_id LIMIT 5")
 def worst_slides_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The five worst slides, as in the report."""
-    rows = _ascii(spark, folder).filter("n > 0").withColumn("rate", F.col("e") / F.col("n"))
-    return rows.orderBy(F.desc_nulls_last("rate"), "benchmark_id").limit(5).select("benchmark_id", F.round("rate", 9).alias("cer"))
+    """The five worst slides of those in ASCII."""
+    return _worst(_ascii(spark, folder))
+
+
+@query()
+def worst_slides_topk_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The five worst slides, as in the report; rows only."""
+    return _worst(_edited(spark, folder))
 
 
 @query(
