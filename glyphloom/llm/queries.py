@@ -45,7 +45,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    """Paragraph and candidate texts as continuous readable paragraphs."""
+    """The regions of each frame, and paragraph and candidate texts, as continuous readable paragraphs."""
     return scans.readable_paragraphs(*_scan_tables(spark, folder))
 
 

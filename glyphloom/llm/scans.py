@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +38,8 @@ from glyphloom.sources.tables import latest
 CONFUSIONS = "0 o, 1 l, 1 i, ! i, ! l, | l, | i, 5 s, 6 b, 8 b, 9 g, 3 e, rn m, m rn, vv w, cl d, d cl, ii u, u ii, ri n, n ri, nn m, c e, e c, b h, h b, f t, t f, q g, g q, u v, v u, i l, l i, ı i"
 PAIRS = [tuple(p.split()) for p in CONFUSIONS.split(", ")]
 MARKS = "-¬=‐\xad"
+#: Stands between the texts of a line's regions.
+PART = "\x1f"
 LEAST, RARE = 3, 1e-6
 #: How much more frequent a word must be than a token that is taken for a misreading of it, for each confused place.
 RATIO = 15.0
@@ -312,8 +314,19 @@ def boundaries(lines: list[str], longest: int = 60) -> list[list[str]]:
 
 def repaired(lexicon: Lexicon, text: str) -> list[str]:
     """The paragraphs of a page, in continuous and corrected words."""
+    return repaired_lines(lexicon, page_lines(text)[0])
+
+
+def frame_lines(lines: list[str]) -> list[str]:
+    """The lines of a frame without furniture and blank ones. Each is its regions' texts with ``PART`` between them; a mark at a region's end is one at a line end."""
+    own = [line.split(PART) for line in lines]
+    kept = ["".join(p + ("\n" if _LINE_END.search(p) else " ") for p in parts).rstrip() for parts in own if not is_furniture(" ".join(parts))]
+    return [line for line in kept if line]
+
+
+def repaired_lines(lexicon: Lexicon, kept: list[str]) -> list[str]:
+    """The paragraphs of lines without furniture, in continuous and corrected words."""
     out = []
-    kept, _ = page_lines(text)
     for block in re.split(r"\n[ \t]*\n", "\n".join(kept)):
         for lines in boundaries([x for x in block.split("\n") if x.strip()]):
             joined = "\n".join(x.rstrip() for x in lines)
@@ -337,7 +350,7 @@ def consistent_form(text: Column) -> Column:
 
 
 def region_context(regions: DataFrame) -> DataFrame:
-    """``region_id, video_id, frame, text, before, after, line_text``: the neighbours of a region in reading order, and its line.
+    """``region_id, video_id, frame, text, before, after, line_text, frame_id, source_index, line``: the neighbours of a region in reading order, and its line with its number.
 
     A region is on the line of the one before if they overlap by half in height and it begins behind its end. Regions without a frame stand alone.
     """
@@ -360,9 +373,21 @@ def region_context(regions: DataFrame) -> DataFrame:
         F.regexp_extract("_last", rf"(\p{{L}}+)[{MARKS}]\s*$", 1).alias("before"),
         F.regexp_extract("_next", r"^\s*([^\s.,;:?()]+)", 1).alias("after"),
         F.array_join(F.collect_list("text").over(line), " ").alias("line_text"),
+        "frame_id",
+        "source_index",
+        F.col("_line").alias("line"),
     )
 
 
+def with_known(pieces: DataFrame) -> DataFrame:
+    """``pieces`` (of ``region_context``) with ``known``: true if their line stands in too many frames of its video, else null."""
+    keyed = pieces.withColumn("_k", letters(F.col("line_text"))).withColumn("item", F.when(F.length("_k") >= LEAST_LETTERS, F.xxhash64("_k"))).drop("_k")
+    each = keyed.filter("item IS NOT NULL AND video_id IS NOT NULL").select("video_id", "frame", "item").distinct()
+    totals = each.select("video_id", "frame").distinct().groupBy("video_id").agg(F.count("*").alias("total"))
+    ones = materialize(frequent_lines(each.select("video_id", "item"), totals, "video_id").select("video_id", "item", F.lit(True).alias("known")))
+    return keyed.join(if_small(ones), ["video_id", "item"], "left")
+
+
 def lexicon_counts(texts: DataFrame) -> tuple[DataFrame, int]:
     """``word, n`` of the words that are frequent enough to be known, and the number of all words of ``texts.text``."""
     words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("word"))
@@ -417,30 +442,46 @@ def _shared_lexicon(texts: DataFrame):
 
 def scan_noise(regions: DataFrame, paragraphs: DataFrame, slides: DataFrame) -> DataFrame:
     """``record_kind, record_id, noise_kind``: one row per record and kind of noise in it. Redelivered rows count once."""
-    pieces = materialize(region_context(regions))
+    pieces = materialize(region_context(regions).drop("frame_id", "source_index", "line"))
     pages = materialize(_tables(paragraphs, slides))
     lexicon = _shared_lexicon(pieces.select("text").unionByName(pages.select("text")))
-    keyed = pieces.withColumn("_k", letters(F.col("line_text"))).withColumn("item", F.when(F.length("_k") >= LEAST_LETTERS, F.xxhash64("_k"))).drop("_k")
-    each = keyed.filter("item IS NOT NULL AND video_id IS NOT NULL").select("video_id", "frame", "item").distinct()
-    totals = each.select("video_id", "frame").distinct().groupBy("video_id").agg(F.count("*").alias("total"))
-    ones = materialize(frequent_lines(each.select("video_id", "item"), totals, "video_id").select("video_id", "item", F.lit(True).alias("known")))
-    known = keyed.join(if_small(ones), ["video_id", "item"], "left").filter("text IS NOT NULL")
+    known = with_known(pieces).filter("text IS NOT NULL")
     rows = known.select(F.lit("region").alias("record_kind"), F.col("region_id").alias("record_id"), "text", "before", "after", "line_text", F.coalesce("known", F.lit(False)).alias("known")).unionByName(
         pages.select("record_kind", "record_id", "text", F.lit("").alias("before"), F.lit("").alias("after"), F.lit("").alias("line_text"), F.lit(False).alias("known"))
     )
     return rows.mapInPandas(_examine(lexicon), "record_kind string, record_id long, noise_kind string").distinct()
 
 
+def frame_texts(pieces: DataFrame) -> DataFrame:
+    """``record_kind, record_id, lines``: the lines of each frame in their order, without those known as furniture; regions without a frame are records of their own."""
+    shown = with_known(pieces.drop("before", "after")).filter("known IS NULL AND text IS NOT NULL")
+    part = F.struct("source_index", "region_id", "text")
+    lines = shown.groupBy("frame", "frame_id", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["text"]), PART).alias("body"), F.min("region_id").alias("_region"))
+    frames = lines.groupBy("frame", "frame_id").agg(F.sort_array(F.collect_list(F.struct("line", "body"))).alias("_lines"), F.min("_region").alias("_region"))
+    kind = F.when(F.col("frame_id").isNull(), "region").otherwise("frame")
+    return frames.select(kind.alias("record_kind"), F.coalesce("frame_id", "_region").alias("record_id"), F.transform("_lines", lambda x: x["body"]).alias("lines"))
+
+
+PARAGRAPHS = "record_kind string, record_id long, paragraph_number int, text string"
+
+
 def readable_paragraphs(regions: DataFrame, paragraphs: DataFrame, slides: DataFrame) -> DataFrame:
-    """``record_kind, record_id, paragraph_number, text``: every paragraph and candidate text as continuous readable paragraphs."""
+    """``record_kind, record_id, paragraph_number, text``: every frame's regions, and every paragraph and candidate text, as continuous readable paragraphs.
+
+    The regions of a frame are one text (kind ``frame``), so that a word broken between two of them is one word; a region without a frame is its own (kind ``region``).
+    """
     pages = materialize(_tables(paragraphs, slides))
-    pieces = latest(regions.select("region_id", "text", "ingested_at"), "region_id", "ingested_at").select(consistent_form(F.col("text")).alias("text"))
-    lexicon = _shared_lexicon(pieces.unionByName(pages.select("text")))
+    pieces = materialize(region_context(regions))
+    lexicon = _shared_lexicon(pieces.select("text").unionByName(pages.select("text")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _lexicon(lexicon)
-        for batch in batches:
-            rows = [(kind, key, k, t) for kind, key, text in batch.itertuples(index=False) for k, t in enumerate(repaired(known, text), 1)]
-            yield pd.DataFrame(rows, columns=["record_kind", "record_id", "paragraph_number", "text"])
+    def repair(texts: Callable[[Lexicon, object], list[str]]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = _lexicon(lexicon)
+            for batch in batches:
+                rows = [(kind, key, k, t) for kind, key, text in batch.itertuples(index=False) for k, t in enumerate(texts(known, text), 1)]
+                yield pd.DataFrame(rows, columns=["record_kind", "record_id", "paragraph_number", "text"])
+
+        return run
 
-    return pages.mapInPandas(run, "record_kind string, record_id long, paragraph_number int, text string")
+    frames = frame_texts(pieces).mapInPandas(repair(lambda known, lines: repaired_lines(known, frame_lines(lines))), PARAGRAPHS)
+    return pages.mapInPandas(repair(repaired), PARAGRAPHS).unionByName(frames)

@@ -83,3 +83,19 @@ def test_tables(spark):
     assert not [x for x in got if x[2] == "misread_character"]
     assert scans.scan_noise(r.limit(0), p.limit(0), c.limit(0)).count() == 0
     assert ("paragraph", 3, 1, "every camera") in rows(scans.readable_paragraphs(r, p, c))
+
+
+def test_frames_become_paragraphs(spark):
+    r, p, c = tables(spark)
+    got = rows(scans.readable_paragraphs(r.unionByName(r), p, c))
+    frames = {x[1]: x[3] for x in got if x[0] == "frame"}
+    # The word broken between two regions is whole; licence lines and page numbers are gone, also those that only their repetition gives away.
+    assert frames == {k: f"Every {n} {n} measures another {'' if k == 3 else 'another '}archive {n}" for k, n in ((k, "abcdefgh"[k - 1] * 3) for k in range(1, 9))}
+    assert [x for x in got if x[0] == "region"] == [("region", 50, 1, "another mirror")]
+    assert {x[0] for x in got} == {"frame", "region", "paragraph", "candidate"} and len(got) == len(set(got))
+    assert scans.readable_paragraphs(r.limit(0), p.limit(0), c.limit(0)).count() == 0
+
+
+def test_words_broken_within_a_line_of_regions():
+    assert scans.repaired_lines(LEXICON, scans.frame_lines(["Every cam-\x1fera measures", "Page\x1f12", " ", "the rnirror"])) == ["Every camera measures the mirror"]
+    assert scans.frame_lines([]) == [] and scans.repaired_lines(LEXICON, []) == []
