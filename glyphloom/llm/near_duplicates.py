@@ -14,7 +14,7 @@ partitions (those of common words) are skipped and the others may differ by one
 * Index and probe carry the parity of each of 64 groups of bits: sets differ in at least as many bits as in parities, so most candidates end in the
   join that makes them. Every other one is verified on the words themselves.
 
-Equal sets are one class throughout. Their members are listed beside it and never paired within the operator.
+Equal sets are one class throughout. Their members are listed beside it and are paired only where pairs of records are asked for (``record_pairs``).
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ SAMPLE = 4000
 COMMON = 500
 #: Words that are ordered by correlation; further common words get places by their hash.
 ORDERED = 2048
-#: Classes of up to so many equal texts are expanded to pairs of records in ``record_pairs``; beyond, members are tied to the representative.
-EXPANDED = 50
+#: Classes of more records than this are cut into slices of about so many, so that no key of a join in ``record_pairs`` gives a square of a whole class.
+SLICE = 1000
 #: The similarity is SAME / ALL of the words in either text.
 SAME, ALL = 4, 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -248,22 +248,38 @@ def similar_classes(classes: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return checked.withColumn("either", F.col("_all") - F.col("both")).filter(F.col("both") * ALL >= F.col("either") * SAME).drop("_all")
 
 
-def record_pairs(classes: DataFrame, members: DataFrame, linked: DataFrame, expanded: int = EXPANDED) -> DataFrame:
-    """``record_a, record_b``: linked classes and equal texts in terms of records, the smaller first.
+def record_pairs(classes: DataFrame, members: DataFrame, linked: DataFrame, expanded: int | None = None, per_slice: int = SLICE) -> DataFrame:
+    """``record_a, record_b``: all pairs of records whose word sets are equal or in linked classes, the smaller first.
 
-    Classes of up to ``expanded`` equal texts stand for all their records. A larger one stands for its representative, to which each of its
-    members is tied by one pair; so no link between different texts is lost and a group of copies never gives a square of pairs.
+    A class of n records gives n (n - 1) / 2 pairs, whatever n is; classes of more than ``per_slice`` records are joined slice by slice. Only if ``expanded`` is given does a
+    larger class stand for its representative, to which each of its members is tied by one pair: that is enough for components, but it is not all pairs.
     """
     known = classes.select("set_key", "class_id", "copies")
     placed = join_hot(members, known.withColumn("_n", F.col("copies")), "set_key", "_n", "inner").select("record", "class_id", "copies")
-    stands = materialize(placed.filter((F.col("copies") <= expanded) | (F.col("record") == F.col("class_id"))))
-    a, b = (stands.select(F.col("record").alias(f"record_{x}"), F.col("class_id").alias(f"class_{x}")) for x in "ab")
-    between = linked.join(a, "class_a").join(b, "class_b").select("record_a", "record_b")
-    few = stands.filter((F.col("copies") > 1) & (F.col("copies") <= expanded))
-    within = few.select(F.col("record").alias("record_a"), "class_id").join(few.select(F.col("record").alias("record_b"), "class_id"), "class_id").filter("record_a < record_b").select("record_a", "record_b")
-    tied = placed.filter((F.col("copies") > expanded) & (F.col("record") != F.col("class_id"))).select(F.col("class_id").alias("record_a"), F.col("record").alias("record_b"))
-    every = between.unionByName(within).unionByName(tied).filter("record_a <> record_b")
-    return every.select(F.least("record_a", "record_b").alias("record_a"), F.greatest("record_a", "record_b").alias("record_b")).distinct()
+    whole = F.lit(True) if expanded is None else F.col("copies") <= expanded
+    slices = F.when(whole, F.ceil(F.col("copies") / per_slice)).otherwise(1).cast("int")
+    stands = placed.filter(whole | (F.col("record") == F.col("class_id"))).withColumn("whole", whole & (F.col("copies") > 1))
+    stands = materialize(stands.withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64("record"), F.col("slices")).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    if classes.filter(F.col("copies") > per_slice).isEmpty():
+        a, b = (stands.select(F.col("record").alias(f"record_{x}"), F.col("class_id").alias(f"class_{x}")) for x in "ab")
+        between = linked.join(a, "class_a").join(b, "class_b")
+    else:
+        between = linked.select("class_a", "class_b")
+        for x in "ab":
+            cut = classes.withColumn("slices", slices).select(F.col("class_id").alias(f"class_{x}"), "slices")
+            between = between.join(cut, f"class_{x}").withColumn(f"slice_{x}", every).drop("slices")
+        for x in "ab":
+            side = stands.select(F.col("record").alias(f"record_{x}"), F.col("class_id").alias(f"class_{x}"), F.col("slice").alias(f"slice_{x}"))
+            between = between.join(side, [f"class_{x}", f"slice_{x}"])
+    few = stands.filter("whole")
+    left = few.select(F.col("record").alias("record_a"), "class_id", every.alias("slice"))
+    within = left.join(few.select(F.col("record").alias("record_b"), "class_id", "slice"), ["class_id", "slice"]).filter("record_a < record_b")
+    found = between.select("record_a", "record_b").unionByName(within.select("record_a", "record_b"))
+    if expanded is not None:
+        found = found.unionByName(placed.filter(~whole & (F.col("record") != F.col("class_id"))).select(F.col("class_id").alias("record_a"), F.col("record").alias("record_b")))
+    found = found.filter("record_a <> record_b")
+    return found.select(F.least("record_a", "record_b").alias("record_a"), F.greatest("record_a", "record_b").alias("record_b")).distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -88,3 +88,19 @@ def test_components(spark):
     nodes = spark.createDataFrame([(k,) for k in range(12)], "node long")
     links = spark.createDataFrame([(k, k + 1) for k in range(7)] + [(10, 9)], "a long, b long")
     assert rows(nd.components(nodes, links)) == sorted([(k, 0) for k in range(8)] + [(8, 8), (9, 9), (10, 9), (11, 11)], key=repr)
+
+
+def test_large_classes_give_all_pairs(spark):
+    rng = random.Random(6)
+    base = [f"x{k}" for k in range(30)]
+    records = []
+    for k in range(70):
+        words = base[:] if k % 3 else base + [base[0]]
+        rng.shuffle(words)
+        records.append((k, " ".join(words).upper() if k % 5 == 0 else " ".join(words)))
+    records += [(100 + k, " ".join(base)) for k in range(55)] + [(200 + k, " ".join(base[:-2] + ["y", "z"])) for k in range(60)] + [(300, " ".join(base[:-1]))]
+    expected = brute(records, 25)
+    assert found(spark, records, 25) == expected
+    df = spark.createDataFrame(records, "id long, t string")
+    classes, members = nd.word_classes(df, "id", "t", 25)
+    assert sorted(rows(nd.record_pairs(classes, members, nd.similar_classes(classes, 25), per_slice=7))) == expected
