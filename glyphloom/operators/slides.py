@@ -47,16 +47,16 @@ def vote(observations: DataFrame, keys: list[str], order: str, text: str = "text
 class Cluster:
     """Observations of one paragraph, with its best reading at hand."""
 
-    def __init__(self, kind: str, norm: str, key: int, text: str) -> None:
+    def __init__(self, kind: str, norm: str, key: int, text: str, *evidence) -> None:
         self.kind = kind
         self.counts: dict[str, int] = {}
-        self.first: dict[str, tuple[int, str]] = {}
+        self.first: dict[str, tuple] = {}
         self.best = norm
-        self.add(norm, key, text)
+        self.add(norm, key, text, *evidence)
 
-    def add(self, norm: str, key: int, text: str) -> None:
+    def add(self, norm: str, key: int, text: str, *evidence) -> None:
         self.counts[norm] = self.counts.get(norm, 0) + 1
-        self.first.setdefault(norm, (key, text))
+        self.first.setdefault(norm, (key, text, *evidence))
         chain = sorted(self.counts, key=len)
         if len(chain) > 1 and all(len(a) < len(b) and b.startswith(a) for a, b in zip(chain, chain[1:])):
             self.best = chain[-1]
@@ -77,29 +77,29 @@ class Cluster:
 CLUSTERED = "video_id string, slide_number long, cluster int, text_type string, text string, observations int, variants int, source_key long"
 
 
-def paragraph_clusters(paragraphs: DataFrame) -> DataFrame:
+def paragraph_clusters(paragraphs: DataFrame, evidence: tuple[str, ...] = ()) -> DataFrame:
     """The paragraphs of each slide, each as the best of its observations.
 
     ``paragraphs`` has ``video_id, slide_number, observation long (the order of seeing), text_type, text``. Each goes to the first cluster
-    whose best reading so far it equals, extends, is extended by, or resembles; null texts are left out.
+    whose best reading so far it equals, extends, is extended by, or resembles; null texts are left out. The columns ``evidence``, of numbers, come along from the best observation.
     """
 
     def algorithm(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
         clusters: list[Cluster] = []
-        for _, _, seen, kind, text in rows:
+        for _, _, seen, kind, text, *shown in rows:
             norm = " ".join(text.lower().split())
             for c in clusters:
                 if c.takes(kind, norm):
-                    c.add(norm, seen, text)
+                    c.add(norm, seen, text, *shown)
                     break
             else:
-                clusters.append(Cluster(kind, norm, seen, text))
+                clusters.append(Cluster(kind, norm, seen, text, *shown))
         for n, c in enumerate(clusters):
-            at, text = c.first[c.best]
-            yield (*key, n, c.kind, text, sum(c.counts.values()), len(c.counts), at)
+            at, text, *shown = c.first[c.best]
+            yield (*key, n, c.kind, text, sum(c.counts.values()), len(c.counts), at, *shown)
 
-    own = paragraphs.filter(F.col("text").isNotNull()).select("video_id", "slide_number", "observation", "text_type", "text")
-    return per_group(own, ["video_id", "slide_number"], ["observation"], algorithm, CLUSTERED)
+    own = paragraphs.filter(F.col("text").isNotNull()).select("video_id", "slide_number", "observation", "text_type", "text", *[F.col(n).cast("double").alias(n) for n in evidence])
+    return per_group(own, ["video_id", "slide_number"], ["observation"], algorithm, ", ".join([CLUSTERED, *[f"{n} double" for n in evidence]]))
 
 
 MIN_CONFIDENCE, WEAK_MARGIN, TINY_SHARE = 0.60, 0.10, 0.001
@@ -108,7 +108,7 @@ MIN_CONFIDENCE, WEAK_MARGIN, TINY_SHARE = 0.60, 0.10, 0.001
 def tiny_footprint(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column) -> Column:
     """Whether a box covers next to nothing of its frame; false where either is unknown."""
     area = F.greatest(right - left, F.lit(0.0)) * F.greatest(bottom - top, F.lit(0.0))
-    return F.coalesce(area / (width * height) <= F.lit(TINY_SHARE), F.lit(False))
+    return F.coalesce(F.try_divide(area, width * height) <= F.lit(TINY_SHARE), F.lit(False))
 
 
 def assess(text: Column, confidence: Column, observations: Column, tiny: Column, recognised: list[str]) -> dict[str, Column]:

@@ -23,14 +23,14 @@ r AS (SELECT *, sum(brk) OVER (PARTITION BY video_id ORDER BY frame_number, fram
 b AS (SELECT *, sum(CASE WHEN brk = 1 THEN 0 ELSE chg END) OVER (PARTITION BY video_id, slide_number ORDER BY frame_number, frame_id) AS build_index FROM r)""".replace(" AS both", ' AS "both"')
 
 
-def last_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """The last delivery of each frame; ``place`` orders a video's frames."""
-    rows = latest(table(spark, folder, "frames", "frame_id", "video_id", "frame_number", "combined_text", "timestamp_seconds", "ingested_at"), "frame_id", "ingested_at")
+def last_frames(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """The last delivery of each frame, with the columns ``more``; ``place`` orders a video's frames."""
+    rows = latest(table(spark, folder, "frames", "frame_id", "video_id", "frame_number", "combined_text", "timestamp_seconds", "ingested_at", *more), "frame_id", "ingested_at")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("frame_number", "frame_id")))
 
 
-def runs(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.slide_runs(last_frames(spark, folder), order="place")
+def runs(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    return ops.slide_runs(last_frames(spark, folder, *more), order="place")
 
 
 @query(f"WITH {FRAMES} SELECT video_id, slide_number::BIGINT AS slide_number, count(*) AS frames, min(frame_number) AS first_frame, max(frame_number) AS last_frame FROM b GROUP BY video_id, slide_number")
@@ -153,11 +153,14 @@ def presentation_end_to_end(spark: SparkSession, folder: str) -> DataFrame:
     from glyphloom.plans.layout import _reading
     from glyphloom.operators.lines import reconstruct_lines
 
-    lines = reconstruct_lines(_reading(spark, folder)).filter("line_text IS NOT NULL").select("frame_id", "line_number", F.col("line_text").alias("text"), "line_left", "line_right", "confidence").distinct()
-    slides = runs(spark, folder).select("frame_id", "video_id", "slide_number", "place")
-    rows = paragraphs(structure(lines, "frame_id", "line_number"), "frame_id", "line_number").join(slides, "frame_id")
-    best = ops.paragraph_clusters(rows.withColumn("observation", F.col("place").cast("long") * 10_000 + F.col("paragraph_index")))
-    found = ops.assess(F.col("text"), F.lit(None).cast("double"), F.col("observations"), F.lit(False), ["Latin"])
+    lines = reconstruct_lines(_reading(spark, folder)).filter("line_text IS NOT NULL")
+    lines = lines.select("frame_id", "line_number", F.col("line_text").alias("text"), "line_left", "line_top", "line_right", "line_bottom", "confidence").distinct()
+    slides = runs(spark, folder, "width", "height").select("frame_id", "video_id", "slide_number", "place", "width", "height")
+    rows = paragraphs(structure(lines, "frame_id", "line_number"), "frame_id", "line_number", evidence=True).join(slides, "frame_id")
+    shown = ("confidence", "left", "top", "right", "bottom", "width", "height")
+    best = ops.paragraph_clusters(rows.withColumn("observation", F.col("place").cast("long") * 10_000 + F.col("paragraph_index")), shown)
+    tiny = ops.tiny_footprint(*[F.col(n) for n in shown[1:]])
+    found = ops.assess(F.col("text"), F.col("confidence"), F.col("observations"), tiny, ["Latin"])
     return best.select("video_id", "slide_number", "cluster", "text_type", "text", "observations", *[found[n].alias(n) for n in ("scripts", "withheld", "reasons")])
 
 

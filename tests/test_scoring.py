@@ -145,3 +145,32 @@ def test_providers_get_every_script(spark, tmp_path):
     texts = [(1, "abc"), (2, "ёж 5"), (3, "10 % же"), (4, " "), (5, None), (2, "ёж 5")]
     spark.createDataFrame(texts, "row_id long, original_text string").write.parquet(f"{tmp_path}/workbook_rows.parquet")
     assert rows(QUERIES["provider_failure_containment_all"](spark, str(tmp_path))) == [(1, "success", "[xx] cba", None), (2, "success", "[xx] 5 жё", None), (3, "failure", None, "ValueError: a per cent sign")]
+
+
+def presented(spark, folder, regions, frames):
+    from glyphloom.plans.registry import QUERIES
+
+    spark.createDataFrame(
+        [(k, "v", "r", frame, 1, 1, text, confidence, box, "e", None) for k, (frame, text, confidence, box) in enumerate(regions)],
+        "region_id long, video_id string, run_id string, frame_id long, frame_number long, source_index int, text string, confidence double, box array<double>, engine string, ingested_at timestamp",
+    ).write.parquet(f"{folder}/regions.parquet")
+    spark.createDataFrame(frames, "frame_id long, video_id string, frame_number long, combined_text string, timestamp_seconds double, width int, height int, ingested_at timestamp").write.parquet(f"{folder}/frames.parquet")
+    return {r.text: (r.withheld, r.reasons) for r in QUERIES["presentation_end_to_end"](spark, str(folder)).collect()}
+
+
+def test_presentation_withholds_weak_evidence(spark, tmp_path):
+    small, large = [10.0, 10.0, 30.0, 30.0], [100.0, 100.0, 900.0, 300.0]
+    regions = [(1, "VI M", 0.65, small), (2, "V", 0.65, large), (3, "X", 0.98, small), (4, "AI", 0.65, small), (5, "I V", 0.65, small), (6, "I V", 0.65, small), (7, "M V", 0.65, large), (8, "M V", 0.65, large), (9, "C X", 0.65, small)]
+    shows = ["VI M", "V", "X", "AI", "I V", "I V", "M V", "M V", "C X"]
+    sizes = [(1000, 1000)] * 8 + [(0, None)]
+    got = presented(spark, tmp_path, regions, [(k, "v", k, t, 1.0, *size, None) for k, (t, size) in enumerate(zip(shows, sizes), 1)])
+    structure, weak, tiny, once = "Fragment-like Structure", "Weak OCR Evidence", "Tiny Visual Footprint", "Uncorroborated Observation"
+    assert got == {
+        "VI M": (True, [structure, weak, tiny, once]),
+        "V": (True, [structure, weak, once]),
+        "X": (False, []),
+        "AI": (False, []),
+        "I V": (True, [structure, weak, tiny]),
+        "M V": (False, []),
+        "C X": (True, [structure, weak, once]),
+    }
