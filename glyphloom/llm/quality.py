@@ -109,6 +109,8 @@ def statistics(texts: DataFrame, text: str = "text", repetition: bool = True) ->
     )
     if repetition:
         words = F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
+        # As a column of its own: within the lambda of an n-gram, the text would be cut into words anew for each of them.
+        out, words = once(out, {"_words": words}), F.col("_words")
         full = lambda parts: F.filter(F.transform(parts, F.trim), lambda x: x != "")
         out = out.withColumns(
             {
@@ -118,7 +120,7 @@ def statistics(texts: DataFrame, text: str = "text", repetition: bool = True) ->
                 "dominant_trigram_share": dominant_ngram(words, 3),
                 "dominant_4gram_share": dominant_ngram(words, 4),
             }
-        )
+        ).drop("_words")
     return out
 
 

@@ -58,8 +58,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p3_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """All statistics of every document."""
-    return quality.statistics(table(spark, folder, "documents", "doc_id", "text")).drop("text")
+    """All statistics of every document and promotion record text."""
+    own = table(spark, folder, "documents", "doc_id", "text").select(F.lit("document").alias("record_kind"), F.col("doc_id").alias("record_id"), "text")
+    other = table(spark, folder, "promotion_records", "promotion_id", "text").select(F.lit("promotion").alias("record_kind"), F.col("promotion_id").alias("record_id"), "text")
+    return quality.statistics(own.unionByName(other.distinct())).drop("text")
 
 
 # 4: near-duplicates

@@ -66,3 +66,12 @@ def test_repeated_rows(spark):
     none = spark.createDataFrame([], "doc_id long, source string, text string")
     two = spark.createDataFrame([(1, PROSE), (1, PROSE)], "promotion_id long, text string")
     assert [r[2] for r in rows(quality.shapes(none, two).select("record_kind", "record_id", "text_shape"))] == ["prose", "prose"]
+
+
+def test_statistics_of_both_kinds(spark, tmp_path):
+    from glyphloom.llm.queries import QUERIES
+
+    spark.createDataFrame([(1, "one line\none line"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a b a b"), (1, "a b a b"), (3, "")], "promotion_id long, text string").write.parquet(f"{tmp_path}/promotion_records.parquet")
+    got = QUERIES["p3_statistics"](spark, str(tmp_path)).select("record_kind", "record_id", "n_words", "duplicate_line_share", "dominant_bigram_share")
+    assert rows(got) == [("document", 1, 4, 0.5, 16 / 17), ("document", 2, 0, None, None), ("promotion", 1, 4, 0.0, 6 / 7), ("promotion", 3, 0, None, None)]
