@@ -28,6 +28,8 @@ READABLE = 0.4
 MOST = 0.5
 #: Words per sentence up to which, and share of words among tokens from which, a text without any set-off line is prose at first sight.
 PLAIN_SENTENCE, PLAIN_WORDS = 25, 0.55
+#: Characters a cell of a table's row has on average at most.
+CELL = 22
 
 # Frequent function words of the six languages.
 COMMON_WORDS = (
@@ -52,6 +54,8 @@ BULLET = r"[ \t]*(?:[•◦▪○●‣·*–—-]|\(?\d{1,3}[.)]|\(?[A-Za-zа-
 BULLET_LINE = rf"(?m)^{BULLET}.*$\n?"
 WIDE = r"[\u00a0-\uffff](?<=[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\uff01-\uff5e\p{Cf}])"
 BLOCK = r"\n[ \t]*\n"
+#: What ``(?m)^`` may stand behind.
+TERMINATOR = r"[\n\r\u0085\u2028\u2029]"
 
 
 def readable_words(text: Column) -> Column:
@@ -143,7 +147,7 @@ def with_table_share(texts: DataFrame, body: str) -> DataFrame:
     cuts = {}
     for k, (separator, least) in enumerate(CELLS):
         rows = F.transform("_lines", lambda x: F.struct((F.regexp_count(x["line"], F.lit(separator)) + 1).alias("cells"), x["size"].alias("size")))
-        cuts[f"_cut{k}"] = F.when(b.rlike(separator), F.filter(rows, lambda r: (r["cells"] >= least) & (r["size"] <= r["cells"] * 22)))
+        cuts[f"_cut{k}"] = F.when(b.rlike(separator), F.filter(rows, lambda r: (r["cells"] >= least) & (r["size"] <= r["cells"] * CELL)))
     out = once(out, cuts)
     # The most usual number of cells: the middle one of the sorted numbers, which a majority must share.
     middles = {f"_middle{k}": F.try_element_at(F.array_sort(F.transform(f"_cut{k}", lambda r: r["cells"])), (F.size(f"_cut{k}") / 2).cast("int") + 1) for k in range(len(CELLS))}
@@ -183,17 +187,22 @@ def shaped(texts: DataFrame, text: str = "text", body: str = "body") -> DataFram
             "_letter_words": F.regexp_count(t, F.lit(LETTER_WORD)),
             "n_sentence_ends": F.regexp_count(t, F.lit(SENTENCE_END)),
             "n_visible": F.length(F.regexp_replace(t, r"\s+", "")),
-            "_marked": t.rlike(r"[\t|;]|  |\A" + BULLET + r"|\n" + BULLET),
+            "_vowelless": F.regexp_count(t, F.lit(VOWELLESS_WORD)),
+            "_commas": F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))),
+            "_marked": t.rlike(r"[\t|;]|  |\A" + BULLET + "|" + TERMINATOR + BULLET),
+            "_unended": F.when(t.rlike(BLOCK), F.exists(F.split(t, BLOCK), lambda x: ~x.rlike(SENTENCE_END) & (F.regexp_count(x, F.lit(LINE)) >= 3))).otherwise(F.lit(False)),
         },
     )
-    # Most texts are plain prose: sentences end often, tokens are words, and no line is set off; they need no closer look.
-    plain = (F.col("n_visible") == 0) | (F.col("n_sentence_ends") * PLAIN_SENTENCE >= F.col("n_words")) & (F.col("_letter_words") > PLAIN_WORDS * F.col("n_words")) & ~F.col("_marked")
-    closer = once(counted, {"_closer": ~plain})
-    vowelless = F.when(F.col("_closer"), F.regexp_count(t, F.lit(VOWELLESS_WORD))).otherwise(0)
-    closer = once(closer, {"n_readable": F.greatest(F.lit(0), F.col("_letter_words") - vowelless)}).drop("_letter_words")
+    read = once(counted, {"n_readable": F.greatest(F.lit(0), F.col("_letter_words") - F.col("_vowelless"))}).drop("_letter_words", "_vowelless")
+    # Most texts are plain prose: sentences end often, tokens are words, and no line is set off; they need no closer look, as the rules below give prose too. A comma parts a
+    # word into one more token at most; a row of n commas, 2 at least, has n + 1 <= 1.5 n cells, so that a table's rows have at most 1.5 * CELL characters for each comma.
+    words = F.col("n_readable") > PLAIN_WORDS * (F.col("n_words") + F.col("_commas"))
+    cells = F.col("_commas") * (1.5 * CELL) > MOST * F.col("n_visible")
+    plain = (F.col("n_visible") == 0) | (F.col("n_sentence_ends") * PLAIN_SENTENCE >= F.col("n_words")) & words & ~cells & ~F.col("_marked") & ~F.col("_unended")
+    closer = once(read, {"_closer": ~plain})
     out = with_list_share(with_table_share(closer, body), body)
     sound = F.try_divide(F.col("n_readable") + F.regexp_count(b, F.lit(NUMBER)), F.regexp_count(b, F.lit(TOKEN)))
-    ready = once(out, {"sound_share": F.when(F.col("_closer"), sound).otherwise(1.0), "readable_share": _share(F.least("n_readable", "n_words"), F.col("n_words"))}).drop("_closer", "_marked")
+    ready = once(out, {"sound_share": F.when(F.col("_closer"), sound).otherwise(1.0), "readable_share": _share(F.least("n_readable", "n_words"), F.col("n_words"))}).drop("_closer", "_marked", "_unended", "_commas")
     shape = (
         F.when((F.char_length(text) < LEAST_CHARACTERS) | F.col(text).isNull() | (F.col("n_visible") == 0), F.lit(None).cast("string"))
         .when(F.col("sound_share") < READABLE, "junk")

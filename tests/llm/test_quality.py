@@ -75,3 +75,15 @@ def test_statistics_of_both_kinds(spark, tmp_path):
     spark.createDataFrame([(1, "a b a b"), (1, "a b a b"), (3, "")], "promotion_id long, text string").write.parquet(f"{tmp_path}/promotion_records.parquet")
     got = QUERIES["p3_statistics"](spark, str(tmp_path)).select("record_kind", "record_id", "n_words", "duplicate_line_share", "dominant_bigram_share")
     assert rows(got) == [("document", 1, 4, 0.5, 16 / 17), ("document", 2, 0, None, None), ("promotion", 1, 4, 0.0, 6 / 7), ("promotion", 3, 0, None, None)]
+
+
+def test_first_sight_is_no_shortcut(spark):
+    texts = {
+        "table": "river stone,north side,open gate.\nsmall bridge,south bank,shut door.\nlong valley,east road,open field.\ngreen island,west shore,shut house.",
+        "list": "Bring all these with you today.\n\nsome fresh bread\ncold milk from here\na warm blanket\nthe sharp knives\na long rope\nwater and salt",
+        "junk": "dp kk xdb pzkh mm nbgk. cr mhsx mwhj phv ttr. dk lmn prst kk wrt.\nnbgkczn fslvnhrn phvkk cr. mhsxchq mwhjpx dp kk.",
+        "prose": "The river runs north, and the old bridge crosses it.\n\nNobody has seen the gate open in a long time.\nIt stays shut.",
+    }
+    none = spark.createDataFrame([], "doc_id long, source string, text string")
+    df = spark.createDataFrame(list(enumerate(texts.values())), "promotion_id long, text string")
+    assert [r.text_shape for r in quality.shapes(none, df).orderBy("record_id").collect()] == list(texts)
