@@ -112,8 +112,9 @@ def p6_segments(spark: SparkSession, folder: str) -> DataFrame:
 # 7: repeated lines
 @query
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    _, documents = repeated_lines.repeated_document_lines(table(spark, folder, "documents"))
-    _, frames = repeated_lines.repeated_frame_lines(table(spark, folder, "text_lines", "line_id", "video_id", "frame_id", "line_index", "text"))
+    # Every line of a longer pattern is frequent itself, so single lines give all that is found.
+    _, documents = repeated_lines.repeated_document_lines(table(spark, folder, "documents"), longest=1)
+    _, frames = repeated_lines.repeated_frame_lines(table(spark, folder, "text_lines", "line_id", "video_id", "frame_id", "line_index", "text"), longest=1)
     found = frames.select("line_id").distinct()
     return documents.select(F.lit("document").alias("record_kind"), F.col("doc_id").alias("record_id"), "line_number").unionByName(
         found.select(F.lit("text_line").alias("record_kind"), F.col("line_id").alias("record_id"), F.lit(0).alias("line_number"))
@@ -131,7 +132,7 @@ def p7_sequences(spark: SparkSession, folder: str) -> DataFrame:
 def p7_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     """The documents without their repeated lines."""
     documents = table(spark, folder, "documents", "doc_id", "source", "text")
-    _, lines = repeated_lines.repeated_document_lines(documents)
+    _, lines = repeated_lines.repeated_document_lines(documents, longest=1)
     return repeated_lines.without_lines(documents, lines)
 
 
