@@ -1,6 +1,35 @@
 """SQL that gives the same rows as queries of this subpackage, over the same tables."""
 
+from __future__ import annotations
+
+from glyphloom.llm.measures import COMMON_WORDS, CONSONANTS
+
+# Fixed values, as in ``measures``: white space, consonants, and what stands at the end of sentences and lines.
+_W = r"\s\x0b\p{Z}"
+_CLOSE = """["'”’»)\\]]*"""
+_COMMON = ", ".join(f"'{w}'" for w in dict.fromkeys(COMMON_WORDS))
+_GRAM = "CASE WHEN n_words >= {n} THEN least(1.0::DOUBLE, coalesce((SELECT max(c * length(g)) FROM r WHERE r.k = b.k AND r.n = {n}), 0) / length(array_to_string(w, ' '))) END"
+
 ORACLES: dict[str, str] = {
+    "p3_statistics": f"""
+WITH x AS (SELECT 'document' AS record_kind, doc_id AS record_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'promotion', promotion_id, coalesce(text, '') FROM (SELECT DISTINCT promotion_id, text FROM promotion_records)),
+a AS (SELECT *, row_number() OVER () AS k, list_filter(regexp_split_to_array(lower(t), '[{_W}]+'), lambda v: v <> '') AS w, list_filter(string_split(t, chr(10)), lambda v: regexp_matches(v, '[^{_W}]')) AS l,
+ list_filter(regexp_split_to_array(t, '\\n[{_W}]*\\n'), lambda v: regexp_matches(v, '[^{_W}]')) AS p FROM x),
+b AS (SELECT *, length(t) AS n_characters, len(w) AS n_words, length(regexp_replace(t, '[{_W}]+', '', 'g')) AS n_visible, length(regexp_replace(t, '[{_W}\\p{{L}}\\p{{N}}]+', '', 'g')) AS n_symbols, len(l) AS n_lines,
+ len(list_filter(l, lambda v: regexp_matches(v, '[.!?…:;]{_CLOSE.replace("'", "''")}[{_W}]*$'))) AS n_ended_lines,
+ len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}\\p{{S}}]+'), lambda v: regexp_full_match(v, '\\p{{L}}{{2,}}') AND NOT regexp_full_match(v, '[{CONSONANTS}]+'))) AS n_readable,
+ len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+'), lambda v: lower(v) IN ({_COMMON}))) AS n_common,
+ len(regexp_extract_all(t, '[^{_W}.!?…][.!?…]+{_CLOSE.replace("'", "''")}(?:[{_W}]|$)')) AS n_sentence_ends,
+ len(list_filter(regexp_split_to_array(t, '[{_W}|;,]+'), lambda v: v <> '')) AS n_tokens,
+ len(list_filter(regexp_split_to_array(t, '[{_W}|;,()]+'), lambda v: regexp_full_match(v, '[0-9][0-9.:/%-]*'))) AS n_numbers, len(p) AS n_paragraphs FROM a),
+g AS (SELECT k, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM a, (SELECT unnest([2, 3, 4]) AS n))),
+r AS (SELECT k, n, g, count(*) AS c FROM g GROUP BY k, n, g HAVING count(*) > 1)
+SELECT record_kind, record_id, n_characters, n_words, n_visible, n_symbols, n_lines, n_ended_lines, n_readable, n_common, n_sentence_ends, n_tokens, n_numbers, n_paragraphs, n_visible / nullif(n_words, 0) AS mean_word_length, n_symbols / nullif(n_visible, 0) AS symbol_share,
+ n_ended_lines / nullif(n_lines, 0) AS ended_line_share, least(n_common, n_words) / nullif(n_words, 0) AS common_word_share, least(n_readable, n_words) / nullif(n_words, 0) AS readable_share, (n_readable + n_numbers) / nullif(n_tokens, 0) AS sound_share,
+ (n_lines - len(list_distinct(list_transform(l, lambda v: regexp_replace(lower(v), '^[{_W}]+|[{_W}]+$', '', 'g'))))) / nullif(n_lines, 0) AS duplicate_line_share,
+ (n_paragraphs - len(list_distinct(list_transform(p, lambda v: regexp_replace(lower(v), '^[{_W}]+|[{_W}]+$', '', 'g'))))) / nullif(n_paragraphs, 0) AS duplicate_paragraph_share,
+ {_GRAM.format(n=2)} AS dominant_bigram_share, {_GRAM.format(n=3)} AS dominant_trigram_share, {_GRAM.format(n=4)} AS dominant_4gram_share FROM b
+""".replace("\\\\", "\\"),
     "p4_found": r"""
 WITH f AS (SELECT DISTINCT frame_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(combined_text), '[\s\p{Z}]+'), lambda x: x <> ''))) AS w FROM frames WHERE combined_text IS NOT NULL),
 g AS (SELECT frame_id, w, len(w) AS n FROM f WHERE len(w) >= 25),

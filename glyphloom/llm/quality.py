@@ -1,218 +1,110 @@
-"""Statistics of each text, and its shape: prose, list, table or junk.
+"""Statistics of each text, repetition included, and its shape: prose, list, table or junk.
 
-All statistics are built-in expressions over the whole text; nothing leaves the JVM, and nothing is shuffled but the counts of repeated lines. Shapes follow
-from combined rules, in this order; ``body`` is the text without its source's notices:
+All statistics come from one pass of ``measures`` over Arrow batches; nothing is shuffled but the counts of repeated lines. Shapes follow from combined rules over
+them, in this order; ``body`` is the text without its source's notices:
 
-* junk: few of its tokens are readable words (two letters or more, a vowel, no digits or signs inside) or numbers;
+* junk: few of its tokens are readable words (two letters or more, not consonants alone, no digits or signs inside) or numbers;
 * list: most characters stand in lines that start with a bullet, number or letter;
 * table: most characters stand in lines that are cut into cells, with as many cells in most of these lines;
-* list: most characters stand in such lines or in blocks of short lines in which no sentence ends;
 * junk again: few readable words, whatever the numbers;
+* list: most characters stand in such lines or in blocks of short lines in which no sentence ends;
+* junk, boilerplate: the text says the same again and again, as most of its lines or paragraphs repeat earlier ones, or one run of two to four words covers most of it (texts of ``REPEATING_WORDS`` or more);
 * prose: all else.
 
 Full-width forms are mapped and invisible characters dropped first, so that disguised prose isn't taken for junk.
 
-Null and empty texts have zero counts, null shares and no shape; texts under ``LEAST_CHARACTERS`` have no shape.
+Null and empty texts have zero counts, null shares and no shape; texts under ``LEAST_CHARACTERS`` have no shape. Repeated rows give repeated rows. A column of the same name as a
+statistic is replaced; all others stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from glyphloom.llm.lookalikes import wide_maps
+from glyphloom.llm.measures import FIELDS, SHARES, measure
 from glyphloom.llm.repeated_lines import without_notices
 
 LEAST_CHARACTERS = 40
 READABLE = 0.4
 MOST = 0.5
-#: Words per sentence up to which, and share of words among tokens from which, a text without any set-off line is prose at first sight.
-PLAIN_SENTENCE, PLAIN_WORDS = 25, 0.55
-#: Characters a cell of a table's row has on average at most.
-CELL = 22
-
-# Frequent function words of the six languages.
-COMMON_WORDS = (
-    "the of and to a in is that it for on with as this our each every another one from by at or "
-    "der die das und den von zu mit ein eine einen nicht auf dem des im "
-    "le la les de des du et un une en que pour dans sur à au "
-    "el los las del y que una por con para se su al "
-    "o os as do da e um uma com não na no dos das "
-    "и в не на что с по это как из за для от к"
-).split()
-# Patterns start with what is rare or anchored and look back from there: a class of many ranges at each character would cost as much as all else.
-WORD = r"\S+"
-LETTER_WORD = r"(?<![\p{L}\p{N}\p{S}])\p{L}{2,}+(?![\p{N}\p{S}])"
-VOWELLESS_WORD = r"\b(?:[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{2,}+|[бвгджзй-нп-тф-щБВГДЖЗЙ-НП-ТФ-Щ]{2,}+)\b"
-COMMON_WORD = rf"(?iU)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(dict.fromkeys(COMMON_WORDS))})(?![\p{{L}}\p{{N}}])"
-TOKEN = r"[^\s|;,]+"
-NUMBER = r"(?<![^\s|;,(])\d+(?:[.:/-]\d+)*%?(?![^\s|;,.)])"
-SENTENCE_END = r"[.!?…](?<=[^\s.!?…].)[.!?…]*+[\"'”’»)\]]*+(?:\s|$)"
-LINE = r"(?m)^.*\S.*$"
-ENDED_LINE = r"(?m)[.!?…:;][\"'”’»)\]]*[ \t]*$"
-BULLET = r"[ \t]*(?:[•◦▪○●‣·*–—-]|\(?\d{1,3}[.)]|\(?[A-Za-zа-я][.)]|\(?[ivx]{1,4}[.)])[ \t]+(?=\S)"
-BULLET_LINE = rf"(?m)^{BULLET}.*$\n?"
-WIDE = r"[\u00a0-\uffff](?<=[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\uff01-\uff5e\p{Cf}])"
-BLOCK = r"\n[ \t]*\n"
-#: What ``(?m)^`` may stand behind.
-TERMINATOR = r"[\n\r\u0085\u2028\u2029]"
-
-
-def readable_words(text: Column) -> Column:
-    return F.greatest(F.lit(0), F.regexp_count(text, F.lit(LETTER_WORD)) - F.regexp_count(text, F.lit(VOWELLESS_WORD)))
-
-
-def once(texts: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Adds columns that many expressions use. They come from a generator, as the optimizer would copy plain ones into each use, filters included."""
-    values = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return texts.select("*", F.explode(F.array(values)).alias("_once")).drop(*columns).select("*", "_once.*").drop("_once")
-
-
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole)
-
-
-def _repeated(items: Column) -> Column:
-    """The share of items that equal another, earlier one."""
-    return _share(F.size(items) - F.size(F.array_distinct(items)), F.size(items))
-
-
-def dominant_ngram(words: Column, n: int) -> Column:
-    """The share of all words' characters that the most frequent run of ``n`` words covers: equal runs meet by sorting and are counted in one pass."""
-    last = F.size(words) - n
-    runs = F.array_sort(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
-    start = F.struct(F.lit("").alias("run"), F.lit(0).alias("k"), F.lit(0).alias("most"))
-    step = lambda s, x: F.struct(x.alias("run"), F.when(x == s["run"], s["k"] + 1).otherwise(1).alias("k"), F.greatest(s["most"], F.when(x == s["run"], (s["k"] + 1) * F.length(x)).otherwise(0)).alias("most"))
-    most = F.aggregate(runs, start, step, lambda s: s["most"])
-    return F.when(last >= 0, F.least(F.lit(1.0), most / F.length(F.array_join(words, " "))))
-
-
-def statistics(texts: DataFrame, text: str = "text", repetition: bool = True) -> DataFrame:
-    """``texts`` with the statistics of column ``text``; other columns stay."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = texts.withColumns(
-        {
-            "n_characters": F.length(t),
-            "n_words": F.regexp_count(t, F.lit(WORD)),
-            "n_lines": F.regexp_count(t, F.lit(LINE)),
-            "n_readable": readable_words(t),
-            "n_common": F.regexp_count(t, F.lit(COMMON_WORD)),
-            "n_sentence_ends": F.regexp_count(t, F.lit(SENTENCE_END)),
-            "n_visible": F.length(F.regexp_replace(t, r"\s+", "")),
-            "n_symbols": F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]+", "")),
-            "n_ended_lines": F.regexp_count(t, F.lit(ENDED_LINE)),
-        }
-    ).withColumns(
+#: Words that a text must have to be said to repeat itself.
+REPEATING_WORDS = 30
+WIDE = r"[\x{a0}-\x{ffff}](?<=[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{ff01}-\x{ff5e}\p{Cf}])"
+
+
+def _share(part: str | Column, whole: str) -> Column:
+    part = F.col(part) if isinstance(part, str) else part
+    return F.when(F.col(whole) > 0, part / F.col(whole))
+
+
+def measured(texts: DataFrame, text: str = "text", drop: bool = False) -> DataFrame:
+    """``texts`` with the counts and shares of ``measures`` for column ``text``, which is left out if ``drop`` is given. Each text is read once, whatever is asked of the result."""
+    names = [c for c in texts.columns if c not in (*FIELDS, *SHARES) or c == text]
+    own = texts.select(*names)
+    kept = [f for f in own.schema.fields if not (drop and f.name == text)]
+    schema = StructType(kept + [StructField(n, LongType()) for n in FIELDS] + [StructField(n, DoubleType()) for n in SHARES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = measure([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
+            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            columns += [pa.array(found[n], pa.int64()) for n in FIELDS] + [pa.array(found[n], pa.float64(), from_pandas=True) for n in SHARES]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return own.mapInArrow(run, schema)
+
+
+def shares(counted: DataFrame) -> DataFrame:
+    """The shares that follow from the counts."""
+    return counted.withColumns(
         {
-            "mean_word_length": _share(F.col("n_visible"), F.col("n_words")),
-            "symbol_share": _share(F.col("n_symbols"), F.col("n_visible")),
-            "ended_line_share": _share(F.least("n_ended_lines", "n_lines"), F.col("n_lines")),
-            "common_word_share": _share(F.col("n_common"), F.col("n_words")),
-            "readable_share": _share(F.least("n_readable", "n_words"), F.col("n_words")),
+            "mean_word_length": _share("n_visible", "n_words"),
+            "symbol_share": _share("n_symbols", "n_visible"),
+            "ended_line_share": _share("n_ended_lines", "n_lines"),
+            "common_word_share": _share(F.least("n_common", "n_words"), "n_words"),
+            "readable_share": _share(F.least("n_readable", "n_words"), "n_words"),
+            "sound_share": _share(F.col("n_readable") + F.col("n_numbers"), "n_tokens"),
+            "duplicate_line_share": _share("repeated_lines", "n_lines"),
+            "duplicate_paragraph_share": _share("repeated_paragraphs", "n_paragraphs"),
+            "bullet_share": _share("bullet_visible", "n_visible"),
+            "list_share": _share(F.col("bullet_visible") + F.col("plain_visible"), "n_visible"),
+            "table_share": _share("table_visible", "n_visible"),
         }
-    )
-    if repetition:
-        words = F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
-        # As a column of its own: within the lambda of an n-gram, the text would be cut into words anew for each of them.
-        out, words = once(out, {"_words": words}), F.col("_words")
-        full = lambda parts: F.filter(F.transform(parts, F.trim), lambda x: x != "")
-        out = out.withColumns(
-            {
-                "duplicate_line_share": _repeated(full(F.split(t, "\n"))),
-                "duplicate_paragraph_share": _repeated(full(F.split(t, BLOCK))),
-                "dominant_bigram_share": dominant_ngram(words, 2),
-                "dominant_trigram_share": dominant_ngram(words, 3),
-                "dominant_4gram_share": dominant_ngram(words, 4),
-            }
-        ).drop("_words")
-    return out
-
-
-# What separates cells, as a regular expression, and how many cells a row has at least.
-CELLS = [("\t", 2), (r"\|", 2), (";", 2), (",", 3), (r"(?<=\S) {2,}(?=\S)", 2)]
-
-
-def _squeezed(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"\s+", ""))
-
-
-def with_table_share(texts: DataFrame, body: str) -> DataFrame:
-    """Adds ``table_share``: the share of characters in the lines that are cut into the most usual number of cells, for the separator that serves best.
-
-    A line whose cells are long is none. Each step is a column of its own, so that no expression is evaluated twice.
-    """
-    b = F.col(body)
-    lines = F.transform(F.filter(F.split(b, "\n"), lambda line: F.trim(line) != ""), lambda line: F.struct(line.alias("line"), _squeezed(line).alias("size")))
-    out = once(texts, {"_lines": F.when(F.col("_closer") & b.rlike(r"[\t|;]|,[^\n]*,|  "), lines)})
-    cuts = {}
-    for k, (separator, least) in enumerate(CELLS):
-        rows = F.transform("_lines", lambda x: F.struct((F.regexp_count(x["line"], F.lit(separator)) + 1).alias("cells"), x["size"].alias("size")))
-        cuts[f"_cut{k}"] = F.when(b.rlike(separator), F.filter(rows, lambda r: (r["cells"] >= least) & (r["size"] <= r["cells"] * CELL)))
-    out = once(out, cuts)
-    # The most usual number of cells: the middle one of the sorted numbers, which a majority must share.
-    middles = {f"_middle{k}": F.try_element_at(F.array_sort(F.transform(f"_cut{k}", lambda r: r["cells"])), (F.size(f"_cut{k}") / 2).cast("int") + 1) for k in range(len(CELLS))}
-    out = once(out, middles)
-    shares = []
-    for k in range(len(CELLS)):
-        same = F.filter(f"_cut{k}", lambda r: r["cells"] == F.col(f"_middle{k}"))
-        total = F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(0).alias("size")), lambda s, r: F.struct((s["n"] + 1).alias("n"), (s["size"] + r["size"]).alias("size")), lambda s: F.when(s["n"] >= 2, s["size"]))
-        shares.append(F.coalesce(F.try_divide(total, F.col("n_visible")), F.lit(0.0)))
-    return once(out, {"table_share": F.greatest(*shares)}).drop("_lines", *cuts, *middles)
-
-
-def with_list_share(texts: DataFrame, body: str) -> DataFrame:
-    """Adds ``bullet_share``, the share of characters in lines with a bullet, number or letter, and ``list_share``, that of them and of blocks of short lines in which no sentence ends.
-
-    A single line with a bullet is none, as a sentence may end in a number and break there.
-    """
-    b = F.col(body)
-    several = F.regexp_count(b, F.lit(BULLET_LINE)) > 1
-    out = once(texts, {"_rest": F.when(F.col("_closer"), F.when(several, F.regexp_replace(b, BULLET_LINE, "")).otherwise(b))})
-    blocks = F.transform(F.split("_rest", BLOCK), lambda t: F.struct(t.alias("t"), F.regexp_count(t, F.lit(LINE)).alias("lines"), _squeezed(t).alias("size")))
-    short = F.filter(blocks, lambda x: (x["lines"] >= 3) & (x["size"] <= x["lines"] * 80) & (F.regexp_count(x["t"], F.lit(SENTENCE_END)) == 0))
-    out = once(out, {"_left": _squeezed(F.col("_rest")), "_plain": F.aggregate(short, F.lit(0), lambda s, x: s + x["size"])})
-    share = lambda n: F.coalesce(F.try_divide(n, F.col("n_visible")), F.lit(0.0))
-    return once(out, {"bullet_share": share(F.col("n_visible") - F.col("_left")), "list_share": share(F.col("n_visible") - F.col("_left") + F.col("_plain"))}).drop("_rest", "_left", "_plain")
+    ).drop("repeated_lines", "repeated_paragraphs", "bullet_visible", "plain_visible", "table_visible")
 
 
-def shaped(texts: DataFrame, text: str = "text", body: str = "body") -> DataFrame:
-    """``texts`` with what the rules look at, and ``text_shape``."""
-    wide = F.regexp_replace(F.translate(F.col(body), *wide_maps()), r"\p{Cf}+", "")
-    clear = F.when(F.col(body).rlike(r"[^\x00-\x7f]") & F.col(body).rlike(WIDE), wide).otherwise(F.col(body))
-    b, t = F.col(body), F.coalesce(F.col(body), F.lit(""))
-    counted = once(
-        once(texts, {body: clear}),
-        {
-            "n_words": F.regexp_count(t, F.lit(WORD)),
-            "_letter_words": F.regexp_count(t, F.lit(LETTER_WORD)),
-            "n_sentence_ends": F.regexp_count(t, F.lit(SENTENCE_END)),
-            "n_visible": F.length(F.regexp_replace(t, r"\s+", "")),
-            "_vowelless": F.regexp_count(t, F.lit(VOWELLESS_WORD)),
-            "_commas": F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))),
-            "_marked": t.rlike(r"[\t|;]|  |\A" + BULLET + "|" + TERMINATOR + BULLET),
-            "_unended": F.when(t.rlike(BLOCK), F.exists(F.split(t, BLOCK), lambda x: ~x.rlike(SENTENCE_END) & (F.regexp_count(x, F.lit(LINE)) >= 3))).otherwise(F.lit(False)),
-        },
-    )
-    read = once(counted, {"n_readable": F.greatest(F.lit(0), F.col("_letter_words") - F.col("_vowelless"))}).drop("_letter_words", "_vowelless")
-    # Most texts are plain prose: sentences end often, tokens are words, and no line is set off; they need no closer look, as the rules below give prose too. A comma parts a
-    # word into one more token at most; a row of n commas, 2 at least, has n + 1 <= 1.5 n cells, so that a table's rows have at most 1.5 * CELL characters for each comma.
-    words = F.col("n_readable") > PLAIN_WORDS * (F.col("n_words") + F.col("_commas"))
-    cells = F.col("_commas") * (1.5 * CELL) > MOST * F.col("n_visible")
-    plain = (F.col("n_visible") == 0) | (F.col("n_sentence_ends") * PLAIN_SENTENCE >= F.col("n_words")) & words & ~cells & ~F.col("_marked") & ~F.col("_unended")
-    closer = once(read, {"_closer": ~plain})
-    out = with_list_share(with_table_share(closer, body), body)
-    sound = F.try_divide(F.col("n_readable") + F.regexp_count(b, F.lit(NUMBER)), F.regexp_count(b, F.lit(TOKEN)))
-    ready = once(out, {"sound_share": F.when(F.col("_closer"), sound).otherwise(1.0), "readable_share": _share(F.least("n_readable", "n_words"), F.col("n_words"))}).drop("_closer", "_marked", "_unended", "_commas")
-    shape = (
-        F.when((F.char_length(text) < LEAST_CHARACTERS) | F.col(text).isNull() | (F.col("n_visible") == 0), F.lit(None).cast("string"))
-        .when(F.col("sound_share") < READABLE, "junk")
+def statistics(texts: DataFrame, text: str = "text", drop: bool = False) -> DataFrame:
+    """``texts`` with all statistics of column ``text``; other columns stay."""
+    return shares(measured(texts, text, drop))
+
+
+def shape(characters: Column) -> Column:
+    """The shape of a text of so many ``characters``, from the statistics of its body."""
+    repeats = F.greatest("dominant_bigram_share", "dominant_trigram_share", "dominant_4gram_share", "duplicate_line_share", "duplicate_paragraph_share")
+    return (
+        F.when((characters < LEAST_CHARACTERS) | characters.isNull() | (F.col("n_visible") == 0), F.lit(None).cast("string"))
+        .when(F.coalesce("sound_share", F.lit(0.0)) < READABLE, "junk")
         .when((F.col("bullet_share") > MOST) & (F.col("readable_share") >= READABLE), "list")
         .when(F.col("table_share") > MOST, "table")
         .when(F.col("readable_share") < READABLE, "junk")
         .when(F.col("list_share") > MOST, "list")
+        .when((F.col("n_words") >= REPEATING_WORDS) & (repeats > MOST), "junk")
         .otherwise("prose")
     )
-    return once(ready, {"text_shape": shape})
+
+
+def shaped(texts: DataFrame, text: str = "text", body: str = "body") -> DataFrame:
+    """``texts`` without ``text`` and ``body``, with the statistics of ``body`` and ``text_shape``."""
+    wide = F.regexp_replace(F.translate(F.col(body), *wide_maps()), r"\p{Cf}+", "")
+    clear = F.when(F.col(body).rlike(r"[^\x00-\x7f]") & F.col(body).rlike(WIDE), wide).otherwise(F.col(body))
+    own = texts.withColumns({body: clear, "_characters": F.char_length(text)}).drop(*([] if text == body else [text]))
+    return statistics(own, body, drop=True).withColumn("text_shape", shape(F.col("_characters"))).drop("_characters")
 
 
 def shapes(documents: DataFrame, promotions: DataFrame) -> DataFrame:

@@ -56,12 +56,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.filter("text_shape <> 'prose'").select("record_kind", "record_id", "text_shape").distinct()
 
 
+STATISTICS = (
+    "n_characters n_words n_visible n_symbols n_lines n_ended_lines n_readable n_common n_sentence_ends n_tokens n_numbers n_paragraphs mean_word_length symbol_share ended_line_share common_word_share "
+    "readable_share sound_share duplicate_line_share duplicate_paragraph_share dominant_bigram_share dominant_trigram_share dominant_4gram_share"
+).split()
+
+
 @query
 def p3_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """All statistics of every document and promotion record text."""
     own = table(spark, folder, "documents", "doc_id", "text").select(F.lit("document").alias("record_kind"), F.col("doc_id").alias("record_id"), "text")
     other = table(spark, folder, "promotion_records", "promotion_id", "text").select(F.lit("promotion").alias("record_kind"), F.col("promotion_id").alias("record_id"), "text")
-    return quality.statistics(own.unionByName(other.distinct())).drop("text")
+    return quality.statistics(own.unionByName(other.distinct()), drop=True).select("record_kind", "record_id", *STATISTICS)
 
 
 # 4: near-duplicates

@@ -24,7 +24,7 @@ def test_shapes(spark):
     for kind in ("document", "promotion"):
         shape = {r.record_id: r.text_shape for r in got.filter(f"record_kind = '{kind}'").collect()}
         assert {k: shape[k] for k, _, _ in own} == {k: s for k, s, _ in own}
-    assert shape[100] is None and shape[101] is None and shape[102] is None and shape[103] == "prose"
+    assert shape[100] is None and shape[101] is None and shape[102] is None and shape[103] == "junk"
     assert quality.shapes(df.limit(0), promotions.limit(0)).count() == 0
 
 
@@ -39,6 +39,7 @@ def test_notices_do_not_decide(spark):
 
 def test_statistics_by_hand(spark):
     df = spark.createDataFrame([(1, "the cat sat.\nthe cat sat.\n\nend", 5), (2, "", 5), (3, None, 5)], "id int, text string, n_words int")
+    assert "text" in quality.statistics(df).columns and quality.statistics(df.limit(0)).count() == 0
     got = {r.id: r for r in quality.statistics(df).collect()}
     one = got[1]
     assert (one.n_words, one.n_lines, one.n_sentence_ends, one.n_common) == (7, 3, 2, 2)
@@ -77,13 +78,51 @@ def test_statistics_of_both_kinds(spark, tmp_path):
     assert rows(got) == [("document", 1, 4, 0.5, 16 / 17), ("document", 2, 0, None, None), ("promotion", 1, 4, 0.0, 6 / 7), ("promotion", 3, 0, None, None)]
 
 
-def test_first_sight_is_no_shortcut(spark):
+def test_shapes_at_the_edge_of_prose(spark):
+    texts = [
+        ("table", "river stone,north side,open gate.\nsmall bridge,south bank,shut door.\nlong valley,east road,open field.\ngreen island,west shore,shut house."),
+        ("list", "Bring all these with you today.\n\nsome fresh bread\ncold milk from here\na warm blanket\nthe sharp knives\na long rope\nwater and salt"),
+        ("junk", "dp kk xdb pzkh mm nbgk. cr mhsx mwhj phv ttr. dk lmn prst kk wrt.\nnbgkczn fslvnhrn phvkk cr. mhsxchq mwhjpx dp kk."),
+        ("junk", "Xkrt bnmp wrtk qpfg zxcv. " * 12),
+        ("junk", "Xkrt bnmp wrtk qpfg zxcv " * 12),
+        ("prose", "The river runs north, and the old bridge crosses it.\n\nNobody has seen the gate open in a long time.\nIt stays shut."),
+    ]
+    none = spark.createDataFrame([], "doc_id long, source string, text string")
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "promotion_id long, text string")
+    assert [r.text_shape for r in quality.shapes(none, df).orderBy("record_id").collect()] == [s for s, _ in texts]
+
+
+def test_boilerplate_is_known_by_repetition(spark):
+    line = "Come back soon for more of these lessons. "
+    own = "The {} of the old town stands beside the wide river, where a few people wait for the next boat. "
     texts = {
-        "table": "river stone,north side,open gate.\nsmall bridge,south bank,shut door.\nlong valley,east road,open field.\ngreen island,west shore,shut house.",
-        "list": "Bring all these with you today.\n\nsome fresh bread\ncold milk from here\na warm blanket\nthe sharp knives\na long rope\nwater and salt",
-        "junk": "dp kk xdb pzkh mm nbgk. cr mhsx mwhj phv ttr. dk lmn prst kk wrt.\nnbgkczn fslvnhrn phvkk cr. mhsxchq mwhjpx dp kk.",
-        "prose": "The river runs north, and the old bridge crosses it.\n\nNobody has seen the gate open in a long time.\nIt stays shut.",
+        "again and again": line * 8,
+        "lines": "\n".join([line.strip(), own.format("gate").strip()] + [line.strip()] * 3 + ["Nothing else is said."] * 3),
+        "paragraphs": "\n\n".join(f"{line}{line[:20]}it ends." for _ in range(5)),
+        "twice": own.format("gate") + own.format("wall") + "And so on, as the keeper of the light told me when I asked.",
     }
     none = spark.createDataFrame([], "doc_id long, source string, text string")
     df = spark.createDataFrame(list(enumerate(texts.values())), "promotion_id long, text string")
-    assert [r.text_shape for r in quality.shapes(none, df).orderBy("record_id").collect()] == list(texts)
+    assert [r.text_shape for r in quality.shapes(none, df).orderBy("record_id").collect()] == ["junk", "junk", "junk", "prose"]
+
+
+def test_long_texts_in_one_pass():
+    import time
+
+    from glyphloom.llm.measures import SLICE, measure
+
+    words = [f"w{k % 9973}" for k in range(700_000)]
+    began = time.process_time()
+    got = measure(["", " ".join(words), "end"])
+    assert len(" ".join(words)) > SLICE and got["n_words"].tolist() == [0, 700_000, 1]
+    assert time.process_time() - began < 20
+
+
+def test_measures_do_not_depend_on_neighbours():
+    from glyphloom.llm.measures import measure
+
+    texts = [t for ts in TEXTS.values() for t in ts] + ["", "\n\n", ".", " - ", "a,b,c\nd,e,f", "1) one\n2) two"]
+    every = measure(texts)
+    for k, t in enumerate(texts):
+        alone = measure([t])
+        assert all(repr(alone[name][0]) == repr(every[name][k]) for name in every), t
