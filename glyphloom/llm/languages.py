@@ -3,7 +3,7 @@
 * Features are hashed pairs and triples of neighbouring letters (anything else is a word boundary), weighted by TF-IDF. Document frequencies are counted over all
   records; the term frequency is a feature's share of its segment.
 * The classifier is sparse multinomial logistic regression, fitted by follow-the-regularised-leader with elastic-net penalties on the segments of a bounded sample of
-  labelled records (``SAMPLE``), in the order of a hash. As labels are noisy, segments that the first fit contradicts are left out of the second.
+  distinct labelled texts (``SAMPLE``), in the order of a hash. As labels are noisy, segments that the first fit contradicts are left out of the second.
 * Confidences are calibrated by one temperature, fitted on held-out segments.
 * A text is cut into sentences (runs of words where no sentence ends). Each gets its probabilities; a record's languages are the most probable sequence over its
   segments, in which a change of language has a price, so that one uncertain sentence makes no record mixed.
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.llm.repeated_lines import without_notices
+from glyphloom.session import materialize
 
 LANGUAGES = ["de", "en", "es", "fr", "pt", "ru"]
 # The usual spellings of the languages' names, in lower case, without region.
@@ -253,15 +254,20 @@ def _labelled_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         yield pd.DataFrame(rows, columns=["text", "label"])
 
 
-def train_on(records: DataFrame, idf: np.ndarray, n: int, sample: int = SAMPLE, most: int = SEGMENTS) -> np.ndarray:
-    """Fit on segments of about ``sample`` of the ``n`` records, drawn by a hash of their text if they have a known ``label``; of up to ``most`` segments, drawn by another.
+def train_on(records: DataFrame, idf: np.ndarray, sample: int = SAMPLE, most: int = SEGMENTS) -> np.ndarray:
+    """Fit on segments of about ``sample`` distinct labelled texts, drawn by a hash of the text; of up to ``most`` segments, drawn by another.
 
-    Records are drawn by a share of the hash's range and cut where they lie, so that tasks send only segments of the sample.
+    Both are drawn by a share of the hash's range, the texts are cut where they lie, and copies of a text count once: a task sends only segments of the sample, and
+    a text that many records share takes no other's place.
     """
-    share = min(1.0, 1.25 * sample / max(n, 1))
-    drawn = records.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share) or 1)))
-    cut = drawn.select("text", "label").mapInPandas(_labelled_segments, "text string, label string")
-    rows = cut.orderBy(F.xxhash64("text", "label"), "text", "label").limit(most).collect()
+    known = records.filter(F.col("label").isNotNull() & F.col("text").isNotNull())
+    part = lambda share: F.lit(max(1, int((1 << 30) * min(1.0, share))))
+    within = lambda hashed, share: F.pmod(hashed, F.lit(1 << 30)) < part(share)
+    texts = known.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
+    drawn = known.filter(within(F.xxhash64("text"), 1.25 * sample / max(texts, 1))).select("text", "label").distinct()
+    cut = materialize(drawn.mapInPandas(_labelled_segments, "text string, label string").distinct())
+    n = cut.count()
+    rows = cut.filter(within(F.xxhash64("text", "label"), 1.1 * most / max(n, 1))).orderBy(F.xxhash64("text", "label"), "text", "label").limit(most).collect()
     return fit([r[0] for r in rows], np.array([LANGUAGES.index(r[1]) for r in rows], np.int64), idf)
 
 
@@ -340,8 +346,8 @@ def records(documents: DataFrame, workbook: DataFrame) -> DataFrame:
 def recognised(documents: DataFrame, workbook: DataFrame, details: bool = False) -> DataFrame:
     """``record_kind, record_id, label, language, confidence, letters``: a row for each language of each record. With ``details``, a row for each segment instead."""
     raw = documents.select(label(F.col("lang")).alias("label"), "text").unionByName(workbook.select(label(F.col("source_language")).alias("label"), F.col("original_text").alias("text")))
-    idf, n = inverse_frequencies(raw)
-    weights = documents.sparkSession.sparkContext.broadcast(train_on(raw, idf, n))
+    idf, _ = inverse_frequencies(raw)
+    weights = documents.sparkSession.sparkContext.broadcast(train_on(raw, idf))
     schema = "record_kind string, record_id long, label string, " + ("segment int, segment_text string, language string, confidence double" if details else "language string, confidence double, letters long")
     return records(documents, workbook).select("record_kind", "record_id", "label", "body").mapInPandas(_recognise(weights, details), schema)
 

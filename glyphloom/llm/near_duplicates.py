@@ -108,7 +108,9 @@ class Layout:
         share = np.array([c / n for _, c in common], float).clip(1e-9, 1 - 1e-3)
         top = np.sort(np.argsort(-share, kind="stable")[:ORDERED])
         known = F.array(*[F.lit(int(w)) for w in words[top]]) if len(top) else F.array().cast("array<bigint>")
-        sample = [r[0] for r in hashed.orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE).select(F.array_intersect("bits", known)).collect()]
+        # Drawn by a share of the hash's range, so that tasks send only sets of the sample, whatever their number.
+        drawn = hashed.filter(F.pmod(F.xxhash64("class_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.1 * SAMPLE / n) * (1 << 30))))
+        sample = [r[0] for r in drawn.select("class_id", F.array_intersect("bits", known).alias("bits")).orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE).select("bits").collect()]
         order = top[correlated_order(sample, words[top])] if len(top) else np.array([], int)
         place = _by_hash(words)
         mass = -share[order] * np.log(share[order]) - (1 - share[order]) * np.log1p(-share[order])

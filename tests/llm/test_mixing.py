@@ -16,7 +16,9 @@ def test_flight_keeps_both_totals():
         q = mx.flight(p, z, rng)
         assert abs(sum(p) - sum(q)) < 1e-6 and abs(sum(a * b for a, b in zip(p, z)) - sum(a * b for a, b in zip(q, z))) < 1e-4
         assert sum(0 < x < 1 for x in q) <= 2
-        assert all(x in (0.0, 1.0) for x in mx.landing(q, z, rng))
+        assert sum(0 < x < 1 for x in mx.flight(p, z, rng, 12)) <= 12
+        landed = mx.landing(list(q), z)
+        assert all(x in (0.0, 1.0) for x in landed) and all(a == b for a, b in zip(q, landed) if b in (0, 1) and a in (0, 1))
 
 
 def test_chances_are_kept():
@@ -24,11 +26,21 @@ def test_chances_are_kept():
     total = [0.0] * 6
     for seed in range(4000):
         rng = random.Random(seed)
-        q = mx.landing(mx.flight(p, z, rng), z, rng)
+        q = mx.flight(p, z, rng)
         total = [a + b for a, b in zip(total, q)]
     assert all(abs(t / 4000 - x) < 0.035 for t, x in zip(total, p))
 
 
+def test_landing_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(30):
+        n = rng.randrange(1, 9)
+        p, z = [rng.uniform(0.05, 0.95) for _ in range(n)], [float(rng.randrange(0, 60)) for _ in range(n)]
+        want = min(abs(sum(z[i] for i in range(n) if k >> i & 1) - sum(a * b for a, b in zip(p, z))) for k in range(1 << n))
+        got = mx.landing(list(p), z)
+        assert abs(abs(sum(a * b for a, b in zip(got, z)) - sum(a * b for a, b in zip(p, z))) - want) < 1e-6
+
+
 def test_shares_caps_and_blocks(spark):
     rng = random.Random(3)
     docs = [(k, rng.choice(["a", "a", "a", "b", "c", None]), "t" * rng.randrange(10, 400), 1) for k in range(3000)] + [(9000, "c", None, 1), (9001, "c", "", 1), (9002, None, "x", 1)]
@@ -56,3 +68,21 @@ def test_empty(spark):
     df = spark.createDataFrame([(1, "a", "abc")], "doc_id long, source string, text string")
     t = spark.createDataFrame([(1, "a", 1.0, 2, 0.5)], TARGETS)
     assert mx.mix(df.limit(0), t)[0].count() == 0 and mx.mix(df, t.limit(0))[1].count() == 0
+
+
+def test_shares_of_small_budgets(spark):
+    """Every source that is not short comes within a smallest document, or two per cent, of its target, whatever single documents there are."""
+    rng = random.Random(8)
+    docs = [(k, "abc"[k % 3], "t" * (rng.randrange(40, 400) if k % 50 else 20_000)) for k in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    t = spark.createDataFrame([(1, s, 1 / 3, 2, f) for s, f in (("a", 0.02), ("b", 0.02), ("c", 0.02))] + [(2, s, 1 / 3, 2, 0.9) for s in "abc"], TARGETS)
+    for r in mx.mix(df, t)[1].collect():
+        assert not r.short and abs(r.reached_bytes - r.target_bytes) <= max(40, 0.02 * r.target_bytes)
+
+
+def test_large_documents_are_settled_first():
+    rng = random.Random(4)
+    for _ in range(20):
+        z = [float(rng.randrange(50, 300)) for _ in range(400)] + [9000.0, 12_000.0, 4000.0]
+        q = mx.flight([0.6] * len(z), z, rng)
+        assert all(size < 300 for x, size in zip(q, z) if 0 < x < 1)
