@@ -35,7 +35,7 @@ def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 # 2: scanned pages
 def _scan_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return table(spark, folder, "regions"), table(spark, folder, "paragraphs", "paragraph_id", "text"), table(spark, folder, "benchmark_slides", "benchmark_id", "candidate_text")
+    return table(spark, folder, "regions"), table(spark, folder, "paragraphs", "paragraph_id", "video_id", "text"), table(spark, folder, "benchmark_slides", "benchmark_id", "video_id", "candidate_text")
 
 
 @query

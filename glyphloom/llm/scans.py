@@ -1,29 +1,34 @@
 """Noise of scanned pages: words broken at line ends, misread characters, and page furniture; found, and repaired into paragraphs.
 
 Words are counted over all texts. Those with at least ``LEAST`` occurrences and ``RARE`` of all words are the lexicon: there can be no more than 1 / ``RARE`` of them,
-which bounds what is broadcast. A text loses its line ends and is decoded as a whole: over its tokens runs the cheapest path of
+which bounds what is broadcast. A text loses its line ends and becomes a stream of characters and gaps, in which the cheapest path of words is found (Viterbi). From each place
+where a word may begin, the words of the lexicon that the stream can be read as are followed character by character, together with
 
-* a token as it stands (the rarer, the dearer; unknown ones cost more than any known word),
-* a token with some of its characters misread (``CONFUSIONS``, a fixed price each),
-* a token that is two words run together,
-* neighbouring tokens that are one word: parted by a mark at a line end (which may be the word's own hyphen), or by a space if one of them is no word.
+* confused characters (``CONFUSIONS``, a price and a demand on the word's frequency for each),
+* spaces within a word (a merge), unless all its parts are words,
+* marks at line ends within a word, which are dropped or are the word's own hyphen,
+* ends and beginnings within a token that is no word itself (a split),
 
-Texts of known words without marks at line ends cost nothing more than a look-up per word, as no other path can be cheaper. A word that is broken
-between two regions of a frame is decoded with both parts.
+in any number and together. A token as it stands is a step too (the rarer, the dearer; unknown ones cost more than any known word). Tokens that are known words away from unknown ones
+and marks are settled beforehand, as no other path can be cheaper there. A word that is broken between two regions of a frame is decoded with both parts.
 
-Furniture is judged by lines: page numbers, running heads, notices; and, in the frames of a video, lines that stand in too many of them (see
-``repeated_lines``). A region is furniture if the line that it is part of is.
+Furniture is known by repetition. Page numbers are known by their form. Lines that stand in too many frames of a video (see ``repeated_lines``), and lines with a running number at their edge,
+are what heads, footers and notices are learned from: a template is such a line with one to three capitalised words left open, if each open place was filled in ``FILLERS`` ways
+in as many videos. Lines that fit a template are furniture everywhere. A region is furniture if the line that it is part of is.
 
 Paragraph boundaries are chosen by dynamic programming over the lines: a boundary is cheap behind a short line that ends a sentence, before a capital,
-and dear elsewhere; blank lines are boundaries. Texts are brought to one consistent form first. Null and empty texts have no noise and no paragraphs.
+and dear elsewhere; blank lines are boundaries; a paragraph may have any number of lines. Texts are brought to one consistent form first. Null and empty texts have no noise and no paragraphs.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,30 +41,28 @@ from glyphloom.sources.tables import latest
 
 # Characters as recognised, and what they were.
 CONFUSIONS = "0 o, 1 l, 1 i, ! i, ! l, | l, | i, 5 s, 6 b, 8 b, 9 g, 3 e, rn m, m rn, vv w, cl d, d cl, ii u, u ii, ri n, n ri, nn m, c e, e c, b h, h b, f t, t f, q g, g q, u v, v u, i l, l i, ı i"
-PAIRS = [tuple(p.split()) for p in CONFUSIONS.split(", ")]
+ALTERNATIVES: dict[str, list[tuple[str, str]]] = {}
+for _pair in CONFUSIONS.split(", "):
+    _seen, _was = _pair.split()
+    ALTERNATIVES.setdefault(_seen[0], []).append((_seen, _was))
 MARKS = "-¬=‐\xad"
 #: Stands between the texts of a line's regions.
 PART = "\x1f"
 LEAST, RARE = 3, 1e-6
 #: How much more frequent a word must be than a token that is taken for a misreading of it, for each confused place.
 RATIO = 15.0
-PLACES = 2
 SPLIT, MERGE, JOIN = 6.0, 6.0, 0.2
 #: What an unknown token costs more than the rarest word, and for each of its characters.
 UNKNOWN, STRANGE = 1.2, 0.7
-# Words by which running heads are known, and the small words in them.
-HEADS = set("handbook papers proceedings bulletin annals transactions yearbook gazette quarterly handbuch".split())
-SMALL = set("and of the for in on a an volume part series number one two three four five six seven eight nine ten und der die das et de la le les y del e do da i и".split())
+#: A template's open places: how many at most, how many fillers each needs and videos, and that share of all videos.
+OPEN, FILLERS, TEMPLATE_SHARE = 3, 4, 1e-3
 
+# The forms of page numbers.
 _PAGE = re.compile(
     r"(?i)\s*(?:(?:page|pg\.?|p\.|seite|s\.|página|pagina|pág\.|slide|folie|стр\.?|страница)\s*\d{1,4}(?:\s*(?:of|/|von|de|sur|из)\s*\d{1,4})?|\d{1,3}|[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]|\d{1,4}\s*/\s*\d{1,4})\s*"
 )
-# Phrases of notices, in lower case.
-NOTICES = ["©", "all rights reserved", "licensed to ", "licenced to ", "subscribe to ", "recorded by ", "internal use only", "do not share", "like and share", "www.", "http://", "https://", "lecture series, part ", " academy | "]
-_CHAPTER = re.compile(r"(?i)(?:chapter|kapitel|chapitre|capítulo|section|глава)\s+\d+\b")
-_VOLUME = re.compile(r"(?i)\b(?:volume|vol\.|band|tome|tomo|том)\s+(?:\d+|[ivx]+|one|two|three|four|five|six|seven|eight|nine|ten)$")
-_EDGE = re.compile(r"^\d{1,4}\s+|\s+\d{1,4}$")
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_EDGE = re.compile(r"^\d{1,4}\s{2,}|\s+\d{1,4}$")
+_PARTS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]")
 _TOKEN = re.compile(r"(?:[^\W_]|[!|])(?:[^\s\"“”«»(){}\[\],;:?…]*(?:[^\W_]|[!|]))?")
 _MARKED = re.compile(rf"[^\W\d_][{MARKS}][ \t]*(?:\n|$)")
 _LINE_END = re.compile(rf"([^\W\d_]+)[{MARKS}][ \t]*$")
@@ -67,50 +70,74 @@ _END = re.compile(r"[.!?…][\"'”’»)\]]*\s*$")
 WORDS = rf"\p{{L}}+(?:['’-]\p{{L}}+)*(?![\p{{L}}{MARKS}])"
 
 
-def is_furniture(line: str) -> bool:
-    """Whether a line is a page number, a running head or a notice by its form alone."""
-    text = line.strip()
-    if not text or len(text) > 120:
-        return False
-    low = text.lower()
-    if any(phrase in low for phrase in NOTICES):
-        return True
-    # Most lines end here: a head begins with a capital or a number, and a page number has a digit.
-    if text[0].islower() and text[0] not in "psfс":
-        return False
-    if any(c.isdigit() for c in text) and _PAGE.fullmatch(text):
-        return True
-    if text[0].islower():
-        return False
-    core = _EDGE.sub("", text)
-    words = _WORD.findall(core)
-    if not words or len(words) > 9 or _END.search(core):
-        return False
-    capital = all(w[0].isupper() or w.lower() in SMALL for w in words)
-    if not capital:
-        return False
-    if _CHAPTER.match(core) or _VOLUME.search(core) or any(w.lower() in HEADS for w in words):
-        return len(words) > 1
-    return core != text and len(words) > 1 and bool(re.search(r"^\d{1,4}\s{2,}|\s{2,}\d{1,4}$", text))
-
-
-def readings(token: str, places: int = PLACES) -> Iterator[dict[str, tuple[int, int, int]]]:
-    """What ``token`` may have been, other than itself, by the number of confused places: the words, each with that number and the first and last of its places."""
-    seen_before = {token}
-    front = {token: (0, len(token), -1)}
-    for _ in range(places if len(token) <= 24 else 1):
-        grown: dict[str, tuple[int, int, int]] = {}
-        for word, (n, first, last) in front.items():
-            for seen, was in PAIRS:
-                at = word.find(seen)
-                while at >= 0:
-                    new = word[:at] + was + word[at + len(seen) :]
-                    if new not in seen_before:
-                        seen_before.add(new)
-                        grown[new] = (n + 1, min(first, at), max(last, at + len(seen) - 1))
-                    at = word.find(seen, at + 1)
-        yield grown
-        front = grown
+def templates(line: str) -> Iterator[tuple[str, tuple[str, ...]]]:
+    """``line`` with numbers open and up to ``OPEN`` of its first eight capitalised words as well: each template that still has a word, and its fillers."""
+    parts = _PARTS.findall(line)
+    low = ["#" if x[0].isdigit() else x.lower() for x in parts]
+    names = [k for k, x in enumerate(parts) if x[0].isupper()][:8]
+    for n in range(1, OPEN + 1):
+        for places in itertools.combinations(names, n):
+            form = list(low)
+            for k in places:
+                form[k] = "@"
+            if any(x[0].isalpha() for x in form):
+                yield " ".join(form), tuple(low[k] for k in places)
+
+
+class Furniture:
+    """What lines are furniture: page numbers, and those that fit a learned template."""
+
+    def __init__(self, known: list[str] | tuple[str, ...] = ()) -> None:
+        self.known = set(known)
+        # A line that has no word of a template's fitting rarest one cannot fit it.
+        words = [[w for w in form.split(" ") if w[0].isalpha()] for form in self.known]
+        often: dict[str, int] = {}
+        for w in itertools.chain.from_iterable(words):
+            often[w] = often.get(w, 0) + 1
+        self.keys = {max(own, key=lambda w: (often[w], len(w), w)) for own in words if own}
+        self.cache: dict[str, bool] = {}
+
+    def __contains__(self, line: str) -> bool:
+        text = line.strip()
+        if not text:
+            return False
+        found = self.cache.get(text)
+        if found is None:
+            found = _PAGE.fullmatch(text) is not None or self._fits(text)
+            if len(self.cache) > 200_000:
+                self.cache.clear()
+            self.cache[text] = found
+        return found
+
+    def _fits(self, text: str) -> bool:
+        if not self.keys or self.keys.isdisjoint(x.lower() for x in _PARTS.findall(text)):
+            return False
+        return any(form in self.known for part in {text, _EDGE.sub("", text)} for form, _ in templates(part))
+
+
+class Step(NamedTuple):
+    """A word of a decoded stream: its first and last token, where in them it begins and ends, its text, what it is, the tokens with confused characters, and the gaps within it (token before, kind)."""
+
+    first: int
+    last: int
+    begin: int
+    end: int
+    text: str
+    kind: str
+    confused: tuple[int, ...] = ()
+    gaps: tuple[tuple[int, str], ...] = ()
+
+
+class Found(NamedTuple):
+    end: int
+    word: str
+    places: tuple[tuple[int, int], ...]
+    gaps: tuple[tuple[int, str], ...]
+
+
+#: Gaps in a stream: a space, a hyphen at a line end, another mark there, and what no word reaches over.
+SPACE, HYPHEN, MARK, WALL = " ", "\x01", "\x02", "\x00"
+GAPS = SPACE + HYPHEN + MARK + WALL
 
 
 class Lexicon:
@@ -118,105 +145,172 @@ class Lexicon:
 
     def __init__(self, counts: dict[str, int], total: int) -> None:
         self.counts, self.total = counts, max(total, 2)
+        self.words = sorted(counts)
         self.fronts: dict[str, int] = {}
         for word, n in counts.items():
             at = word.find("-")
             while at > 0:
                 self.fronts[word[:at]] = self.fronts.get(word[:at], 0) + n
                 at = word.find("-", at + 1)
+        #: More places than these would need a more frequent word than there is.
+        self.places = int(math.log(max(2 * max(counts.values(), default=1), 1)) / math.log(RATIO))
         self.unknown = math.log(self.total) + UNKNOWN
-        self.cache: dict[str, tuple[float, str, int, int, int]] = {}
+        self.cache: dict[str, tuple[float, str, int]] = {}
         self.clean: set[str] = set()
+        self.prefixes: dict[str, bool] = {}
 
     def cost(self, word: str) -> float | None:
         n = self.counts.get(word)
         return None if n is None else math.log(self.total / n)
 
-    def read(self, token: str) -> tuple[float, str, int, int, int]:
-        """The cheapest reading of one token: cost, word, confused places, first and last of them."""
+    def begins(self, prefix: str) -> bool:
+        """Whether any word begins with ``prefix``."""
+        known = self.prefixes.get(prefix)
+        if known is None:
+            at = bisect_left(self.words, prefix)
+            known = at < len(self.words) and self.words[at].startswith(prefix)
+            if len(self.prefixes) > 300_000:
+                self.prefixes.clear()
+            self.prefixes[prefix] = known
+        return known
+
+    def follow(self, stream: str, start: int, places: int) -> Iterator[Found]:
+        """Every word that ``stream`` can be read as from ``start``, with up to so many confused places, over any gaps but walls."""
+        stack = [(start, "", (), ())]
+        while stack:
+            at, prefix, confused, gaps = stack.pop()
+            if prefix in self.counts and stream[at - 1] not in GAPS:
+                yield Found(at, prefix, confused, gaps)
+            c = stream[at] if at < len(stream) else WALL
+            if c == WALL:
+                continue
+            if c in GAPS:
+                if at > start:
+                    stack.append((at + 1, prefix, confused, (*gaps, (at, "merged" if c == SPACE else "broken"))))
+                    if c == HYPHEN and self.begins(prefix + "-"):
+                        stack.append((at + 1, prefix + "-", confused, (*gaps, (at, "own"))))
+                continue
+            if self.begins(prefix + c):
+                stack.append((at + 1, prefix + c, confused, gaps))
+            if len(confused) < places:
+                for seen, was in ALTERNATIVES.get(c, ()):
+                    if stream.startswith(seen, at) and self.begins(prefix + was):
+                        stack.append((at + len(seen), prefix + was, (*confused, (at, at + len(seen) - 1)), gaps))
+
+    def _likely(self, word: str, places: int, seen: str) -> bool:
+        """The word must be as many times more frequent than what was seen as its places say, with something unseen at half an occurrence."""
+        return not places or (len(word) > 2 and self.counts[word] >= RATIO**places * max(self.counts.get(seen, 0), 0.5))
+
+    def read(self, token: str) -> tuple[float, str, int]:
+        """The cheapest reading of one token: cost, word, confused places. A reading with fewer confused places goes first."""
         known = self.cache.get(token)
         if known is not None:
             return known
         low = token.lower()
         if not low.isupper() and any(a.islower() and b == "I" for a, b in zip(token, token[1:])):
-            low = "".join("l" if k and c == "I" and token[k - 1].islower() else c.lower() for k, c in enumerate(token))
-            if self.counts.get(low, 0) >= RATIO:
-                at = [k for k, c in enumerate(token) if k and c == "I"]
-                best = (self.cost(low) + math.log(RATIO), low, 1, at[0], at[-1])
-                return self._kept(token, best)
-            low = token.lower()
+            other = "".join("l" if k and c == "I" and token[k - 1].islower() else c.lower() for k, c in enumerate(token))
+            if self.counts.get(other, 0) >= RATIO:
+                return self._kept(token, (self.cost(other) + math.log(RATIO), other, 1))
         plain = self.cost(low)
-        best = (self.unknown + STRANGE * len(low) if plain is None else plain, low, 0, -1, -1)
-        if any(c.isalpha() for c in low) and len(low) > 2:
-            # Two places are looked for only where one doesn't do, and in tokens that are no words themselves.
-            for found in readings(low, PLACES if plain is None else 1):
-                for word, (n, first, last) in found.items():
-                    price = self.cost(word)
-                    # The word must be as many times more frequent than the token as its places say, with an unseen token at half an occurrence.
-                    if price is not None and self.counts[word] >= RATIO**n * max(self.counts.get(low, 0), 0.5) and len(word) > 2:
-                        price += math.log(RATIO) * n * 0.5
-                        if best[2] == 0 or price < best[0]:
-                            best = (price, word, n, first, last)
-                if best[2]:
-                    break
+        best = (self.unknown + STRANGE * len(low) if plain is None else plain, low, 0)
+        if len(low) > 2 and any(c.isalpha() for c in low):
+            fits = [(len(f.places), self.cost(f.word), f.word) for f in self.follow(low, 0, self.places if plain is None else 1) if f.end == len(low) and f.places and self._likely(f.word, len(f.places), low)]
+            if fits:
+                n, price, word = min(fits)
+                best = (price + math.log(RATIO) * n * 0.5, word, n)
         return self._kept(token, best)
 
-    def _kept(self, token: str, best: tuple[float, str, int, int, int]) -> tuple[float, str, int, int, int]:
+    def _kept(self, token: str, best: tuple[float, str, int]) -> tuple[float, str, int]:
         if len(self.cache) > 200_000:
             self.cache.clear()
         self.cache[token] = best
         return best
 
-    def split(self, token: str) -> tuple[float, str] | None:
-        """``token`` as two words run together."""
-        low, best = token.lower(), None
-        for k in range(2, len(low) - 1):
-            a, b = self.counts.get(low[:k], 0), self.counts.get(low[k:], 0)
-            if min(a, b) >= RATIO and (price := self.cost(low[:k]) + self.cost(low[k:]) + SPLIT) < (best[0] if best else math.inf):
-                best = (price, token[:k] + " " + token[k:])
-        return best
+    def lost(self, token: str) -> bool:
+        """Whether a token has letters and no reading of its own."""
+        return self.read(token)[0] >= self.unknown and len(token) > 2 and any(c.isalpha() for c in token)
 
-    def decode(self, tokens: list[tuple[str, str]]) -> list[tuple[int, int, str, str, tuple[int, int, int]]]:
-        """The cheapest path over (token, gap behind it): steps (first token, tokens, text, kind, confusions).
-
-        A gap is a space, a mark at a line end, or nothing known ('').
-        """
+    def decode(self, tokens: list[tuple[str, str]]) -> list[Step]:
+        """The cheapest path over (token, gap behind it). A gap is a space, a mark at a line end, or one that no word reaches over ('')."""
         n = len(tokens)
-        best: list[tuple] = [(0.0, None)] + [(math.inf, None)] * n
-        for i in range(n):
-            base, token = best[i][0], tokens[i][0]
-            price, word, k, first, last = self.read(token)
-            self._offer(best, i, i + 1, base + price, (i, 1, _cased(word, token) if k else token, "misread" if k else "plain", (k, first, last)))
-            if price >= self.unknown and len(token) > 4 and (two := self.split(token)):
-                self._offer(best, i, i + 1, base + two[0], (i, 1, two[1], "split", (0, -1, -1)))
-            if i + 1 < n and (gap := tokens[i][1]):
-                other = tokens[i + 1][0]
-                if gap in MARKS:
-                    own = (token + "-" + other).lower()
-                    if gap == "-" and (price := self.cost(own)) is not None:
-                        self._offer(best, i, i + 2, base + price + JOIN, (i, 2, token + "-" + other, "own", (0, -1, -1)))
-                    price, word, k, first, last = self.read(token + other)
-                    if price < self.unknown:
-                        self._offer(best, i, i + 2, base + price + JOIN, (i, 2, _cased(word, token + other) if k else token + other, "broken", (k, first, last)))
-                elif self.cost(token.lower()) is None or self.cost(other.lower()) is None:
-                    if (price := self.cost((token + other).lower())) is not None:
-                        self._offer(best, i, i + 2, base + price + MERGE, (i, 2, token + other, "merged", (0, -1, -1)))
-        steps, at = [], n
+        open_ = [False] * n
+        for k, (token, gap) in enumerate(tokens):
+            if self.lost(token):
+                open_[max(0, k - 2) : k + 3] = [True] * len(open_[max(0, k - 2) : k + 3])
+            if gap and gap in MARKS and k + 1 < n:
+                open_[k] = open_[k + 1] = True
+        steps, k = [], 0
+        while k < n:
+            if open_[k]:
+                end = k
+                while end < n and open_[end]:
+                    end += 1
+                steps += self._window(tokens[k:end], k)
+                k = end
+            else:
+                steps.append(self._single(tokens[k][0], k))
+                k += 1
+        return steps
+
+    def _single(self, token: str, k: int) -> Step:
+        _, word, n = self.read(token)
+        return Step(k, k, 0, len(token), _cased(word, token) if n else token, "misread" if n else "plain", (k,) if n else ())
+
+    def _window(self, tokens: list[tuple[str, str]], base: int) -> list[Step]:
+        signs = [(SPACE if gap == " " else HYPHEN if gap == "-" else MARK if gap else WALL) for _, gap in tokens]
+        signs[-1] = WALL
+        shown = "".join(token + sign for (token, _), sign in zip(tokens, signs))
+        stream = shown.lower() if len(shown.lower()) == len(shown) else "".join(low if len(low := c.lower()) == 1 else c for c in shown)
+        owner, head = [], []
+        for k, (token, _) in enumerate(tokens):
+            head.append(len(owner))
+            owner += [k] * (len(token) + 1)
+        starts = {at: k for k, at in enumerate(head)}
+        lost = [self.lost(token) for token, _ in tokens]
+        best: list[tuple[float, int, Step | None]] = [(math.inf, -1, None)] * (len(stream) + 1)
+        best[0] = (0.0, -1, None)
+        for at in range(len(stream)):
+            so_far = best[at][0]
+            if so_far == math.inf:
+                continue
+            whole = starts.get(at)
+            if whole is not None:
+                token = tokens[whole][0]
+                end, price = at + len(token) + 1, so_far + self.read(token)[0]
+                if price < best[end][0]:
+                    best[end] = (price, at, self._single(token, base + whole))
+            k = owner[at]
+            for f in self.follow(stream, at, self.places):
+                last = owner[f.end - 1]
+                inside_end = stream[f.end] not in GAPS
+                if (whole is not None and not inside_end and not f.gaps) or (inside_end and not lost[last]):
+                    continue
+                cut = inside_end or whole is None
+                seen = "".join(c for c in stream[at : f.end] if c not in GAPS)
+                if (cut and (len(f.word) < 2 or self.counts[f.word] < RATIO)) or not self._likely(f.word, len(f.places) + (cut and len(f.places) > 0), seen):
+                    continue
+                kinds = [kind for _, kind in f.gaps]
+                if "merged" in kinds and all(self.cost(tokens[x][0].lower()) is not None for x in range(k, last + 1)):
+                    continue
+                price = so_far + self.cost(f.word) + math.log(RATIO) * 0.5 * len(f.places) + sum(MERGE if kind == "merged" else JOIN for kind in kinds) + SPLIT * inside_end
+                end = f.end if inside_end else f.end + 1
+                if price < best[end][0]:
+                    text = "".join("-" if (x, "own") in f.gaps else "" if stream[x] in GAPS else shown[x] for x in range(at, f.end))
+                    kind = "broken" if "broken" in kinds else "own" if "own" in kinds else "merged" if kinds else "split"
+                    confused = tuple(sorted({base + owner[x] for place in f.places for x in place}))
+                    step = Step(base + k, base + last, at - head[k], f.end - head[last], _cased(f.word, text) if f.places else text, kind, confused, tuple((base + owner[x], kind) for x, kind in f.gaps))
+                    best[end] = (price, at, step)
+        steps, at = [], len(stream)
         while at:
-            steps.append(best[at][1])
-            at = best[at][1][0]
+            _, at, step = best[at]
+            steps.append(step)
         return steps[::-1]
 
-    @staticmethod
-    def _offer(best: list[tuple], i: int, j: int, price: float, step: tuple) -> None:
-        if price < best[j][0]:
-            best[j] = (price, step)
-
     def sound(self, token: str) -> bool:
-        """Whether ``token`` is a known word as it stands, so that no other path can be cheaper."""
+        """Whether ``token`` is as it stands what any path would take it for: a known word, or without letters to decode."""
         if token in self.clean:
             return True
-        if self.read(token)[2] or (token not in self.counts and token.lower() not in self.counts):
+        if self.read(token)[2] or self.lost(token):
             return False
         if len(self.clean) > 200_000:
             self.clean.clear()
@@ -254,38 +348,37 @@ def noise(lexicon: Lexicon, text: str, before: str = "", after: str = "") -> tup
     tail = [(after, "", -1, -1)] if after and own[-1][1] in MARKS and own[-1][1] else []
     every = lead + own + tail
     steps = lexicon.decode([(t, g) for t, g, _, _ in every])
+    mine = range(len(lead), len(lead) + len(own))
     broken = misread = False
     placed = []
-    for first, count, word, kind, (k, a, b) in steps:
-        if k:
-            # Of a word in two records, the misread character may be in the other one.
-            start, end = 0, len(every[first][0]) + (len(every[first + 1][0]) if count > 1 else 0) - 1
-            if first < len(lead):
-                start = len(before)
-            if count > 1 and tail and first + 1 == len(every) - 1:
-                end = len(every[first][0]) - 1
-            misread |= a <= end and b >= start and not (first < len(lead) and count == 1)
-        gap = every[first][1]
-        if kind == "broken":
-            broken |= first >= len(lead)
-        elif count == 1 and gap and gap in MARKS and first >= len(lead):
-            front = every[first][0].lower()
+    for step in steps:
+        # Of a word in two records, the misread character may be in the other one.
+        misread |= any(k in mine for k in step.confused)
+        broken |= any(kind == "broken" and k in mine for k, kind in step.gaps)
+        token, gap, start, _ = every[step.last]
+        if gap and gap in MARKS and step.last in mine and step.end == len(token):
             # Without a known whole the mark divides the word, unless words begin with this part and their own hyphen.
-            follows = every[first + 1][0] if first + 1 < len(every) else ""
-            broken |= gap != "-" or (not follows and lexicon.fronts.get(front, 0) < LEAST) or (bool(follows) and follows[:1].islower() and lexicon.fronts.get(front, 0) < LEAST)
-        placed.append((every[first][2], every[first + count - 1][3], word, kind))
+            follows = every[step.last + 1][0] if step.last + 1 < len(every) else ""
+            fronts = lexicon.fronts.get(token.lower(), 0) >= LEAST
+            broken |= gap != "-" or (not fronts and (not follows or follows[:1].islower()))
+        if every[step.first][2] >= 0 and start >= 0:
+            placed.append((every[step.first][2] + step.begin, start + step.end, (" " if step.begin else "") + step.text, step.kind))
     return broken, misread, placed
 
 
-def page_lines(text: str) -> tuple[list[str], bool]:
+def page_lines(furniture: Furniture, text: str) -> tuple[list[str], bool]:
     """The lines of a page without furniture, and whether there was any."""
     lines = text.split("\n")
-    kept = [line for line in lines if not is_furniture(line)]
+    kept = [line for line in lines if line not in furniture]
     return kept, len(kept) < len(lines)
 
 
-def boundaries(lines: list[str], longest: int = 60) -> list[list[str]]:
-    """The paragraphs of ``lines`` (none blank) of least cost."""
+#: Lines of a paragraph up to which it costs nothing to be long, and the price of each further one.
+LONG, FURTHER = 12, 0.02
+
+
+def boundaries(lines: list[str]) -> list[list[str]]:
+    """The paragraphs of ``lines`` (none blank) of least cost, of any length: beginnings further back than ``LONG`` lines differ by a constant, so that the best of them is carried along."""
     if not lines:
         return []
     width = sorted(len(x.strip()) for x in lines)[len(lines) * 3 // 4]
@@ -299,10 +392,15 @@ def boundaries(lines: list[str], longest: int = 60) -> list[list[str]]:
     cut = [0.0] + [between(a, b) for a, b in zip(lines, lines[1:])]
     best = [0.0] + [math.inf] * len(lines)
     start = [0] * (len(lines) + 1)
+    opened = lambda i: best[i] + (cut[i] if i else 0.0)
+    far = (math.inf, 0)
     for j in range(1, len(lines) + 1):
-        for i in range(max(0, j - longest), j):
-            size = j - i
-            price = best[i] + (cut[i] if i else 0.0) + 0.5 * (size == 1) + 0.02 * max(0, size - 12)
+        if j > LONG:
+            i = j - LONG - 1
+            far = min(far, (opened(i) - FURTHER * (i + LONG), i))
+        best[j], start[j] = far[0] + FURTHER * j, far[1]
+        for i in range(max(0, j - LONG), j):
+            price = opened(i) + 0.5 * (j - i == 1)
             if price < best[j]:
                 best[j], start[j] = price, i
     out, j = [], len(lines)
@@ -312,15 +410,15 @@ def boundaries(lines: list[str], longest: int = 60) -> list[list[str]]:
     return out[::-1]
 
 
-def repaired(lexicon: Lexicon, text: str) -> list[str]:
+def repaired(lexicon: Lexicon, furniture: Furniture, text: str) -> list[str]:
     """The paragraphs of a page, in continuous and corrected words."""
-    return repaired_lines(lexicon, page_lines(text)[0])
+    return repaired_lines(lexicon, page_lines(furniture, text)[0])
 
 
-def frame_lines(lines: list[str]) -> list[str]:
+def frame_lines(furniture: Furniture, lines: list[str]) -> list[str]:
     """The lines of a frame without furniture and blank ones. Each is its regions' texts with ``PART`` between them; a mark at a region's end is one at a line end."""
     own = [line.split(PART) for line in lines]
-    kept = ["".join(p + ("\n" if _LINE_END.search(p) else " ") for p in parts).rstrip() for parts in own if not is_furniture(" ".join(parts))]
+    kept = ["".join(p + ("\n" if _LINE_END.search(p) else " ") for p in parts).rstrip() for parts in own if " ".join(parts) not in furniture]
     return [line for line in kept if line]
 
 
@@ -396,32 +494,60 @@ def lexicon_counts(texts: DataFrame) -> tuple[DataFrame, int]:
     return counts.filter(F.col("n") >= max(LEAST, math.ceil(total * RARE))), total
 
 
-_LEXICONS: dict[str, Lexicon] = {}
+def learned_templates(lines: DataFrame) -> list[str]:
+    """Templates of furniture from ``video_id, line``: lines that are repeated in their video, or whose running number was taken off.
+
+    A template holds ``TEMPLATE_SHARE`` of the videos at least, so that there are no more of them than a video has such lines times the templates of a line (at most 92), divided by that share.
+    """
+    videos = lines.agg(F.count_distinct("video_id")).first()[0]
+    least = max(FILLERS, math.ceil(videos * TEMPLATE_SHARE))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(video, form, fillers) for video, line in batch.itertuples(index=False) for form, fillers in templates(line)]
+            yield pd.DataFrame(rows, columns=["video_id", "form", "fillers"])
+
+    forms = materialize(lines.distinct().mapInPandas(run, "video_id string, form string, fillers array<string>"))
+    spread = forms.groupBy("form", "video_id").agg(F.lit(1).alias("_one")).groupBy("form").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("form")
+    filled = forms.select("form", F.posexplode("fillers").alias("place", "filler")).groupBy("form", "place", "filler").agg(F.lit(1).alias("_one")).groupBy("form", "place").agg(F.count("*").alias("n"))
+    found = filled.groupBy("form").agg(F.min("n").alias("n")).filter(F.col("n") >= FILLERS).join(spread, "form").select("form")
+    return sorted(r[0] for r in found.collect())
+
+
+def numbered_lines(texts: DataFrame) -> DataFrame:
+    """``video_id, line`` of the lines of ``texts.text`` that have a running number at their edge, without it."""
+    lines = texts.filter(F.col("video_id").isNotNull()).select("video_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
+    edge = r"^[0-9]{1,4}\s{2,}|\s+[0-9]{1,4}$"
+    return lines.filter(F.col("line").rlike(edge)).select("video_id", F.regexp_replace("line", edge, "").alias("line")).filter("line <> ''")
+
+
+_KNOWN: dict[str, tuple[Lexicon, Furniture]] = {}
 
 
-def _lexicon(shared) -> Lexicon:
-    """The lexicon of a broadcast and its name, made once in each Python worker, with what it has read so far; one at a time."""
+def _known(shared) -> tuple[Lexicon, Furniture]:
+    """The lexicon and the furniture of a broadcast and its name, made once in each Python worker, with what they have read so far; one at a time."""
     shared, key = shared
-    if key not in _LEXICONS:
-        _LEXICONS.clear()
-        _LEXICONS[key] = Lexicon(*shared.value)
-    return _LEXICONS[key]
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        counts, total, forms = shared.value
+        _KNOWN[key] = Lexicon(counts, total), Furniture(forms)
+    return _KNOWN[key]
 
 
 def _examine(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = _lexicon(shared)
+        lexicon, furniture = _known(shared)
         for batch in batches:
             rows = []
             for kind, key, text, before, after, line, known in batch.itertuples(index=False):
                 if kind == "region":
-                    furniture = bool(known) or is_furniture(line or "")
+                    found = bool(known) or (line or "") in furniture
                     broken, misread = noise(lexicon, text, before or "", after or "")[:2]
                 else:
-                    kept, furniture = page_lines(text)
+                    kept, found = page_lines(furniture, text)
                     broken, misread = noise(lexicon, "\n".join(kept))[:2]
-                for name, found in (("broken_word", broken), ("misread_character", misread), ("page_furniture", furniture)):
-                    if found:
+                for name, holds in (("broken_word", broken), ("misread_character", misread), ("page_furniture", found)):
+                    if holds:
                         rows.append((kind, key, name))
             yield pd.DataFrame(rows, columns=["record_kind", "record_id", "noise_kind"])
 
@@ -429,32 +555,36 @@ def _examine(shared):
 
 
 def _tables(paragraphs: DataFrame, slides: DataFrame) -> DataFrame:
-    own = paragraphs.select(F.lit("paragraph").alias("record_kind"), F.col("paragraph_id").alias("record_id"), "text")
-    other = slides.select(F.lit("candidate").alias("record_kind"), F.col("benchmark_id").alias("record_id"), F.col("candidate_text").alias("text"))
+    own = paragraphs.select(F.lit("paragraph").alias("record_kind"), F.col("paragraph_id").alias("record_id"), "video_id", "text")
+    other = slides.select(F.lit("candidate").alias("record_kind"), F.col("benchmark_id").alias("record_id"), "video_id", F.col("candidate_text").alias("text"))
     return own.unionByName(other).filter("text IS NOT NULL").distinct().withColumn("text", consistent_form(F.col("text")))
 
 
-def _shared_lexicon(texts: DataFrame):
-    counts, total = lexicon_counts(texts)
-    known = {r[0]: r[1] for r in counts.collect()}  # at most 1 / RARE words
-    return texts.sparkSession.sparkContext.broadcast((known, total)), uuid.uuid4().hex
+def _shared(pieces: DataFrame, pages: DataFrame, keyed: DataFrame):
+    """The broadcast of the words and templates of all texts, with a name for it. ``keyed`` are the pieces with what is known of their lines."""
+    counts, total = lexicon_counts(pieces.select("text").unionByName(pages.select("text")))
+    words = {r[0]: r[1] for r in counts.collect()}  # at most 1 / RARE words
+    lines = keyed.filter("known AND line_text IS NOT NULL").select("video_id", F.trim("line_text").alias("line"))
+    numbers = numbered_lines(pages.select("video_id", "text").unionByName(pieces.select("video_id", F.col("line_text").alias("text"))))
+    return pieces.sparkSession.sparkContext.broadcast((words, total, learned_templates(lines.unionByName(numbers)))), uuid.uuid4().hex
 
 
 def scan_noise(regions: DataFrame, paragraphs: DataFrame, slides: DataFrame) -> DataFrame:
     """``record_kind, record_id, noise_kind``: one row per record and kind of noise in it. Redelivered rows count once."""
     pieces = materialize(region_context(regions).drop("frame_id", "source_index", "line"))
     pages = materialize(_tables(paragraphs, slides))
-    lexicon = _shared_lexicon(pieces.select("text").unionByName(pages.select("text")))
-    known = with_known(pieces).filter("text IS NOT NULL")
+    keyed = with_known(pieces)
+    shared = _shared(pieces, pages, keyed)
+    known = keyed.filter("text IS NOT NULL")
     rows = known.select(F.lit("region").alias("record_kind"), F.col("region_id").alias("record_id"), "text", "before", "after", "line_text", F.coalesce("known", F.lit(False)).alias("known")).unionByName(
         pages.select("record_kind", "record_id", "text", F.lit("").alias("before"), F.lit("").alias("after"), F.lit("").alias("line_text"), F.lit(False).alias("known"))
     )
-    return rows.mapInPandas(_examine(lexicon), "record_kind string, record_id long, noise_kind string").distinct()
+    return rows.mapInPandas(_examine(shared), "record_kind string, record_id long, noise_kind string").distinct()
 
 
-def frame_texts(pieces: DataFrame) -> DataFrame:
+def frame_texts(keyed: DataFrame) -> DataFrame:
     """``record_kind, record_id, lines``: the lines of each frame in their order, without those known as furniture; regions without a frame are records of their own."""
-    shown = with_known(pieces.drop("before", "after")).filter("known IS NULL AND text IS NOT NULL")
+    shown = keyed.filter("known IS NULL AND text IS NOT NULL")
     part = F.struct("source_index", "region_id", "text")
     lines = shown.groupBy("frame", "frame_id", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["text"]), PART).alias("body"), F.min("region_id").alias("_region"))
     frames = lines.groupBy("frame", "frame_id").agg(F.sort_array(F.collect_list(F.struct("line", "body"))).alias("_lines"), F.min("_region").alias("_region"))
@@ -472,16 +602,17 @@ def readable_paragraphs(regions: DataFrame, paragraphs: DataFrame, slides: DataF
     """
     pages = materialize(_tables(paragraphs, slides))
     pieces = materialize(region_context(regions))
-    lexicon = _shared_lexicon(pieces.select("text").unionByName(pages.select("text")))
+    keyed = with_known(pieces)
+    shared = _shared(pieces, pages, keyed)
 
-    def repair(texts: Callable[[Lexicon, object], list[str]]):
+    def repair(texts: Callable[[Lexicon, Furniture, object], list[str]]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = _lexicon(lexicon)
+            known = _known(shared)
             for batch in batches:
-                rows = [(kind, key, k, t) for kind, key, text in batch.itertuples(index=False) for k, t in enumerate(texts(known, text), 1)]
+                rows = [(kind, key, k, t) for kind, key, text in batch.itertuples(index=False) for k, t in enumerate(texts(*known, text), 1)]
                 yield pd.DataFrame(rows, columns=["record_kind", "record_id", "paragraph_number", "text"])
 
         return run
 
-    frames = frame_texts(pieces).mapInPandas(repair(lambda known, lines: repaired_lines(known, frame_lines(lines))), PARAGRAPHS)
-    return pages.mapInPandas(repair(repaired), PARAGRAPHS).unionByName(frames)
+    frames = frame_texts(keyed).mapInPandas(repair(lambda lexicon, furniture, lines: repaired_lines(lexicon, frame_lines(furniture, lines))), PARAGRAPHS)
+    return pages.drop("video_id").mapInPandas(repair(repaired), PARAGRAPHS).unionByName(frames)
