@@ -15,44 +15,46 @@ def scan(values, fps=5.0):
     return [values[n] for n, _, _ in out]
 
 
+# Our own videos at five frames a second: (grey levels, those that are saved).
+TALK = [30] * 40 + [200] * 9 + [60] * 31
 CASES = {
-    "changes": ([100] * 25 + [104] * 25 + [109] * 4 + [114] * 18, [100, 104, 109, 114]),
-    "fade": ([100] * 25 + [104] * 25 + list(range(109, 3, -5)), None),
-    "black end": ([100] * 25 + [104] * 25 + [109] * 4 + [0] * 18, None),
-    "still": ([100] * 72, [100]),
-    "one frame": ([7], [7]),
-    "black start": ([0] * 3, [0]),
+    "three scenes": (TALK, [30, 200, 60]),
+    "small steps wait for the still time": ([12] * 10 + [15] * 10 + [18] * 20, [12, 18]),
+    "steps end a change late": ([40] * 8 + [90, 140, 190] + [230] * 7, [40, 230]),
+    "flicker is never saved": ([50] * 8 + [150, 20] * 6, [50]),
+    "drift at the end": ([80] * 8 + [82 + 2 * k for k in range(12)], [80]),
+    "a black scene": ([70] * 12 + [0] * 12, [70]),
+    "black first": ([0] * 4 + [90] * 8, [0, 90]),
+    "no time to rest": ([5, 100, 200], [5]),
+    "alone": ([33], [33]),
+    "nothing": ([], []),
 }
 
 
 @pytest.mark.parametrize("name", CASES)
 def test_scan(name):
     values, expected = CASES[name]
-    got = scan(values)
-    if expected is not None:
-        assert got == expected
-    else:
-        assert len(got) == 3 and got[-1] == 109
+    assert scan(values) == expected
 
 
 def test_batch_equals_scan_and_skips_missing_images(spark):
-    values = CASES["changes"][0]
+    values = TALK
     data = [("v", n, [float(v)] * 4) for n, v in enumerate(values)] + [("w", 0, [1.0]), ("w", 1, None)]
     df = spark.createDataFrame(data, "video_id string, frame_number long, image array<double>")
     got = select_frames(df, 5.0).orderBy("video_id", "frame_number").collect()
-    assert [values[r.frame_number] for r in got if r.video_id == "v"] == [100, 104, 109, 114]
+    assert [values[r.frame_number] for r in got if r.video_id == "v"] == scan(TALK)
     assert [r.frame_number for r in got if r.video_id == "w"] == [0]
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    values = CASES["changes"][0]
+    values = TALK
     schema = "video_id string, frame_number long, image array<double>, last boolean"
     for part in range(3):
-        piece = range(part * 24, (part + 1) * 24)
+        piece = range(part * 27, min(len(values), (part + 1) * 27))
         data = [("v", n, [float(values[n])] * 4, n == len(values) - 1) for n in piece]
         spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     q = select_frames_stream(feed, 5.0).writeStream.format("memory").queryName("picked").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(values[r.frame_number] for r in spark.sql("SELECT * FROM picked").collect()) == [100, 104, 109, 114]
+    assert sorted(values[r.frame_number] for r in spark.sql("SELECT * FROM picked").collect()) == sorted(scan(TALK))
