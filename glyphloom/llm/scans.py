@@ -227,8 +227,10 @@ class Lexicon:
         return best
 
     def lost(self, token: str) -> bool:
-        """Whether a token has letters and no reading of its own."""
-        return self.read(token)[0] >= self.unknown and len(token) > 2 and any(c.isalpha() for c in token)
+        """Whether a token has letters and no reading of its own. A known word with an exclamation mark has one."""
+        if self.read(token)[0] < self.unknown or len(token) < 3 or not any(c.isalpha() for c in token):
+            return False
+        return token[-1] != "!" or token.rstrip("!").lower() not in self.counts
 
     def decode(self, tokens: list[tuple[str, str]]) -> list[Step]:
         """The cheapest path over (token, gap behind it). A gap is a space, a mark at a line end, or one that no word reaches over ('')."""
@@ -448,7 +450,7 @@ def consistent_form(text: Column) -> Column:
 
 
 def region_context(regions: DataFrame) -> DataFrame:
-    """``region_id, video_id, frame, text, before, after, line_text, frame_id, source_index, line``: the neighbours of a region in reading order, and its line with its number.
+    """``region_id, video_id, frame, text, before, after, line_text, frame_id, source_index, line, item``: the neighbours of a region in reading order, and its line with its number and identifier.
 
     A region is on the line of the one before if they overlap by half in height and it begins behind its end. Regions without a frame stand alone.
     """
@@ -474,12 +476,11 @@ def region_context(regions: DataFrame) -> DataFrame:
         "frame_id",
         "source_index",
         F.col("_line").alias("line"),
-    )
+    ).withColumn("item", F.transform(F.array(letters(F.col("line_text"))), lambda k: F.when(F.length(k) >= LEAST_LETTERS, F.xxhash64(k)))[0])
 
 
-def with_known(pieces: DataFrame) -> DataFrame:
-    """``pieces`` (of ``region_context``) with ``known``: true if their line stands in too many frames of its video, else null."""
-    keyed = pieces.withColumn("_k", letters(F.col("line_text"))).withColumn("item", F.when(F.length("_k") >= LEAST_LETTERS, F.xxhash64("_k"))).drop("_k")
+def with_known(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (of ``region_context``) with ``known``: true if their line stands in too many frames of its video, else null."""
     each = keyed.filter("item IS NOT NULL AND video_id IS NOT NULL").select("video_id", "frame", "item").distinct()
     totals = each.select("video_id", "frame").distinct().groupBy("video_id").agg(F.count("*").alias("total"))
     ones = materialize(frequent_lines(each.select("video_id", "item"), totals, "video_id").select("video_id", "item", F.lit(True).alias("known")))
@@ -507,7 +508,8 @@ def learned_templates(lines: DataFrame) -> list[str]:
             rows = [(video, form, fillers) for video, line in batch.itertuples(index=False) for form, fillers in templates(line)]
             yield pd.DataFrame(rows, columns=["video_id", "form", "fillers"])
 
-    forms = materialize(lines.distinct().mapInPandas(run, "video_id string, form string, fillers array<string>"))
+    alike = lines.select("video_id", F.regexp_replace("line", "[0-9]+", "0").alias("line")).distinct()
+    forms = materialize(alike.mapInPandas(run, "video_id string, form string, fillers array<string>"))
     spread = forms.groupBy("form", "video_id").agg(F.lit(1).alias("_one")).groupBy("form").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("form")
     filled = forms.select("form", F.posexplode("fillers").alias("place", "filler")).groupBy("form", "place", "filler").agg(F.lit(1).alias("_one")).groupBy("form", "place").agg(F.count("*").alias("n"))
     found = filled.groupBy("form").agg(F.min("n").alias("n")).filter(F.col("n") >= FILLERS).join(spread, "form").select("form")
@@ -518,7 +520,8 @@ def numbered_lines(texts: DataFrame) -> DataFrame:
     """``video_id, line`` of the lines of ``texts.text`` that have a running number at their edge, without it."""
     lines = texts.filter(F.col("video_id").isNotNull()).select("video_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
     edge = r"^[0-9]{1,4}\s{2,}|\s+[0-9]{1,4}$"
-    return lines.filter(F.col("line").rlike(edge)).select("video_id", F.regexp_replace("line", edge, "").alias("line")).filter("line <> ''")
+    digit = lambda c: c.between("0", "9")
+    return lines.filter((digit(F.left("line", F.lit(1))) | digit(F.right("line", F.lit(1)))) & F.col("line").rlike(edge)).select("video_id", F.regexp_replace("line", edge, "").alias("line")).filter("line <> ''")
 
 
 _KNOWN: dict[str, tuple[Lexicon, Furniture]] = {}
