@@ -91,7 +91,8 @@ LATIN, OTHER = r"[\p{IsLatin}&&\p{L}]", r"[\p{L}&&[\p{IsCyrillic}\p{IsGreek}]]"
 
 def may_change(text: Column) -> Column:
     """Whether ``text`` has anything that another form could replace: a cheap test that all other texts fail."""
-    return text.rlike(r"[^\x00-\x7f]|[\x00-\x08\x0e-\x1f\x7f]") & (text.rlike(unusual()) | (text.rlike(LATIN) & text.rlike(OTHER)))
+    # One class: an alternation of two would cost ten times as much at each character.
+    return text.rlike(r"[\x{80}-\x{10ffff}\x00-\x08\x0e-\x1f\x7f]") & (text.rlike(unusual()) | (text.rlike(LATIN) & text.rlike(OTHER)))
 
 
 def mapped(text: Column) -> Column:
