@@ -77,13 +77,6 @@ def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else gestalt(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def may_be_similar(a: Column, b: Column, least: float) -> Column:
-    """Whether two lengths allow a gestalt ratio of ``least``; a test for in front of the slow ratio."""
-    shorter = F.least(F.length(a), F.length(b))
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(True)).otherwise(2 * shorter >= total * F.lit(least))
-
-
 @F.pandas_udf(T.StringType())
 def composed(text: pd.Series) -> pd.Series:
     """Canonical composition with white space collapsed."""

@@ -77,6 +77,30 @@ class FrameSelector:
         return self._save(number, image, difference(self.saved, image) if self.saved is not None else 0.0)
 
 
+#: The state of a scan as typed columns.
+STORED = (
+    "previous array<double>, saved array<double>, last_saved long, changing boolean, quiet int, pending_number long, pending_image array<double>, pending_score double, "
+    "window_numbers array<long>, window_images array<array<double>>, seen long"
+)
+
+
+def stored(scan: FrameSelector) -> tuple:
+    """The values of ``STORED``; images are flat arrays of one size."""
+    flat = lambda image: None if image is None else [float(x) for x in image]
+    number, image, score = scan.pending or (None, None, None)
+    return (flat(scan.previous), flat(scan.saved), scan.last_saved, scan.changing, scan.quiet, number, flat(image), score, [int(n) for n, _ in scan.window], [flat(i) for _, i in scan.window], scan.seen)
+
+
+def restored(values: tuple, fps: float, threshold: float) -> FrameSelector:
+    """The scan that ``stored`` took apart."""
+    array = lambda v: None if v is None else np.asarray(v, dtype=np.float64)
+    previous, saved, last_saved, changing, quiet, number, image, score, numbers, images, seen = values
+    pending = None if number is None else (int(number), array(image), float(score))
+    scan = FrameSelector(fps, threshold, array(previous), array(saved), int(last_saved), bool(changing), int(quiet), pending, seen=int(seen))
+    scan.window.extend((int(n), array(i)) for n, i in zip(numbers, images))
+    return scan
+
+
 SELECTED = "video_id string, frame_number long, timestamp double, difference_score double"
 
 
@@ -112,18 +136,23 @@ def is_visible(image: Column) -> Column:
 
 
 def default_frames(frames: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of each slide the last frame, and earlier ones that differ from every retained one. ``frames`` has ``slide, frame_number, image array``."""
+    """Of each slide the last frame, and earlier ones that differ from every retained one. ``frames`` has ``slide, frame_number, image array``.
+
+    The last frame is known by one aggregation and comes first to its slide's scan, which then holds the retained images alone.
+    """
 
     def algorithm(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
-        images = [(n, np.asarray(i, dtype=np.float64)) for _, n, i in rows]
-        kept = [images[-1]]
-        for n, image in images[:-1]:
-            if all(difference(image, other) >= threshold for _, other in kept):
-                kept.append((n, image))
-        for n, _ in sorted(kept, key=lambda x: x[0]):
-            yield (key[0], n)
-
-    return per_group(frames.select("slide", "frame_number", "image"), ["slide"], ["frame_number"], algorithm, "slide string, frame_number long")
+        kept: list[np.ndarray] = []
+        for _, number, image, _ in rows:
+            own = np.asarray(image, dtype=np.float64)
+            if all(difference(own, other) >= threshold for other in kept):
+                kept.append(own)
+                yield (key[0], number)
+
+    own = frames.filter(F.col("image").isNotNull()).select("slide", "frame_number", "image")
+    last = own.groupBy("slide").agg(F.max("frame_number").alias("_last"))
+    led = own.join(last, "slide").select("slide", "frame_number", "image", F.when(F.col("frame_number") == F.col("_last"), 0).otherwise(1).alias("_rank"))
+    return per_group(led, ["slide"], ["_rank", "frame_number"], algorithm, "slide string, frame_number long")
 
 
 def compare_line_sets(previous: Column, current: Column) -> dict[str, Column]:

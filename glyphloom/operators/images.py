@@ -104,22 +104,3 @@ def bounded_size(width: Column, height: Column, most: int = MAX_SIDE) -> tuple[C
     scale = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(width, height))
     side = lambda s: F.greatest(F.lit(1), F.bround(s * scale).cast("int"))
     return side(width), side(height)
-
-
-def covered(boxes: list[tuple[float, float, float, float]], width: int, height: int) -> float:
-    """The share of a frame's pixels that lie in any box: strips between all upper and lower edges, in each of which intervals are merged."""
-    clipped = []
-    for left, top, right, bottom in boxes:
-        a, b = max(0, min(width, int(np.floor(left)))), max(0, min(width, int(np.ceil(right))))
-        c, d = max(0, min(height, int(np.floor(top)))), max(0, min(height, int(np.ceil(bottom))))
-        if a < b and c < d:
-            clipped.append((a, c, b, d))
-    edges = sorted({y for _, c, _, d in clipped for y in (c, d)})
-    area = 0
-    for low, high in zip(edges, edges[1:]):
-        end, length = -1, 0
-        for a, b in sorted((a, b) for a, c, b, d in clipped if c <= low and d >= high):
-            length += max(0, b - max(a, end))
-            end = max(end, b)
-        area += length * (high - low)
-    return area / (width * height)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions.similarity import character_edits, error_rate, word_edits
 from glyphloom.functions.text import collapse
+from glyphloom.session import materialize
 
 
 def unique_keys(rows: DataFrame, group: list[str], key: str, marker: str) -> DataFrame:
@@ -26,9 +27,10 @@ def align(reference: DataFrame, candidate: DataFrame, group: list[str], row: str
         b = unique_keys(right, group, key, "_k").filter("_k IS NOT NULL").select(*group, "_k", F.col(row).alias("candidate_row"))
         return a.join(b, [*group, "_k"]).select(*group, "reference_row", "candidate_row", F.lit(key).alias("method"))
 
-    one = step(reference, candidate, first)
+    reference, candidate = materialize(reference), materialize(candidate)
+    one = materialize(step(reference, candidate, first))
     rest = reference.join(one.select(F.col("reference_row").alias(row)), row, "left_anti"), candidate.join(one.select(F.col("candidate_row").alias(row)), row, "left_anti")
-    matched = one.unionByName(step(*rest, second))
+    matched = materialize(one.unionByName(step(*rest, second)))
     missing = reference.join(matched.select(F.col("reference_row").alias(row)), row, "left_anti").select(*group, F.col(row).alias("reference_row"), F.lit(None).cast(candidate.schema[row].dataType).alias("candidate_row"), F.lit("missing").alias("method"))
     extra = candidate.join(matched.select(F.col("candidate_row").alias(row)), row, "left_anti").select(*group, F.lit(None).cast(reference.schema[row].dataType).alias("reference_row"), F.col(row).alias("candidate_row"), F.lit("unmatched").alias("method"))
     return matched.unionByName(missing).unionByName(extra)

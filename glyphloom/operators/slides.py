@@ -47,14 +47,14 @@ def vote(observations: DataFrame, keys: list[str], order: str, text: str = "text
 class Cluster:
     """Observations of one paragraph, with its best reading at hand."""
 
-    def __init__(self, kind: str, norm: str, key: int, text: str, *evidence) -> None:
+    def __init__(self, kind: str, norm: str, key: tuple[int, int], text: str, *evidence) -> None:
         self.kind = kind
         self.counts: dict[str, int] = {}
         self.first: dict[str, tuple] = {}
         self.best = norm
         self.add(norm, key, text, *evidence)
 
-    def add(self, norm: str, key: int, text: str, *evidence) -> None:
+    def add(self, norm: str, key: tuple[int, int], text: str, *evidence) -> None:
         self.counts[norm] = self.counts.get(norm, 0) + 1
         self.first.setdefault(norm, (key, text, *evidence))
         chain = sorted(self.counts, key=len)
@@ -74,32 +74,32 @@ class Cluster:
         return 2 * min(len(a), len(norm)) >= SAME_PARAGRAPH * (len(a) + len(norm)) and gestalt(a, norm) >= SAME_PARAGRAPH
 
 
-CLUSTERED = "video_id string, slide_number long, cluster int, text_type string, text string, observations int, variants int, source_key long"
+CLUSTERED = "video_id string, slide_number long, cluster int, text_type string, text string, observations int, variants int, source_place long, source_paragraph int"
 
 
 def paragraph_clusters(paragraphs: DataFrame, evidence: tuple[str, ...] = ()) -> DataFrame:
     """The paragraphs of each slide, each as the best of its observations.
 
-    ``paragraphs`` has ``video_id, slide_number, observation long (the order of seeing), text_type, text``. Each goes to the first cluster
+    ``paragraphs`` has ``video_id, slide_number, place, paragraph_index (the order of seeing), text_type, text``. Each goes to the first cluster
     whose best reading so far it equals, extends, is extended by, or resembles; null texts are left out. The columns ``evidence``, of numbers, come along from the best observation.
     """
 
     def algorithm(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
         clusters: list[Cluster] = []
-        for _, _, seen, kind, text, *shown in rows:
+        for _, _, place, paragraph, kind, text, *shown in rows:
             norm = " ".join(text.lower().split())
             for c in clusters:
                 if c.takes(kind, norm):
-                    c.add(norm, seen, text, *shown)
+                    c.add(norm, (place, paragraph), text, *shown)
                     break
             else:
-                clusters.append(Cluster(kind, norm, seen, text, *shown))
+                clusters.append(Cluster(kind, norm, (place, paragraph), text, *shown))
         for n, c in enumerate(clusters):
             at, text, *shown = c.first[c.best]
-            yield (*key, n, c.kind, text, sum(c.counts.values()), len(c.counts), at, *shown)
+            yield (*key, n, c.kind, text, sum(c.counts.values()), len(c.counts), *at, *shown)
 
-    own = paragraphs.filter(F.col("text").isNotNull()).select("video_id", "slide_number", "observation", "text_type", "text", *[F.col(n).cast("double").alias(n) for n in evidence])
-    return per_group(own, ["video_id", "slide_number"], ["observation"], algorithm, ", ".join([CLUSTERED, *[f"{n} double" for n in evidence]]))
+    own = paragraphs.filter(F.col("text").isNotNull()).select("video_id", "slide_number", F.col("place").cast("long").alias("place"), F.col("paragraph_index").cast("int").alias("paragraph_index"), "text_type", "text", *[F.col(n).cast("double").alias(n) for n in evidence])
+    return per_group(own, ["video_id", "slide_number"], ["place", "paragraph_index"], algorithm, ", ".join([CLUSTERED, *[f"{n} double" for n in evidence]]))
 
 
 MIN_CONFIDENCE, WEAK_MARGIN, TINY_SHARE = 0.60, 0.10, 0.001

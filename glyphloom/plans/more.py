@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphloom.functions.text import collapse
 from glyphloom.operators import images, visual
-from glyphloom.operators.sequential import per_group
 from glyphloom.plans.base import LATEST_REGIONS, query
 from glyphloom.plans.confidence import regions
-from glyphloom.plans.layout import BOXED, _reading
-from glyphloom.plans.rules import RELATIONS, _evidence
+from glyphloom.plans.rules import RELATIONS
 from glyphloom.plans.slides import FRAMES, runs
 from glyphloom.sources.tables import latest, table
 
@@ -106,32 +102,6 @@ def planned_sheets(spark: SparkSession, folder: str) -> DataFrame:
     return numbered(rows, ["k", "export_kind"]).select(F.concat_ws(":", "export_kind", "language").alias("sheet_id"), "place")
 
 
-@query(
-    f"""WITH {BOXED}, f AS (SELECT frame_id, max(width) AS width, max(height) AS height FROM frames GROUP BY frame_id),
-c AS (SELECT frame_id, text, ("left" + "right") / 2 / width AS cx, (top + bottom) / 2 / height AS cy, ("right" - "left") * (bottom - top) / (width * height) AS part,
- coalesce(regexp_full_match(text, '\\s*[+-]?\\d+(?:[.,]\\d+)?%?(?:\\s+[+-]?\\d+(?:[.,]\\d+)?%?)*\\s*'), false) AS lab FROM x JOIN f USING (frame_id) WHERE top IS NOT NULL),
-e AS (SELECT frame_id, count(*) AS n, least(1, sum(part)) AS cover, count(*) FILTER (WHERE lab) AS labels, coalesce(greatest(max(cx) FILTER (WHERE lab) - min(cx) FILTER (WHERE lab), max(cy) FILTER (WHERE lab) - min(cy) FILTER (WHERE lab)), 0) AS span FROM c GROUP BY frame_id)
-SELECT frame_id, CASE WHEN n >= 5 AND cover >= 0.3::DOUBLE AND NOT (labels >= 3 AND span >= 0.25::DOUBLE) THEN 'text_dominant' WHEN labels >= 3 AND span >= 0.25::DOUBLE THEN 'recommended' ELSE 'uncertain' END AS disposition FROM e"""
-)
-def visual_disposition(spark: SparkSession, folder: str) -> DataFrame:
-    """Triage where edges and lines count as none, as no table has them."""
-    rows = _evidence(spark, folder).withColumns({"edge_density": F.lit(0.0), "aligned_lines": F.lit(0)})
-    return visual.disposition(rows).select("frame_id", "disposition")
-
-
-@query()
-def exact_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """The share of each frame's pixels that its regions cover, overlaps once; rows only, checked against a raster in the tests."""
-    size = table(spark, folder, "frames", "frame_id", "width", "height").groupBy("frame_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    rows = _reading(spark, folder).filter("top IS NOT NULL AND frame_id IS NOT NULL").join(size, "frame_id").select("frame_id", "reading_index", "left", "top", "right", "bottom", "width", "height")
-
-    def algorithm(key: tuple, group: Iterator[tuple]) -> Iterator[tuple]:
-        own = list(group)
-        yield (key[0], images.covered([r[2:6] for r in own], int(own[0][6]), int(own[0][7])))
-
-    return per_group(rows, ["frame_id"], ["reading_index"], algorithm, "frame_id long, coverage double")
-
-
 @query()
 def preprocessing_experiment(spark: SparkSession, folder: str) -> DataFrame:
     """A measure of each variant of each image (here: embeddings as images of eight columns); rows only, checked by hand in the tests."""

@@ -94,29 +94,39 @@ def safe_relative_path(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id").select("doc_id", is_safe_relative_path(p).alias("safe"))
 
 
-@query(
-    f"""WITH {BOXED}, f AS (SELECT frame_id, max(width) AS width, max(height) AS height FROM frames GROUP BY frame_id),
-c AS (SELECT frame_id, text, ("left" + "right") / 2 / width AS cx, (top + bottom) / 2 / height AS cy, coalesce(regexp_full_match(text, '\\s*[+-]?\\d+(?:[.,]\\d+)?%?(?:\\s+[+-]?\\d+(?:[.,]\\d+)?%?)*\\s*'), false) AS lab FROM x JOIN f USING (frame_id) WHERE top IS NOT NULL)
-SELECT frame_id, count(*) AS regions, count(*) FILTER (WHERE lab) AS numeric_labels, coalesce(sum(len(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?%'))) FILTER (WHERE lab), 0)::BIGINT AS percentages,
- round(coalesce(greatest(max(cx) FILTER (WHERE lab) - min(cx) FILTER (WHERE lab), max(cy) FILTER (WHERE lab) - min(cy) FILTER (WHERE lab)), 0), 9) AS label_span FROM c GROUP BY frame_id"""
-)
+# A frame's pixels that its boxes cover: every cell between neighbouring edges is covered or not.
+EVIDENCE = f"""{BOXED}, f AS (SELECT frame_id, max(width) AS width, max(height) AS height FROM frames WHERE frame_id IS NOT NULL GROUP BY frame_id),
+c AS (SELECT frame_id, text, width, height, ("left" + "right") / 2 / width AS cx, (top + bottom) / 2 / height AS cy, greatest(0, least(width, floor("left")))::BIGINT AS a, greatest(0, least(height, floor(top)))::BIGINT AS b,
+ greatest(0, least(width, ceil("right")))::BIGINT AS c, greatest(0, least(height, ceil(bottom)))::BIGINT AS d, coalesce(regexp_full_match(text, '\\s*[+-]?\\d+(?:[.,]\\d+)?%?(?:\\s+[+-]?\\d+(?:[.,]\\d+)?%?)*\\s*'), false) AS lab FROM x JOIN f USING (frame_id) WHERE top IS NOT NULL),
+s AS (SELECT * FROM c WHERE a < c AND b < d),
+g AS (SELECT frame_id, list({{'a': a, 'b': b, 'c': c, 'd': d}}) AS boxes, list_sort(list_distinct(list_concat(list(a), list(c)))) AS xs, list_sort(list_distinct(list_concat(list(b), list(d)))) AS ys FROM s GROUP BY frame_id),
+gx AS (SELECT frame_id, boxes, xs, ys, unnest(range(1, len(xs))) AS i FROM g), gc AS (SELECT *, unnest(range(1, len(ys))) AS j FROM gx),
+u2 AS (SELECT frame_id, sum(CASE WHEN len(list_filter(boxes, lambda q: q.a <= xs[i] AND q.c >= xs[i + 1] AND q.b <= ys[j] AND q.d >= ys[j + 1])) > 0 THEN (xs[i + 1] - xs[i]) * (ys[j + 1] - ys[j]) ELSE 0 END) AS area FROM gc GROUP BY frame_id),
+e AS (SELECT frame_id, count(*) AS n, count(*) FILTER (WHERE lab) AS labels, coalesce(sum(len(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?%'))) FILTER (WHERE lab), 0)::BIGINT AS percentages, max(width) * max(height) AS whole,
+ coalesce(greatest(max(cx) FILTER (WHERE lab) - min(cx) FILTER (WHERE lab), max(cy) FILTER (WHERE lab) - min(cy) FILTER (WHERE lab)), 0) AS span FROM s GROUP BY frame_id),
+k AS (SELECT e.*, area, area / whole AS cover FROM e JOIN u2 USING (frame_id)),
+t AS (SELECT *, labels >= 3 AND span >= 0.25::DOUBLE AS dispersed, n >= 5 AND cover >= 0.3::DOUBLE AS dense, n <= 2 OR cover <= 0.08::DOUBLE AS sparse, cover <= 0.35::DOUBLE AS large FROM k)""".replace("\\\\", "\\")
+
+
+@query(f"WITH {EVIDENCE} SELECT frame_id, n AS regions, area::BIGINT AS covered_pixels, labels AS numeric_labels, percentages, round(span, 9) AS label_span FROM k")
 def visual_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    return _evidence(spark, folder).select("frame_id", "regions", "numeric_labels", "percentages", F.round("label_span", 9).alias("label_span"))
+    return evidence(spark, folder).select("frame_id", "regions", "covered_pixels", "numeric_labels", "percentages", F.round("label_span", 9).alias("label_span"))
 
 
-def _evidence(spark: SparkSession, folder: str) -> DataFrame:
+def evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The evidence of each frame; edges and lines are no columns of the tables and count as none."""
     size = table(spark, folder, "frames", "frame_id", "width", "height").groupBy("frame_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
     rows = _reading(spark, folder).filter("top IS NOT NULL").join(size, "frame_id")
-    rows = rows.withColumns({"cx": (F.col("left") + F.col("right")) / 2 / F.col("width"), "cy": (F.col("top") + F.col("bottom")) / 2 / F.col("height"), "part": (F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top")) / (F.col("width") * F.col("height"))})
-    cover = rows.groupBy("frame_id").agg(F.least(F.sum("part"), F.lit(1.0)).alias("coverage"))
-    return visual.frame_evidence(rows).join(cover, "frame_id")
+    return visual.frame_evidence(rows).withColumns({"edge_density": F.lit(0.0), "aligned_lines": F.lit(0)})
 
 
-@query()
+@query(
+    f"""WITH {EVIDENCE} SELECT frame_id, CASE WHEN dense AND NOT dispersed THEN 'text_dominant' WHEN dispersed THEN 'recommended' ELSE 'uncertain' END AS disposition,
+ [CASE WHEN dense AND NOT dispersed THEN '{visual.ONLY_TEXT}' WHEN dispersed THEN '{visual.DISPERSED_LABELS}' ELSE '{visual.NO_EVIDENCE}' END] AS reasons, dense AS dense_text, sparse AS sparse_text, large AS large_non_text FROM t"""
+)
 def visual_triage(spark: SparkSession, folder: str) -> DataFrame:
-    """Which frames are worth a closer look; edges and lines are no columns of the tables and count as none. Rows only."""
-    rows = _evidence(spark, folder).withColumns({"edge_density": F.lit(0.0), "aligned_lines": F.lit(0)})
-    return visual.disposition(rows).select("frame_id", "disposition", "reasons", "dense_text", "sparse_text", "large_non_text")
+    """Which frames are worth a closer look, and why."""
+    return visual.disposition(evidence(spark, folder)).select("frame_id", "disposition", "reasons", "dense_text", "sparse_text", "large_non_text")
 
 
 RELATIONS = r"""f AS (SELECT frame_id, max_by(struct_pack(s := shared_lines, a := added_lines, r := removed_lines), ingested_at) AS k FROM frames GROUP BY frame_id),

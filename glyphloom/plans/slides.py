@@ -142,8 +142,8 @@ def paragraph_clusters(spark: SparkSession, folder: str) -> DataFrame:
     from glyphloom.operators.lines import paragraphs
 
     slides = runs(spark, folder).select("frame_id", "video_id", "slide_number", "place")
-    rows = paragraphs(_lines(spark, folder), "frame_id", "place").join(slides.withColumnRenamed("place", "at"), "frame_id")
-    return ops.paragraph_clusters(rows.withColumn("observation", F.col("at").cast("long") * 10_000 + F.col("paragraph_index")))
+    rows = paragraphs(_lines(spark, folder), "frame_id", "place").join(slides, "frame_id")
+    return ops.paragraph_clusters(rows)
 
 
 @query()
@@ -158,7 +158,7 @@ def presentation_end_to_end(spark: SparkSession, folder: str) -> DataFrame:
     slides = runs(spark, folder, "width", "height").select("frame_id", "video_id", "slide_number", "place", "width", "height")
     rows = paragraphs(structure(lines, "frame_id", "line_number"), "frame_id", "line_number", evidence=True).join(slides, "frame_id")
     shown = ("confidence", "left", "top", "right", "bottom", "width", "height")
-    best = ops.paragraph_clusters(rows.withColumn("observation", F.col("place").cast("long") * 10_000 + F.col("paragraph_index")), shown)
+    best = ops.paragraph_clusters(rows, shown)
     tiny = ops.tiny_footprint(*[F.col(n) for n in shown[1:]])
     found = ops.assess(F.col("text"), F.col("confidence"), F.col("observations"), tiny, ["Latin"])
     return best.select("video_id", "slide_number", "cluster", "text_type", "text", "observations", *[found[n].alias(n) for n in ("scripts", "withheld", "reasons")])

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only when it is known to have no more rows than this.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only when it is known to have no more rows and bytes (written as JSON) than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: A key is hot when it has more than one row in this many; at most this many keys can be hot.
 HOT_SHARE = 200
 #: Rows of one hot key that a salted task should get at most.
@@ -33,11 +34,16 @@ def session(app: str = "glyphloom", cores: str | int = "*", partitions: int = 8)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for cut lineage: the session's ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder for cut lineage: the session's ``spark.checkpoint.dir``, or, where that is unset and all runs in one local process, one of our own.
+
+    On a cluster a machine's own folder would be lost with the machine, so the setting must be there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = getattr(spark, "_glyphloom_folder", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="glyphloom-")
         spark._glyphloom_folder = folder
     return folder.rstrip("/")
@@ -69,12 +75,13 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows; else unchanged.
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows of ``size`` bytes together; else unchanged.
 
     ``df`` should be materialized, as it is read once up to the limit to prove its size.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
 def join_hot(fact: DataFrame, dim: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
@@ -100,7 +107,10 @@ def join_hot(fact: DataFrame, dim: DataFrame, key: str, weight: str, how: str =
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application, from wherever the driver imported it."""
+    """Give the executors' Python workers this package, once per application, from wherever the driver imported it.
+
+    Call it before any operator that runs Python on workers where the package is not installed; ``__spark_entry__`` does.
+    """
     context = spark.sparkContext
     if getattr(context, "_glyphloom_shipped", False):
         return

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from glyphloom.operators.frames import SELECTED, THRESHOLD, FrameSelector
+from glyphloom.operators.frames import SELECTED, STORED, THRESHOLD, FrameSelector, restored, stored
 
 
 def select_frames_stream(frames: DataFrame, fps: float, threshold: float = THRESHOLD) -> DataFrame:
@@ -19,11 +18,11 @@ def select_frames_stream(frames: DataFrame, fps: float, threshold: float = THRES
 
     ``frames`` is a stream of ``video_id, frame_number, image array, last boolean``. A video's frames must arrive in order over batches; within a
     batch they are sorted. The row with ``last`` ends its video, so that its last quiet frame is judged; its state is then dropped. The state is one
-    frame selector: a handful of numbers and six images. Only our own processes write and read it.
+    frame selector in typed columns: a handful of numbers and up to nine images.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        scan = pickle.loads(state.get[0]) if state.exists else FrameSelector(fps, threshold)
+        scan = restored(state.get, fps, threshold) if state.exists else FrameSelector(fps, threshold)
         rows = pd.concat(list(batches)).sort_values("frame_number", kind="stable")
         out, ended = [], False
         for number, image, last in zip(rows["frame_number"], rows["image"], rows["last"]):
@@ -34,10 +33,10 @@ def select_frames_stream(frames: DataFrame, fps: float, threshold: float = THRES
             out += [(key[0], *hit) for hit in scan.finish()]
             state.remove()
         else:
-            state.update((pickle.dumps(scan),))
+            state.update(stored(scan))
         yield pd.DataFrame(out, columns=["video_id", "frame_number", "timestamp", "difference_score"])
 
-    return frames.groupBy("video_id").applyInPandasWithState(step, SELECTED, "scan binary", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("video_id").applyInPandasWithState(step, SELECTED, STORED, "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

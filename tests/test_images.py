@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from glyphloom.operators import images as im
 from tests.conftest import rows
@@ -17,15 +18,48 @@ def test_kernels():
     assert im.grayscale(np.full((2, 2, 3), 50, np.uint8)).tolist() == [[50, 50], [50, 50]]
 
 
-def test_cover_equals_raster():
+def test_cover_equals_raster(spark):
+    from glyphloom.operators.visual import frame_evidence
+
     rng = random.Random(1)
-    for _ in range(40):
-        boxes = [(x := rng.uniform(-5, 30), y := rng.uniform(-5, 20), x + rng.uniform(-2, 12), y + rng.uniform(-2, 12)) for _ in range(rng.randrange(0, 9))]
-        mask = np.zeros((20, 30))
-        for a, c, b, d in boxes:
-            a, b, c, d = max(0, int(np.floor(a))), max(0, int(np.ceil(b))), max(0, int(np.floor(c))), max(0, int(np.ceil(d)))
+    rows_, expected = [], {}
+    for frame in range(60):
+        boxes = [(x := rng.uniform(-5, 30), y := rng.uniform(-5, 20), x + rng.uniform(0, 12), y + rng.uniform(0, 12)) for _ in range(rng.randrange(0, 9))]
+        mask, shown = np.zeros((20, 30)), 0
+        for left, top, right, bottom in boxes:
+            a, b, c, d = (max(0, min(most, int(f(v)))) for v, most, f in ((left, 30, np.floor), (right, 30, np.ceil), (top, 20, np.floor), (bottom, 20, np.ceil)))
+            shown += a < b and c < d
             mask[c:d, a:b] = 1
-        assert abs(im.covered(boxes, 30, 20) - mask.mean()) < 1e-12
+        if shown:
+            expected[frame] = (shown, mask.mean())
+        rows_ += [(frame, None, *box, 30, 20) for box in boxes]
+    df = spark.createDataFrame(rows_ + [(None, "x", 0.0, 0.0, 1.0, 1.0, 30, 20), (90, "x", None, 0.0, 1.0, 1.0, 30, 20)], "frame_id long, text string, left double, top double, right double, bottom double, width int, height int")
+    got = {r.frame_id: (r.regions, r.coverage) for r in frame_evidence(df).collect()}
+    assert got.keys() == expected.keys() and all(got[k][0] == n and abs(got[k][1] - c) < 1e-12 for k, (n, c) in expected.items())
+
+
+def test_triage_and_its_reasons(spark):
+    from glyphloom.operators import visual as v
+
+    cases = [(1, 6, 0.5, 0, 0.0, 0.0, 0), (2, 6, 0.5, 3, 0.3, 0.0, 0), (3, 6, 0.5, 0, 0.0, 0.05, 0), (4, 1, 0.1, 0, 0.0, 0.09, 5), (5, 1, 0.05, 3, 0.2, 0.0, 3), (6, 9, 0.4, 0, 0.0, 0.09, 0), (7, 6, 0.35, 0, 0.0, 0.08, 0)]
+    df = spark.createDataFrame(cases, "frame_id long, regions long, coverage double, numeric_labels long, label_span double, edge_density double, aligned_lines int")
+    got = {r.frame_id: (r.disposition, r.reasons) for r in v.disposition(df).collect()}
+    assert got == {
+        1: (v.TEXT_DOMINANT, [v.ONLY_TEXT]),
+        2: (v.RECOMMENDED, [v.DISPERSED_LABELS]),
+        3: (v.UNCERTAIN, [v.NO_EVIDENCE]),
+        4: (v.RECOMMENDED, [v.REPEATED_LINES, v.BUSY_PICTURE]),
+        5: (v.UNCERTAIN, [v.NO_EVIDENCE]),
+        6: (v.UNCERTAIN, [v.NO_EVIDENCE]),
+        7: (v.RECOMMENDED, [v.BUSY_PICTURE]),
+    }
+    frames = spark.createDataFrame([(2, 0, 9, True, "text_dominant"), (2, None, 8, True, "uncertain"), (1, 1, 5, True, "recommended"), (1, 0, 4, False, "recommended")], "slide_number int, build_index int, frame_number int, is_default boolean, disposition string")
+    numbers = lambda df: [r.frame_number for r in df.orderBy(*v.target_order()).collect()]
+    assert numbers(v.select_targets(frames, v.RECOMMENDED)) == [5, 8] and numbers(v.select_targets(frames, v.ALL_SLIDES)) == [5, 8, 9]
+    assert numbers(v.select_targets(frames, v.USER_SELECTED, [1], [9])) == [4, 5, 9]
+    for scope in (v.USER_SELECTED, "none"):
+        with pytest.raises(ValueError):
+            v.select_targets(frames, scope)
 
 
 def test_experiment_contains_failures(spark):

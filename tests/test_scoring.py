@@ -52,7 +52,7 @@ def test_positions(spark):
 
 
 def clustered(spark, texts):
-    df = spark.createDataFrame([("v", 1, k, "BODY", t) for k, t in enumerate(texts)], "video_id string, slide_number long, observation long, text_type string, text string")
+    df = spark.createDataFrame([("v", 1, k, 0, "BODY", t) for k, t in enumerate(texts)], "video_id string, slide_number long, place long, paragraph_index int, text_type string, text string")
     return [r.text for r in slides.paragraph_clusters(df).orderBy("cluster").collect()]
 
 
@@ -128,15 +128,15 @@ def test_rates_take_every_script(spark, tmp_path):
     spark.createDataFrame([(k, v, f"s{k}", k, r, c) for k, v, r, c in pairs], "benchmark_id long, video_id string, slide_id string, frame_index long, reference_text string, candidate_text string").write.parquet(f"{tmp_path}/benchmark_slides.parquet")
     collapsed = [(k, v, " ".join(r.split()), " ".join(c.split())) for k, v, r, c in pairs if r is not None and c is not None]
     edits = {k: (v, sum(edit_operations(list(r), list(c))), len(r)) for k, v, r, c in collapsed}
-    assert rows(QUERIES["char_error_rate_all"](spark, str(tmp_path))) == sorted(((k, e, round(e / n, 9) if n else None) for k, (_, e, n) in edits.items()), key=repr)
+    assert rows(QUERIES["char_error_rate"](spark, str(tmp_path))) == sorted(((k, e, round(e / n, 9) if n else None) for k, (_, e, n) in edits.items()), key=repr)
     expected = []
     for video in "vw":
         own = [(e, n) for v, e, n in edits.values() if v == video]
         rated = [e / n for e, n in own if n]
         expected.append((video, sum(e for e, _ in own), sum(n for _, n in own), round(sum(e for e, _ in own) / sum(n for _, n in own), 9), round(sum(rated) / len(rated), 9)))
-    assert rows(QUERIES["weighted_error_rate_all"](spark, str(tmp_path))) == expected
+    assert rows(QUERIES["weighted_error_rate"](spark, str(tmp_path))) == expected
     worst = sorted(((-e / n, k) for k, (_, e, n) in edits.items() if n))[:5]
-    assert [tuple(r) for r in QUERIES["worst_slides_topk_all"](spark, str(tmp_path)).collect()] == [(k, round(-x, 9)) for x, k in worst]
+    assert [tuple(r) for r in QUERIES["worst_slides_topk"](spark, str(tmp_path)).collect()] == [(k, round(-x, 9)) for x, k in worst]
 
 
 def test_providers_get_every_script(spark, tmp_path):
@@ -144,7 +144,7 @@ def test_providers_get_every_script(spark, tmp_path):
 
     texts = [(1, "abc"), (2, "ёж 5"), (3, "10 % же"), (4, " "), (5, None), (2, "ёж 5")]
     spark.createDataFrame(texts, "row_id long, original_text string").write.parquet(f"{tmp_path}/workbook_rows.parquet")
-    assert rows(QUERIES["provider_failure_containment_all"](spark, str(tmp_path))) == [(1, "success", "[xx] cba", None), (2, "success", "[xx] 5 жё", None), (3, "failure", None, "ValueError: a per cent sign")]
+    assert rows(QUERIES["provider_failure_containment"](spark, str(tmp_path))) == [(1, "success", "[xx] cba", None), (2, "success", "[xx] 5 жё", None), (3, "failure", None, "ValueError: a per cent sign")]
 
 
 def presented(spark, folder, regions, frames):
