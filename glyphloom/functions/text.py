@@ -55,7 +55,7 @@ def observed_scripts(text: Column) -> Column:
     """The scripts of the letters of ``text``; letters of no listed script count as Other/Unknown. Full-width Latin letters are of none. Null has no scripts."""
     wide = r"\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}"
     listed = "".join(rf"\p{{{p}}}" for _, p in SCRIPTS)
-    tests = [(name, rf"[\p{{L}}&&\p{{{p}}}&&[^{wide}]]") for name, p in SCRIPTS] + [("Other/Unknown", rf"[\p{{L}}&&[^{listed}]]|[{wide}]")]
+    tests = [(name, rf"[\p{{L}}&&\p{{{p}}}&&[^{wide}]]") for name, p in SCRIPTS] + [("Other/Unknown", rf"[[\p{{L}}&&[^{listed}]]{wide}]")]
     return F.array_compact(F.array(*[F.when(text.rlike(test), F.lit(name)) for name, test in tests]))
 
 
@@ -172,3 +172,8 @@ def version_tuple(version: Column) -> Column:
 def is_safe_relative_path(path: Column) -> Column:
     """Whether a path stays inside its folder: relative, with forward slashes, no empty, ``.`` or ``..`` parts, no drive."""
     return (path != "") & ~path.rlike(r"^/|\\|:|//|(^|/)\.{1,2}(/|$)|/$")
+
+
+def frame_count(reported: Column) -> Column:
+    """The number of frames that a container reports, or null where it reports none."""
+    return F.when(reported.cast("long") > 0, reported.cast("long"))

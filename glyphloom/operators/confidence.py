@@ -74,3 +74,20 @@ def measure_summary(runs: DataFrame, keys: list[str], metrics: list[str], digits
         F.count("*").alias("runs"), F.min(v).alias("minimum"), F.round(F.avg(v), digits).alias("mean"), F.max(v).alias("maximum"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), digits).alias("deviation")
     )
     return base.join(exact_median(long, by, "value").withColumn("median", F.round("median", digits)), by)
+
+
+# The criteria of a variant, in order.
+CRITERIA = ["aggregate CER", "aggregate WER", "more improved than worsened", "no severe nearly-perfect regression", "operational runtime", "not one-frame dependent"]
+
+
+def decision_criteria(summary: DataFrame, variant: str, baseline: str) -> DataFrame:
+    """``summary`` (``variant, cer, wer, improved, worsened, seconds``) with ``passed`` and ``failed``, the criteria of each variant against the baseline's row; the baseline itself has ``n/a``.
+
+    Severe regressions are left to a person's look, so that this criterion always passes.
+    """
+    base = summary.filter(F.col(variant) == baseline).agg(F.max("cer").alias("_c"), F.max("wer").alias("_w"), F.max("seconds").alias("_s"))
+    both = summary.join(F.broadcast(base))  # the baseline is one row
+    holds = [F.col("cer") < F.col("_c"), F.col("wer") < F.col("_w"), F.col("improved") > F.col("worsened"), F.lit(True), F.col("seconds") <= F.col("_s") * 1.5, F.col("improved") > 1]
+    own = F.col(variant) == baseline
+    names = lambda good: F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(h, F.lit(False)) == good, F.lit(n)) for h, n in zip(holds, CRITERIA)])), "; ")
+    return both.withColumns({"passed": F.when(own, "n/a").otherwise(names(F.lit(True))), "failed": F.when(own, "n/a").otherwise(names(F.lit(False)))}).drop("_c", "_w", "_s")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The columns of files and sheets.
 CSV_COLUMNS = ["Slide Number", "Paragraph Type", "Paragraph Text"]
+STATISTICS_COLUMNS = "ocr_region_count ocr_confidence_minimum ocr_confidence_maximum ocr_confidence_mean ocr_confidence_median ocr_below_threshold_count ocr_below_threshold_proportion ocr_confidence_threshold".split()
+SHEET_COLUMNS = ["Slide", "Original Text", "Initial AI Translation", "Modified Translation", "Verified"]
+TRANSLATION_COLUMNS = ["Source Item", "Slide", "Original Text", "Target Language", "Initial AI Translation", "Translation Status", "Provider", "Model", "Request ID", "Source Reference", "Source Type", "Error", "Review Status", "Review Warnings"]
+#: Sheets that a workbook holds at most; their names are planned together.
+MOST_SHEETS = 1000
 
 
 def csv_rows(paragraphs: DataFrame, slide: str, kind: str, text: str) -> DataFrame:
@@ -13,6 +21,44 @@ def csv_rows(paragraphs: DataFrame, slide: str, kind: str, text: str) -> DataFra
     return paragraphs.filter(F.trim(F.coalesce(text, F.lit(""))) != "").select(F.col(slide).alias(CSV_COLUMNS[0]), F.upper(kind).alias(CSV_COLUMNS[1]), F.col(text).alias(CSV_COLUMNS[2]))
 
 
+def with_statistics(rows: DataFrame, statistics: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``rows`` with the eight statistics of their document beside each row; ``statistics`` has one row per ``key``, whose ``columns`` come in the order of the file."""
+    named = statistics.select(key, *[F.col(c).alias(n) for c, n in zip(columns, STATISTICS_COLUMNS)])
+    return rows.join(named, key, "left")
+
+
+def sheet_rows(paragraphs: DataFrame, slide: str, text: str) -> list[Column]:
+    """The columns of a sheet for translators: only the original text is filled in."""
+    return [F.col(slide).alias(SHEET_COLUMNS[0]), F.col(text).alias(SHEET_COLUMNS[1]), *[F.lit("").alias(c) for c in SHEET_COLUMNS[2:]]]
+
+
+def consolidated(rows: DataFrame, document: str, place: str) -> DataFrame:
+    """``rows`` with ``sheet``, the unique name of their document's sheet in one workbook, in the order of ``place`` (the first of each document's); raises without rows, and beyond ``MOST_SHEETS``."""
+    from glyphloom.operators.translation import planned_names
+
+    documents = [r[0] for r in rows.groupBy(document).agg(F.min(place).alias("_p")).orderBy("_p", document).limit(MOST_SHEETS + 1).collect()]
+    if not documents or len(documents) > MOST_SHEETS:
+        raise ValueError("a workbook has from 1 to 1000 sheets")
+    clean = [(re.sub(r"[:\\/?*\[\]]", "_", str(d)).strip() or "Video") for d in documents]
+    names = rows.sparkSession.createDataFrame(list(zip(documents, planned_names(clean))), f"`{document}` {rows.schema[document].dataType.simpleString()}, sheet string")
+    return rows.join(F.broadcast(names), document)
+
+
+def translation_rows(records: DataFrame) -> DataFrame:
+    """The fourteen columns of a translation file, of ``records`` with those values in snake case (``source_item`` ... ``review_warnings`` as an array of codes); nulls are empty texts."""
+    value = lambda c: F.array_join("review_warnings", "; ") if c == "review_warnings" else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return records.select(*[value(n.lower().replace(" ", "_")).alias(n) for n in TRANSLATION_COLUMNS])
+
+
+def metadata_rows(rows: DataFrame, key: str, fields: list[str], metadata: str) -> DataFrame:
+    """``key, field, value``: the hidden sheet of a workbook, a row per field of each row, and per entry of its ``metadata`` map whose key names no secret. Null values have no row."""
+    from glyphloom.operators.translation import safe_metadata
+
+    own = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f).cast("string") for f in fields]))
+    every = F.map_concat(own, F.coalesce(safe_metadata(F.col(metadata)), F.create_map().cast("map<string,string>")))
+    return rows.select(key, F.explode(every).alias("field", "value")).filter("value IS NOT NULL")
+
+
 def markdown_line(kind: Column, text: Column) -> Column:
     """A paragraph in Markdown: titles as headings, bullets as items, all else as it is."""
     return F.when(F.upper(kind) == "TITLE", F.concat(F.lit("## "), text)).when(F.upper(kind) == "BULLET", F.concat(F.lit("- "), text)).otherwise(text)

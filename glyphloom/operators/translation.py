@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.functions.similarity import gestalt_ratio
 from glyphloom.functions.text import filled_lines, letter_words, numeric_tokens
 
 BULLET_LINE = r"^\s*(?:[-*•▪◦○]|\d+[.)])\s+"
@@ -99,3 +100,83 @@ def planned_names(names: list[str], most: int = 31) -> list[str]:
         used.add(candidate.lower())
         out.append(candidate)
     return out
+
+
+# States of a review, labels of its priority, and the least likeness to its source of a translation that may be a copy.
+ACCEPTED, EDITED = "accepted", "edited_verified"
+PRIORITIES = {"normal_review": "Normal Review", "review_recommended": "Review Recommended", "translation_failed": "Translation Failed"}
+COPIED = 0.96
+
+
+def resolved(status: Column, translated: Column, state: Column, edited: Column) -> tuple[Column, Column]:
+    """The text to put out and whether a person has verified it: nothing for failures, the edit where one was verified, else the provider's text."""
+    success = status == "success"
+    text = F.when(success & (state == EDITED), edited).when(success, translated)
+    return text, F.coalesce(success & state.isin(ACCEPTED, EDITED), F.lit(False))
+
+
+def assessed(rows: DataFrame, source: str, translated: str, status: str = "status") -> DataFrame:
+    """``rows`` with ``review_warnings`` (codes in order: a copy of the source, numbers, structure) and ``review_priority``. Only pairs that may be copies are compared in Python."""
+    s, t = F.col(source), F.coalesce(translated, F.lit(""))
+    joined = lambda c: F.array_join(letter_words(c), " ")
+    ratio = gestalt_ratio(F.when(may_be_copied(s, t), joined(s)), F.when(may_be_copied(s, t), joined(t)))
+    compared = rows.withColumn("_ratio", ratio)
+    copy = F.when(F.coalesce(F.col("_ratio") >= COPIED, F.lit(False)), F.array(F.lit("source_copy_similarity"))).otherwise(F.array().cast("array<string>"))
+    failed = F.col(status) != "success"
+    codes = F.when(failed, F.array(F.lit("translation_failed"))).otherwise(F.concat(copy, warnings(s, t)))
+    priority = F.when(failed, "translation_failed").when(F.size("review_warnings") > 0, "review_recommended").otherwise("normal_review")
+    return compared.withColumn("review_warnings", codes).drop("_ratio").withColumn("review_priority", priority)
+
+
+def priority_label(priority: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in PRIORITIES.items() for x in pair]), priority)
+
+
+def provider_name(name: Column) -> Column:
+    """A provider's name in lower case without white space around it; null if it is no name."""
+    clean = F.lower(F.trim(name))
+    return F.when(clean.rlike(r"^[a-z][a-z0-9_-]*$"), clean)
+
+
+def error_category(kind: Column, message: Column, status: Column) -> Column:
+    """What a provider's failure was about, from the name of its kind, its message and its status code; the first that fits."""
+    k, m = F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(message, F.lit("")))
+    has = lambda c, word: F.contains(c, F.lit(word))
+    either = lambda word: has(k, word) | has(m, word)
+    code = lambda *n: F.coalesce(status.isin(*n), F.lit(False))
+    return (
+        F.when(code(401) | has(k, "auth"), "authentication failed")
+        .when(code(403) | has(k, "permission"), "account/project access failed")
+        .when(code(429) | has(k, "rate"), "rate limit reached")
+        .when(code(404, 400) & has(m, "model"), "model unavailable")
+        .when(either("certificate") | either("ssl"), "TLS/certificate failure")
+        .when(either("timeout"), "request timed out")
+        .when(has(k, "network") | has(k, "connection") | has(m, "connect"), "network request failed")
+        .when(either("model"), "model unavailable")
+        .when(has(m, "response") | has(m, "refusal"), "invalid provider response")
+        .otherwise("provider request failed")
+    )
+
+
+def exact_models(requests_: DataFrame, catalogue: DataFrame, keys: list[str], model: str) -> DataFrame:
+    """``requests_`` with ``model`` and ``problem``: the one model of exactly these keys; ``not installed`` where there is none, ``ambiguous`` where there are several."""
+    found = catalogue.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(model).alias(model))
+    joined = requests_.join(found, keys, "left")
+    problem = F.when(F.col("_n").isNull(), "not installed").when(F.col("_n") > 1, "ambiguous")
+    return joined.withColumn("problem", problem).withColumn(model, F.when(F.col("_n") == 1, F.col(model))).drop("_n")
+
+
+def usable_targets(pairs: DataFrame, codes: list[str], local: bool, sources: tuple[str, ...] = ("en", "en-US")) -> DataFrame:
+    """``target_language`` that a provider can serve: all of ``codes``, or, for a local one, the targets of its installed pairs from ``sources``."""
+    if local:
+        return pairs.filter(F.col("source_language").isin(*sources)).select("target_language").distinct()
+    return pairs.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(codes)], "target_language string")
+
+
+#: Metadata whose key says that it is secret.
+SECRET_KEY = r"(?i)api.?key|token|secret|password|credential|authorization"
+
+
+def safe_metadata(metadata: Column) -> Column:
+    """A map without the entries whose keys name secrets."""
+    return F.map_filter(metadata, lambda k, _: ~k.rlike(SECRET_KEY))

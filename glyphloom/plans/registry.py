@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphloom.plans import confidence, layout, more, reports, rules, scoring, slides, translation  # noqa: F401
+from glyphloom.plans import confidence, layout, more, pipeline, reports, rules, scoring, slides, translation  # noqa: F401
 from glyphloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
