@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.session import materialize
@@ -40,6 +41,49 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], algorithm: Calla
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+#: The task that a row of a spread table lies in; tasks follow each other in the order of the rows.
+CHUNK = "_chunk"
+
+
+def spread(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` ranged over tasks by ``keys`` and ``order`` and written once, with ``CHUNK``: a key with any share of all rows is cut into as many chunks as it needs.
+
+    ``with_previous`` and ``running`` go over such a table chunk by chunk and carry over what one chunk hands to the next, a row for each key and chunk. Null keys are a key of their own.
+    """
+    return materialize(df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id()))
+
+
+def _carried(chunks: DataFrame, handed: DataFrame, keys: list[str]) -> DataFrame:
+    """``chunks`` with the columns of ``handed`` (one row per key and chunk), null where a key begins."""
+    renamed = handed.withColumnsRenamed({k: f"__{k}" for k in [*keys, CHUNK]})
+    same = reduce(lambda a, b: a & b, [chunks[k].eqNullSafe(renamed[f"__{k}"]) for k in [*keys, CHUNK]])
+    return chunks.join(renamed, same, "left").drop(*[f"__{k}" for k in [*keys, CHUNK]])
+
+
+def with_previous(chunks: DataFrame, keys: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """``chunks`` with ``name``: ``column`` of the row before in the order of its key; null for the first."""
+    inner = F.lag(column).over(Window.partitionBy(*keys, CHUNK).orderBy(*order))
+    first = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order)) == 1
+    ends = chunks.groupBy(*keys, CHUNK).agg(F.max(F.struct(*order, column))[column].alias("_end"))
+    handed = ends.select(*keys, CHUNK, F.lag("_end").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_handed"))
+    placed = chunks.withColumns({"_first": first, name: inner})
+    return _carried(placed, handed, keys).withColumn(name, F.when(F.col("_first"), F.col("_handed")).otherwise(F.col(name))).drop("_first", "_handed")
+
+
+def running(chunks: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], highest: dict[str, Column] | None = None) -> DataFrame:
+    """``chunks`` with running sums, and running maxima (nulls don't count), of each key's rows in their order."""
+    highest = highest or {}
+    names = [*sums, *highest]
+    own = chunks.withColumns({f"_v_{n}": c for n, c in {**sums, **highest}.items()})
+    inner = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = own.groupBy(*keys, CHUNK).agg(*[(F.sum if n in sums else F.max)(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    handed = totals.select(*keys, CHUNK, *[(F.sum if n in sums else F.max)(f"_t_{n}").over(before).alias(f"_c_{n}") for n in names])
+    placed = own.withColumns({n: (F.sum if n in sums else F.max)(f"_v_{n}").over(inner) for n in names})
+    whole = {n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0)) if n in sums else F.greatest(n, f"_c_{n}") for n in names}
+    return _carried(placed, handed, keys).withColumns(whole).drop(*[f"_{x}_{n}" for n in names for x in "vc"])
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
     """``df`` with ``name``: each row's place (from 1) in the order of all rows, without bringing them together.
 

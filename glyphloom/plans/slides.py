@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions.text import jaccard, normalise, words
 from glyphloom.operators import frames as frame_ops
 from glyphloom.operators import slides as ops
+from glyphloom.operators.sequential import spread, with_previous
 from glyphloom.plans.base import query
 from glyphloom.plans.layout import LINES, _lines
 from glyphloom.sources.tables import latest, table
@@ -23,14 +24,16 @@ r AS (SELECT *, sum(brk) OVER (PARTITION BY video_id ORDER BY frame_number, fram
 b AS (SELECT *, sum(CASE WHEN brk = 1 THEN 0 ELSE chg END) OVER (PARTITION BY video_id, slide_number ORDER BY frame_number, frame_id) AS build_index FROM r)""".replace(" AS both", ' AS "both"')
 
 
+ORDER = ("frame_number", "frame_id")
+
+
 def last_frames(spark: SparkSession, folder: str, *more: str) -> DataFrame:
-    """The last delivery of each frame, with the columns ``more``; ``place`` orders a video's frames."""
-    rows = latest(table(spark, folder, "frames", "frame_id", "video_id", "frame_number", "combined_text", "timestamp_seconds", "ingested_at", *more), "frame_id", "ingested_at")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("frame_number", "frame_id")))
+    """The last delivery of each frame, with the columns ``more``; ``ORDER`` orders a video's frames."""
+    return latest(table(spark, folder, "frames", "frame_id", "video_id", "frame_number", "combined_text", "timestamp_seconds", "ingested_at", *more), "frame_id", "ingested_at")
 
 
 def runs(spark: SparkSession, folder: str, *more: str) -> DataFrame:
-    return ops.slide_runs(last_frames(spark, folder, *more), order="place")
+    return ops.slide_runs(last_frames(spark, folder, *more), order=ORDER)
 
 
 @query(f"WITH {FRAMES} SELECT video_id, slide_number::BIGINT AS slide_number, count(*) AS frames, min(frame_number) AS first_frame, max(frame_number) AS last_frame FROM b GROUP BY video_id, slide_number")
@@ -45,9 +48,9 @@ def build_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f'WITH {FRAMES} SELECT frame_id, round(CASE WHEN every = 0 THEN 1.0 ELSE "both" / every END, 9) AS similarity FROM j WHERE before IS NOT NULL')
 def word_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    rows = last_frames(spark, folder).withColumn("text", F.coalesce("combined_text", F.lit("")))
-    before = F.lag("text").over(Window.partitionBy("video_id").orderBy("place"))
-    return rows.withColumn("before", before).filter("before IS NOT NULL").select("frame_id", F.round(jaccard(words(F.col("before")), words(F.col("text"))), 9).alias("similarity"))
+    rows = last_frames(spark, folder).select("frame_id", "video_id", "frame_number", F.coalesce("combined_text", F.lit("")).alias("text"))
+    chunks = spread(rows, ["video_id"], list(ORDER))
+    return with_previous(chunks, ["video_id"], list(ORDER), "text", "before").filter("before IS NOT NULL").select("frame_id", F.round(jaccard(words(F.col("before")), words(F.col("text"))), 9).alias("similarity"))
 
 
 @query(
@@ -61,9 +64,9 @@ def frame_compare_sets(spark: SparkSession, folder: str) -> DataFrame:
     """Each frame's lines against those of the frame before: shared, added and removed."""
     lines = table(spark, folder, "text_lines", "line_id", "frame_id", "video_id", "frame_number", "text").distinct().filter("text IS NOT NULL AND frame_id IS NOT NULL AND video_id IS NOT NULL")
     own = lines.withColumn("line", normalise(F.col("text"))).groupBy("frame_id").agg(F.min("video_id").alias("video_id"), F.min("frame_number").alias("frame_number"), F.array_join(F.collect_set("line"), "\n").alias("b"))
-    before = F.lag("b").over(Window.partitionBy("video_id").orderBy("frame_number", "frame_id"))
+    chunks = spread(own, ["video_id"], list(ORDER))
     found = frame_ops.compare_line_sets(F.col("a"), F.col("b"))
-    return own.withColumn("a", before).filter("a IS NOT NULL").select("frame_id", *[c.alias(n) if n != "similarity" else F.round(c, 9).alias(n) for n, c in found.items()])
+    return with_previous(chunks, ["video_id"], list(ORDER), "b", "a").filter("a IS NOT NULL").select("frame_id", *[c.alias(n) if n != "similarity" else F.round(c, 9).alias(n) for n, c in found.items()])
 
 
 @query(
