@@ -117,3 +117,34 @@ def flat_json(text: pd.Series) -> pd.Series:
 def error_rate(errors: Column, length: Column) -> Column:
     """Errors over the reference's length; null for an empty reference."""
     return F.when(length > 0, errors / length)
+
+
+def _unique(pairs: list[tuple]) -> dict:
+    keys = [k for k, _ in pairs]
+    if len(keys) != len(set(keys)):
+        raise ValueError("repeated key")
+    return dict(pairs)
+
+
+def _no_constant(name: str):
+    raise ValueError("not a finite number")
+
+
+@F.pandas_udf(T.StringType())
+def json_problem(text: pd.Series, fields: pd.Series) -> pd.Series:
+    """Why a text is no strict JSON object of exactly the given fields: no text, no JSON, a repeated key, a number that is not finite, no object, or other fields; null if it is one."""
+
+    def one(t, names):
+        if t is None:
+            return "no text"
+        try:
+            value = json.loads(t, object_pairs_hook=_unique, parse_constant=_no_constant)
+        except json.JSONDecodeError:
+            return "no JSON"
+        except (ValueError, RecursionError) as problem:
+            return str(problem)
+        if not isinstance(value, dict):
+            return "no object"
+        return None if set(value) == set(names) else "other fields"
+
+    return pd.Series([one(t, names) for t, names in zip(text, fields)], dtype=object)

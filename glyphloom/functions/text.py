@@ -177,3 +177,19 @@ def is_safe_relative_path(path: Column) -> Column:
 def frame_count(reported: Column) -> Column:
     """The number of frames that a container reports, or null where it reports none."""
     return F.when(reported.cast("long") > 0, reported.cast("long"))
+
+
+def remaining_seconds(elapsed: Column, current: Column, total: Column, least_current: int = 3, least_elapsed: float = 0.0) -> Column:
+    """The time that is left at the pace so far; null before a stage has done ``least_current`` steps in ``least_elapsed`` seconds, and without a total."""
+    known = (current >= least_current) & (elapsed >= least_elapsed) & (total > 0) & (current > 0)
+    return F.when(known, F.greatest(F.lit(0.0), elapsed / current * F.greatest(F.lit(0), total - current)))
+
+
+def evidence_path(request: Column) -> Column:
+    """Where the evidence of a request is kept: by the digest of its id."""
+    return F.concat(F.lit("evidence/"), F.sha2(request, 256), F.lit(".png"))
+
+
+def visual_request_id(source: Column, slide: Column, build: Column, frame: Column) -> Column:
+    """The id of a request about one frame; a build that is unknown is named so."""
+    return F.concat_ws(":", source, F.lit("slide"), slide.cast("string"), F.lit("build"), F.coalesce(build.cast("string"), F.lit("none")), F.lit("frame"), frame.cast("string"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -180,3 +181,38 @@ SECRET_KEY = r"(?i)api.?key|token|secret|password|credential|authorization"
 def safe_metadata(metadata: Column) -> Column:
     """A map without the entries whose keys name secrets."""
     return F.map_filter(metadata, lambda k, _: ~k.rlike(SECRET_KEY))
+
+
+#: Providers by name: factories that are called once in each Python worker.
+_PROVIDERS: dict[str, Callable[[], Callable[[str, str], str]]] = {}
+
+
+def register_provider(name: str, factory: Callable[[], Callable[[str, str], str]]) -> None:
+    """Make a provider known by its name in lower case; a name that is none, or is taken, is refused."""
+    clean = name.strip().lower()
+    if not re.fullmatch(r"[a-z][a-z0-9_-]*", clean) or clean in _PROVIDERS:
+        raise ValueError(f"no name for a new provider: {name!r}")
+    _PROVIDERS[clean] = factory
+
+
+def provider_factory(name: str) -> Callable[[], Callable[[str, str], str]]:
+    if name.strip().lower() not in _PROVIDERS:
+        raise ValueError(f"unknown provider: {name!r}; there are " + (", ".join(sorted(_PROVIDERS)) or "none"))
+    return _PROVIDERS[name.strip().lower()]
+
+
+# How workbooks are grouped.
+GROUPINGS = ["by_language", "by_source", "combined", "individual"]
+
+
+def planned_workbooks(items: DataFrame, languages: list[str], grouping: str, job: str, item: str = "source_item_id", place: str = "place") -> DataFrame:
+    """``workbook_id, sheet_id, item, target_language, sheet_order``: a sheet for each item and language, in the order of its workbook's grouping. ``place`` is the items' order, from 0; the languages are a handful."""
+    if grouping not in GROUPINGS:
+        raise ValueError(f"unknown grouping: {grouping}")
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("_k"), F.lit(c).alias("target_language")) for k, c in enumerate(languages)]))
+    rows = items.select(item, F.col(place).cast("long").alias("_p"), each.alias("_l")).select(item, "_p", "_l.*")
+    n = items.count()
+    at = F.col("_k") * n + F.col("_p") if grouping == "by_language" else F.col("_p") * len(languages) + F.col("_k")
+    book = {"by_language": ["language", F.col("target_language")], "by_source": ["source", F.col(item)], "combined": ["combined"], "individual": ["source", F.col(item), "language", F.col("target_language")]}[grouping]
+    parts = [c if isinstance(c, Column) else F.lit(c) for c in book]
+    return rows.select(F.concat_ws(":", F.lit(job), F.lit("workbook"), *parts).alias("workbook_id"), F.concat_ws(":", F.lit(job), F.lit("sheet"), F.col(item), "target_language").alias("sheet_id"), F.col(item), "target_language", at.alias("sheet_order"))

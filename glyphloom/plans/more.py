@@ -90,16 +90,43 @@ def engine_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH i AS (SELECT DISTINCT export_kind FROM documents WHERE export_kind IS NOT NULL), l AS (SELECT unnest(['de', 'fr', 'es']) AS language, unnest([0, 1, 2]) AS k)
-SELECT export_kind || ':' || language AS sheet_id, row_number() OVER (ORDER BY k, export_kind) AS place FROM i, l"""
+    """WITH i AS (SELECT export_kind AS item, row_number() OVER (ORDER BY export_kind) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT export_kind FROM documents WHERE export_kind IS NOT NULL)), l AS (SELECT unnest(['de', 'fr', 'es']) AS language, unnest([0, 1, 2]) AS k),
+g AS (SELECT unnest(['by_language', 'by_source', 'combined', 'individual']) AS grouping_name)
+SELECT grouping_name, 'job:workbook:' || CASE grouping_name WHEN 'by_language' THEN 'language:' || language WHEN 'by_source' THEN 'source:' || item WHEN 'combined' THEN 'combined' ELSE 'source:' || item || ':language:' || language END AS workbook_id,
+ 'job:sheet:' || item || ':' || language AS sheet_id, CASE WHEN grouping_name = 'by_language' THEN k * n + p ELSE p * 3 + k END AS sheet_order FROM i, l, g"""
 )
 def planned_sheets(spark: SparkSession, folder: str) -> DataFrame:
-    """A sheet for each kind of export and language, numbered; the languages are one array beside each kind."""
+    """The sheets of each kind of export and language, in the workbooks of every grouping."""
+    from functools import reduce
+
     from glyphloom.operators.sequential import numbered
+    from glyphloom.operators.translation import GROUPINGS, planned_workbooks
+
+    items = numbered(table(spark, folder, "documents", "export_kind").filter("export_kind IS NOT NULL").distinct(), ["export_kind"]).withColumn("place", F.col("place") - 1)
+    plans = [planned_workbooks(items, ["de", "fr", "es"], g, "job", "export_kind").withColumn("grouping_name", F.lit(g)) for g in GROUPINGS]
+    return reduce(DataFrame.unionByName, plans).select("grouping_name", "workbook_id", "sheet_id", "sheet_order")
+
+
+@query(
+    """WITH f AS (SELECT frame_id, max_by(struct_pack(v := video_id, n := frame_number), ingested_at) AS k FROM frames WHERE frame_id IS NOT NULL GROUP BY frame_id), q AS (SELECT frame_id, concat_ws(':', k.v, 'slide', (frame_id % 9)::VARCHAR, 'build', coalesce(CASE WHEN frame_id % 4 > 0 THEN frame_id % 4 END::VARCHAR, 'none'), 'frame', k.n::VARCHAR) AS id FROM f)
+SELECT frame_id, id AS request_id, 'evidence/' || sha256(id) || '.png' AS evidence FROM q"""
+)
+def visual_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of requests about frames, and where their evidence is kept (slides and builds by the frame's id)."""
+    from glyphloom.functions.text import evidence_path, visual_request_id
+
+    rows = latest(table(spark, folder, "frames", "frame_id", "video_id", "frame_number", "ingested_at"), "frame_id", "ingested_at")
+    build = F.when(F.col("frame_id") % 4 > 0, F.col("frame_id") % 4)
+    named = rows.withColumn("request_id", visual_request_id(F.col("video_id"), F.col("frame_id") % 9, build, F.col("frame_number")))
+    return named.select("frame_id", "request_id", evidence_path(F.col("request_id")).alias("evidence"))
+
 
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("language")) for k, c in enumerate(["de", "fr", "es"])]))
-    rows = table(spark, folder, "documents", "export_kind").filter("export_kind IS NOT NULL").distinct().select("export_kind", each.alias("l")).select("export_kind", "l.*")
-    return numbered(rows, ["k", "export_kind"]).select(F.concat_ws(":", "export_kind", "language").alias("sheet_id"), "place")
+@query()
+def structure_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges and straight lines of each image (here: embeddings as images of eight columns); rows only, checked by hand in the tests."""
+    pixels = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round(x * 100 + 128).cast("int"))))
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), pixels.alias("pixels"), F.lit(None).cast("array<array<double>>").alias("boxes"))
+    return images.structure_evidence(rows)
 
 
 @query()

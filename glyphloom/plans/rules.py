@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphloom.functions.text import is_safe_relative_path, normalise, redacted, version_tuple
+from glyphloom.functions.similarity import json_problem
+from glyphloom.functions.text import is_safe_relative_path, normalise, redacted, remaining_seconds, version_tuple
 from glyphloom.operators import visual
 from glyphloom.plans.base import query
 from glyphloom.plans.layout import BOXED, _reading
@@ -86,7 +87,10 @@ def version_compatibility(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "version", (version_tuple(F.col("version")) <= version_tuple(F.lit("1.4.0.0"))).alias("compatible"))
 
 
-@query("SELECT doc_id, doc_id % 5 = 0 AS safe FROM documents")
+@query(
+    r"""WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'models/' || doc_id || '/weights.bin' WHEN 1 THEN '../' || doc_id WHEN 2 THEN '/etc/' || doc_id WHEN 3 THEN 'a//' || doc_id ELSE 'C:' || doc_id END AS p FROM documents)
+SELECT doc_id, len(list_filter(string_split(p, '/'), lambda x: x IN ('', '.', '..'))) = 0 AND NOT contains(p, ':') AND NOT contains(p, chr(92)) AS safe FROM p"""
+)
 def safe_relative_path(spark: SparkSession, folder: str) -> DataFrame:
     """Of five kinds of paths only the first stays in its folder."""
     n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 5
@@ -168,20 +172,28 @@ def ordered_union(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "event_type"))), lambda x: x["event_type"]).alias("seen"))
 
 
-@query(
-    """SELECT event_id, round(value / (1 + event_id % 9) * (20 - event_id % 9), 6) AS remaining FROM events WHERE value IS NOT NULL"""
-)
+@query("SELECT event_id, CASE WHEN event_id % 9 >= 3 AND value >= 5 THEN round(greatest(0.0::DOUBLE, value / (event_id % 9) * greatest(0, 20 - event_id % 9)), 6) END AS remaining FROM events WHERE value IS NOT NULL")
 def remaining_time(spark: SparkSession, folder: str) -> DataFrame:
-    """Elapsed time over done steps, times the steps to go."""
-    done = F.col("event_id") % 9
-    return table(spark, folder, "events", "event_id", "value").filter("value IS NOT NULL").select("event_id", F.round(F.col("value") / (1 + done) * (20 - done), 6).alias("remaining"))
+    """The time that is left of twenty steps, unknown before the third and before five seconds."""
+    left = remaining_seconds(F.col("value"), F.col("event_id") % 9, F.lit(20), 3, 5.0)
+    return table(spark, folder, "events", "event_id", "value").filter("value IS NOT NULL").select("event_id", F.round(left, 6).alias("remaining"))
+
+
+@query("""SELECT event_id, CASE WHEN props IS NULL THEN 'no text' WHEN event_id % 4 = 0 THEN 'no JSON' WHEN event_id % 4 = 1 THEN 'repeated key' WHEN event_id % 4 = 2 THEN 'other fields' END AS problem FROM events""")
+def json_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether properties are strict JSON of one field; three of four are spoilt in ways whose outcome is known."""
+    k = F.col("event_id") % 4
+    spoilt = F.when(k == 0, F.concat("props", F.lit("}"))).when(k == 1, F.lit('{"k": 1, "k": 2}')).when(k == 2, F.lit('{"k": 1, "m": 2}')).otherwise(F.col("props"))
+    rows = table(spark, folder, "events", "event_id", "props")
+    return rows.select("event_id", json_problem(F.when(F.col("props").isNotNull(), spoilt), F.array(F.lit("k"))).alias("problem"))
 
 
-@query("SELECT event_id, CASE WHEN contains(lower(props), 'timeout') THEN 'timeout' WHEN contains(lower(props), 'mobile') THEN 'mobile' WHEN props IS NULL THEN 'none' ELSE 'other' END AS kind FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN ['timeout', 'refusal', 'refusal', 'schema_invalid', 'provider_failure'][event_id % 6] END AS kind FROM events")
 def failure_kind(spark: SparkSession, folder: str) -> DataFrame:
-    p = F.lower("props")
-    kind = F.when(F.contains(p, F.lit("timeout")), "timeout").when(F.contains(p, F.lit("mobile")), "mobile").when(p.isNull(), "none").otherwise("other")
-    return table(spark, folder, "events", "event_id", "props").select("event_id", kind.alias("kind"))
+    """The kinds of failures, from messages whose kind is known; a sixth are successes."""
+    k = F.col("event_id") % 6
+    message = F.when(k == 1, "Gateway TIMEOUT").when(k == 2, "a Refusal").when(k == 3, "declined").when(k == 4, "Schema of the answer").otherwise("gone")
+    return table(spark, folder, "events", "event_id").select("event_id", visual.failure_kind(k == 0, message).alias("kind"))
 
 
 @query()

@@ -13,9 +13,46 @@ def test_kernels():
     a = np.array([[10, 10, 200], [10, 10, 200], [10, 10, 200]], np.uint8)
     assert set(np.unique(im.otsu(a))) == {0, 255} and (im.otsu(a) == 255).sum() == 3
     assert im.contrast(a)[0, 2] == 250 and im.contrast(np.full((1, 1), 230, np.uint8))[0, 0] == 255
-    assert im.sharpen(np.full((3, 3), 7, np.uint8)).tolist() == [[7] * 3] * 3
-    assert im.upscale(a).shape == (4, 4) and im.upscale(np.full((2, 2), 9, np.uint8)).tolist() == [[9] * 3] * 3
+    assert im.sharpen(np.full((3, 3), 7, np.uint8)).tolist() == [[7] * 3] * 3 and im.sharpen(np.full((1, 1), 7, np.uint8)).tolist() == [[7]]
+    # Beyond the left edge lies what lies right of it: 5 * 10 - 2 * 20 - 10 - 10.
+    assert im.sharpen(np.array([[10, 20, 30]] * 3, np.uint8))[1].tolist() == [0, 20, 50]
     assert im.grayscale(np.full((2, 2, 3), 50, np.uint8)).tolist() == [[50, 50], [50, 50]]
+    assert im.grayscale(np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255]]], np.uint8)).tolist() == [[29, 150, 76]]
+
+
+def test_upscale_is_cubic():
+    assert im.upscale(np.full((2, 2), 9, np.uint8)).tolist() == [[9] * 3] * 3
+    # At factor 2 new pixels lie a quarter from old ones, with weights of the kernel at 1/4, 3/4, 5/4 and 7/4.
+    kernel = lambda d: (1.25 * d - 2.25) * d * d + 1 if d <= 1 else -0.75 * (d**3 - 5 * d**2 + 8 * d - 4)
+    row = np.array([[0, 40, 80, 40, 0, 20]], np.uint8)
+    got = im.upscale(row, 2.0)[0]
+    for n in range(12):
+        at = (n + 0.5) / 2 - 0.5
+        base = int(np.floor(at))
+        want = sum(kernel(abs(at - base - k)) * float(row[0, min(5, max(0, base + k))]) for k in (-1, 0, 1, 2))
+        assert got[n] == min(255, max(0, round(want)))
+
+
+def test_edges_and_straight_lines():
+    image = np.zeros((60, 80), np.uint8)
+    image[20:40, 10:70] = 200
+    found = im.edges(image)
+    assert im.aligned_segments(found) == 4 and 0 < found.sum() < 400
+    assert im.edges(image, np.ones(image.shape, bool)).sum() == 0 and im.edges(np.full((5, 5), 3, np.uint8)).sum() == 0
+    hidden = np.zeros(image.shape, bool)
+    hidden[:, 40:] = True
+    assert 0 < im.edges(image, hidden).sum() and not im.edges(image, hidden)[:, 45:].any()
+    short = np.zeros((60, 80), bool)
+    short[5, 5:15] = True
+    assert im.aligned_segments(short) == 0
+
+
+def test_structure_evidence_contains_failures(spark):
+    image = np.zeros((40, 50), np.uint8)
+    image[10:30, 10:40] = 255
+    df = spark.createDataFrame([(1, 50, image.ravel().tolist(), [[0.0, 0.0, 50.0, 40.0]]), (2, 50, image.ravel().tolist(), None), (3, 7, [1, 2], None), (4, 1, None, None)], "image_id long, width int, pixels array<int>, boxes array<array<double>>")
+    got = {r.image_id: (r.edge_density, r.aligned_lines) for r in im.structure_evidence(df).collect()}
+    assert got[1] == (0.0, 0) and got[2][0] > 0 and got[2][1] == 4 and got[3] == got[4] == (None, None)
 
 
 def test_cover_equals_raster(spark):

@@ -63,3 +63,85 @@ def test_entry_works_without_the_llm_folder(spark, folder):
 
     code = "import sys; sys.modules['glyphloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'doc_confidence_stats' in q and not any(n.startswith('p1_') for n in q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_frame_manifests_are_strict(spark, tmp_path):
+    def manifest(name, frames, version=1):
+        (tmp_path / name).write_text(json.dumps({"schema_version": version, "frames": frames}))
+        return str(tmp_path / name)
+
+    frame = {"frame_id": "b", "image": "b.png", "reference_text": "x", "selection_reason": "why", "layout_categories": ["title"], "notes": "n"}
+    other = {**frame, "frame_id": "a", "image": "sub/a.png"}
+    del other["notes"]
+    got = readers.frame_manifest(spark, manifest("good.json", [frame, other]), readers.LAYOUTS)
+    assert [(r.frame_id, r.image, r.notes) for r in got.collect()] == [("a", f"{tmp_path}/sub/a.png", ""), ("b", f"{tmp_path}/b.png", "n")]
+    bad = [([frame], 2), ([frame, frame], 1), ([{**frame, "reference_text": ""}], 1), ([{**frame, "layout_categories": None}], 1), ([{**frame, "layout_categories": ["odd"]}], 1)]
+    for k, (frames, version) in enumerate(bad):
+        with pytest.raises(ValueError):
+            readers.frame_manifest(spark, manifest(f"bad{k}.json", frames, version), readers.LAYOUTS)
+    assert readers.frame_manifest(spark, manifest("free.json", bad[-1][0])).count() == 1
+
+
+def test_visual_cases_are_strict(spark, tmp_path):
+    case = {f: None for f in readers.CASE_FIELDS} | {"schema_version": 1, "case_id": "one", "image": "a.png"}
+
+    def folder(name, **files):
+        (tmp_path / name).mkdir()
+        for file, text in files.items():
+            (tmp_path / name / f"{file}.json").write_text(text if isinstance(text, str) else json.dumps(text))
+        return str(tmp_path / name)
+
+    good = folder("good", B=case, a={**case, "case_id": "two"})
+    assert [(r.file, r.case_id) for r in readers.visual_cases(spark, good).collect()] == [("a.json", "two"), ("B.json", "one")]
+    less = dict(case)
+    del less["notes"]
+    for k, text in enumerate(["{", json.dumps(case)[:-1] + ', "notes": 1}', json.dumps(less), json.dumps({**case, "more": 1}), json.dumps({**case, "notes": float("nan")}), {**case, "image": "../a.png"}, {**case, "schema_version": 2}, "[]"]):
+        with pytest.raises(ValueError):
+            readers.visual_cases(spark, folder(f"bad{k}", a=text, b={**case, "case_id": "b"}))
+    with pytest.raises(ValueError):
+        readers.visual_cases(spark, folder("twice", a=case, b=case))
+
+
+def test_videos_of_a_folder(spark, tmp_path):
+    for name in ("b.MP4", "A.mov", "c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    got = readers.videos_in_folder(spark, str(tmp_path))
+    assert [r.path.rpartition("/")[2] for r in got.orderBy("place").collect()] == ["A.mov", "b.MP4"]
+    with pytest.raises(ValueError):
+        readers.videos_in_folder(spark, str(tmp_path / "c.txt"))
+
+
+def test_providers_by_name():
+    from glyphloom.operators import translation
+
+    translation.register_provider(" Some-Provider ", lambda: lambda text, language: text)
+    assert translation.provider_factory("some-provider")()("x", "de") == "x"
+    for name in ("some-provider", "9x", "a b", ""):
+        with pytest.raises(ValueError):
+            translation.register_provider(name, lambda: None)
+    with pytest.raises(ValueError):
+        translation.provider_factory("none")
+
+
+def test_small_tables_by_rows_and_bytes(spark):
+    df = spark.range(100).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    plan = lambda d: d._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(if_small(df)) and "broadcast" not in plan(if_small(df, size=50_000)) and "broadcast" not in plan(if_small(df, rows=99))
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Unset:
+        def get(self, name, default=None):
+            return default
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Unset()
+
+    class Session:
+        conf, sparkContext = Unset(), Cluster()
+
+    with pytest.raises(ValueError):
+        session_module.shared_folder(Session())
