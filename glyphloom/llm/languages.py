@@ -254,8 +254,8 @@ def _labelled_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         yield pd.DataFrame(rows, columns=["text", "label"])
 
 
-def train_on(records: DataFrame, idf: np.ndarray, sample: int = SAMPLE, most: int = SEGMENTS) -> np.ndarray:
-    """Fit on segments of about ``sample`` distinct labelled texts, drawn by a hash of the text; of up to ``most`` segments, drawn by another.
+def train_on(records: DataFrame, idf: np.ndarray, n: int, sample: int = SAMPLE, most: int = SEGMENTS) -> np.ndarray:
+    """Fit on segments of ``sample`` distinct labelled texts or some more of those of ``n`` records, drawn by a hash of the text; of up to ``most`` segments, drawn by another.
 
     Both are drawn by a share of the hash's range, the texts are cut where they lie, and copies of a text count once: a task sends only segments of the sample, and
     a text that many records share takes no other's place.
@@ -263,11 +263,15 @@ def train_on(records: DataFrame, idf: np.ndarray, sample: int = SAMPLE, most: in
     known = records.filter(F.col("label").isNotNull() & F.col("text").isNotNull())
     part = lambda share: F.lit(max(1, int((1 << 30) * min(1.0, share))))
     within = lambda hashed, share: F.pmod(hashed, F.lit(1 << 30)) < part(share)
-    texts = known.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
-    drawn = known.filter(within(F.xxhash64("text"), 1.25 * sample / max(texts, 1))).select("text", "label").distinct()
+    share = 1.25 * sample / max(n, 1)
+    while True:
+        drawn = materialize(known.filter(within(F.xxhash64("text"), share)).select("text", "label").distinct())
+        found = drawn.count()
+        if found >= sample or share >= 1:
+            break
+        share *= max(1.5, 1.25 * sample / max(found, 1))  # many records share their texts, or have no label
     cut = materialize(drawn.mapInPandas(_labelled_segments, "text string, label string").distinct())
-    n = cut.count()
-    rows = cut.filter(within(F.xxhash64("text", "label"), 1.1 * most / max(n, 1))).orderBy(F.xxhash64("text", "label"), "text", "label").limit(most).collect()
+    rows = cut.filter(within(F.xxhash64("text", "label"), 1.1 * most / max(cut.count(), 1))).orderBy(F.xxhash64("text", "label"), "text", "label").limit(most).collect()
     return fit([r[0] for r in rows], np.array([LANGUAGES.index(r[1]) for r in rows], np.int64), idf)
 
 
@@ -346,8 +350,8 @@ def records(documents: DataFrame, workbook: DataFrame) -> DataFrame:
 def recognised(documents: DataFrame, workbook: DataFrame, details: bool = False) -> DataFrame:
     """``record_kind, record_id, label, language, confidence, letters``: a row for each language of each record. With ``details``, a row for each segment instead."""
     raw = documents.select(label(F.col("lang")).alias("label"), "text").unionByName(workbook.select(label(F.col("source_language")).alias("label"), F.col("original_text").alias("text")))
-    idf, _ = inverse_frequencies(raw)
-    weights = documents.sparkSession.sparkContext.broadcast(train_on(raw, idf))
+    idf, n = inverse_frequencies(raw)
+    weights = documents.sparkSession.sparkContext.broadcast(train_on(raw, idf, n))
     schema = "record_kind string, record_id long, label string, " + ("segment int, segment_text string, language string, confidence double" if details else "language string, confidence double, letters long")
     return records(documents, workbook).select("record_kind", "record_id", "label", "body").mapInPandas(_recognise(weights, details), schema)
 

@@ -60,6 +60,14 @@ SELECT 'text_line', line_id, 0 FROM tk JOIN ts USING (video_id, k)
 """,
     "p8_found": """
 SELECT spec_id, doc_id FROM documents, container_specs WHERE purpose = 'pack' AND strlen(text) > capacity_tokens
+""",
+    "p8_bounds": """
+SELECT spec_id, sum(coalesce(strlen(text), 0))::BIGINT AS bytes, count(*) AS documents, 0::BIGINT AS overfull, true AS near_least FROM documents, container_specs WHERE purpose = 'pack' GROUP BY spec_id
+""",
+    "p9_targets": """
+WITH s AS (SELECT source, sum(coalesce(strlen(text), 0)) AS b FROM documents WHERE source IS NOT NULL GROUP BY 1),
+t AS (SELECT m.*, coalesce(b, 0) AS b, max(budget_fraction) OVER (PARTITION BY mix_id) * sum(coalesce(b, 0)) OVER (PARTITION BY mix_id) AS budget FROM mix_targets m LEFT JOIN s USING (source))
+SELECT mix_id, source, repeat_cap * b >= target_share * budget AS met FROM t
 """,
     "p9_found": """
 WITH s AS (SELECT source, sum(coalesce(strlen(text), 0)) AS b FROM documents WHERE source IS NOT NULL GROUP BY 1),

@@ -179,3 +179,11 @@ def split_documents(packed: DataFrame) -> DataFrame:
 def containers(packed: DataFrame) -> DataFrame:
     """One row per container: its documents, bytes and unused space."""
     return packed.groupBy("spec_id", "container_id", "capacity_tokens").agg(F.count("*").alias("pieces"), F.sum("piece_bytes").alias("bytes")).withColumn("unused", F.col("capacity_tokens") - F.col("bytes"))
+
+
+def bounds(packed: DataFrame) -> DataFrame:
+    """``spec_id, bytes, documents, overfull, near_least``: one row per spec, with the number of containers above the capacity, and whether there are few more containers than bytes need."""
+    each = containers(packed).groupBy("spec_id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("_n"), F.count_if(F.col("unused") < 0).alias("overfull"), F.max("capacity_tokens").alias("_c"))
+    documents = packed.groupBy("spec_id").agg(F.count_distinct("doc_id").alias("documents"))
+    least = F.ceil(F.col("bytes") / F.col("_c"))
+    return each.join(documents, "spec_id").select("spec_id", "bytes", "documents", "overfull", (F.col("_n") <= F.greatest(least + 2, F.ceil(least * 1.02))).alias("near_least"))

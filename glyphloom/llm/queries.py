@@ -153,6 +153,12 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(packing.pack(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "container_specs")))
 
 
+@query
+def p8_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for the containers of each spec: every byte is in one of them, none is overfull, and there are no more than two per cent, or two, above the least number."""
+    return packing.bounds(packing.pack(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "container_specs")))
+
+
 # 9: mixing
 @query
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,6 +173,18 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return report.select("mix_id", "source", "target_share", "reached_share", "target_bytes", "reached_bytes", "documents", "most_repeats", "short")
 
 
+@query
+def p9_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each source comes within two per cent, or its smallest document with any bytes, of its target (a source of a dozen documents or less: its largest one). All do that are not short."""
+    documents = table(spark, folder, "documents", "doc_id", "source", "text")
+    _, report = mixing.mix(documents, table(spark, folder, "mix_targets"))
+    size = F.octet_length("text")
+    own = documents.filter("text <> ''").groupBy("source").agg(F.min(size).alias("_least"), F.max(size).alias("_most"))
+    step = F.coalesce(F.when(F.col("source_documents") <= mixing.LEFT, F.col("_most")).otherwise(F.col("_least")), F.lit(0))
+    off = F.abs(F.col("reached_bytes") - F.col("target_bytes"))
+    return report.join(own, "source", "left").select("mix_id", "source", (off <= F.greatest(step, F.col("target_bytes") * 0.02)).alias("met"))
+
+
 @query
 def p9_chosen(spark: SparkSession, folder: str) -> DataFrame:
     """The chosen documents with their repeats."""

@@ -63,3 +63,18 @@ def test_empty(spark):
     specs = spark.createDataFrame([(1, "pack", 100, 0)], SPECS)
     assert pk.pack(df.limit(0), specs).count() == 0 and pk.pack(df, specs.limit(0)).count() == 0
     assert pk.pack(spark.createDataFrame([(1, "z" * 200)], df.schema), specs).count() == 2
+
+
+def test_evolution_beats_best_fit_where_three_fill_a_container():
+    """Containers of three documents that fit exactly: best fit by falling size pairs the wrong ones, and crossover of whole containers keeps the right ones."""
+    rng, capacity, sizes = random.Random(1), 1000, []
+    for _ in range(200):
+        a = rng.randrange(380, 490)
+        b = rng.randrange(251, min(490, capacity - a - 251))
+        sizes += [a, b, capacity - a - b]
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    plain = len(pk._best_fit([], order, sizes, capacity))
+    short = pk.evolve(sizes, capacity, [], random.Random(2))
+    long = pk.evolve(sizes, capacity, [], random.Random(2), generations=200, population=20)
+    assert 200 <= len(long) < len(short) < plain
+    assert all(sum(sizes[i] for i in g) <= capacity for g in long) and sorted(i for g in long for i in g) == list(range(600))
