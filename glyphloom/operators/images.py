@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 MAX_SIDE = 1536
 # The parts of blue, green and red in grey, of 2 ** 14, and the sharpness of cubic interpolation.
@@ -162,6 +165,29 @@ def experiment(images: DataFrame, measure: Callable[[np.ndarray], float], varian
     return images.select("image_id", "width", "pixels").mapInPandas(run, "image_id long, variant string, status string, value double, error string")
 
 
+def png(image: np.ndarray) -> bytes:
+    """A grey or colour (blue, green, red) image as a PNG file."""
+    shown = image if image.ndim == 2 else image[..., 2::-1]
+    height, width = shown.shape[:2]
+    rows = b"".join(b"\0" + np.ascontiguousarray(shown[k]).astype(np.uint8).tobytes() for k in range(height))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, 0 if shown.ndim == 2 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+@F.pandas_udf(BinaryType())
+def frame_png(width: pd.Series, pixels: pd.Series) -> pd.Series:
+    """The PNG file of a grey image given as its width and rows of pixels; null for an image that is none."""
+
+    def one(w, p):
+        try:
+            return png(np.asarray(p, dtype=np.uint8).reshape(-1, int(w)))
+        except Exception:  # noqa: BLE001 - an image that is none is its row's
+            return None
+
+    return pd.Series([one(w, p) for w, p in zip(width, pixels)], dtype=object)
+
+
 def compared(results: DataFrame, key: str, variant: str, rates: list[str], baseline: str = "original") -> DataFrame:
     """``comparison`` of each variant's rates, in order, with those of the baseline: improved, worsened, unchanged, or unavailable where any is null."""
     base = results.filter(F.col(variant) == baseline).select(key, *[F.col(r).alias(f"_b_{r}") for r in rates])

@@ -8,6 +8,8 @@ import shutil
 import string
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+
 # The stages whose results can be started from again, in order, with their dataset names.
 STAGES = {"frames": "candidate_frames", "regions": "ocr_results", "lines": "reading_order", "slides": "presentation"}
 
@@ -42,6 +44,20 @@ def stage_dataset(run: str | Path, stage: str) -> str:
     return str(dataset)
 
 
+def write_stage(df: DataFrame, run: str | Path, stage: str) -> str:
+    """Write what a stage has made to its dataset in the run's folder, where it can be started from again; a dataset that is there is left alone and refused."""
+    if stage not in STAGES:
+        raise ValueError(f"unknown stage {stage!r}; known are {', '.join(STAGES)}")
+    dataset = f"{run}/{STAGES[stage]}.parquet"
+    df.write.mode("errorifexists").parquet(dataset)
+    return dataset
+
+
+def read_stage(spark: SparkSession, run: str | Path, stage: str) -> DataFrame:
+    """What a stage has made, from a run's folder or the dataset itself."""
+    return spark.read.parquet(stage_dataset(run, stage))
+
+
 def stages_after(stage: str) -> list[str]:
     """The stages that still have to run when ``stage`` is read back."""
     names = list(STAGES)

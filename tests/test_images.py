@@ -106,3 +106,20 @@ def test_experiment_contains_failures(spark):
     assert got[2, "original"].status == got[3, "contrast"].status == "failed" and "Error" in got[2, "original"].error
     labels = im.compared(spark.createDataFrame([(1, "original", 0.5, 0.1), (1, "a", 0.4, 0.9), (1, "b", 0.5, 0.1), (1, "c", 0.5, 0.2), (1, "d", None, 0.0)], "k int, v string, cer double, wer double"), "k", "v", ["cer", "wer"])
     assert rows(labels.select("v", "comparison")) == [("a", "improved"), ("b", "unchanged"), ("c", "worsened"), ("d", "unavailable"), ("original", "unchanged")]
+
+
+def test_png_files(spark):
+    import struct
+    import zlib
+
+    a = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    data = im.png(a)
+    assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == (4, 3)
+    size = struct.unpack(">I", data[33:37])[0]
+    raw = np.frombuffer(zlib.decompress(data[41 : 41 + size]), np.uint8).reshape(3, 5)
+    assert (raw[:, 0] == 0).all() and (raw[:, 1:] == a).all()
+    colour = im.png(np.array([[[1, 2, 3]]], np.uint8))
+    assert zlib.decompress(colour[41 : 41 + struct.unpack(">I", colour[33:37])[0]]) == b"\0\x03\x02\x01"
+    df = spark.createDataFrame([(1, 4, a.ravel().tolist()), (2, 5, [1, 2]), (3, 2, None)], "k int, w int, p array<int>")
+    got = {r.k: r.f for r in df.select("k", im.frame_png("w", "p").alias("f")).collect()}
+    assert bytes(got[1]) == data and got[2] is None and got[3] is None

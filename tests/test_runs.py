@@ -19,6 +19,11 @@ def test_stages(spark, tmp_path):
     assert runs.stages_after("regions") == ["lines", "slides"]
     with pytest.raises(FileNotFoundError):
         runs.stage_dataset(tmp_path, "frames")
+    runs.write_stage(spark.range(4), tmp_path, "lines")
+    assert runs.read_stage(spark, tmp_path, "lines").count() == 4
+    for again in (("lines", "(?i)exist"), ("other", "unknown stage")):
+        with pytest.raises(Exception, match=again[1]):
+            runs.write_stage(spark.range(4), tmp_path, again[0])
     with pytest.raises(ValueError, match="unknown stage"):
         runs.stage_dataset(tmp_path, "video")
 

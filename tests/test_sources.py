@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,27 @@ def test_no_folder_of_one_machine_on_a_cluster():
 
     with pytest.raises(ValueError):
         session_module.shared_folder(Session())
+
+
+def three_a_second(path):
+    if "bad" in path:
+        raise OSError("no stream")
+    return 3.0, iter(np.load(path))
+
+
+def test_videos_as_a_source(spark, tmp_path):
+    from glyphloom.sources.video import SCHEMA, VideoFrames, VideoReader
+
+    spark.dataSource.register(VideoFrames)
+    np.save(tmp_path / "b.npy", np.arange(24, dtype=np.uint8).reshape(2, 3, 4))
+    np.save(tmp_path / "A.npy", np.zeros((1, 1, 2), np.uint8))
+    got = spark.read.format("video_frames").load(str(tmp_path)).orderBy("path", "frame_number").collect()
+    assert [(r.path.rpartition("/")[2], r.frame_number, r.timestamp_seconds, r.height, r.width) for r in got] == [("A.npy", 0, 0.0, 1, 2), ("b.npy", 0, 0.0, 3, 4), ("b.npy", 1, 1.0, 3, 4)]
+    assert got[2].image == list(range(12, 24)) and len(got[0]) == len(SCHEMA.split(","))
+    reader = VideoReader({"path": str(tmp_path), "decoder": f"{__name__}:three_a_second"})
+    assert [r[2] for r in reader.read(reader.partitions()[1])] == [0.0, 1 / 3]
+    np.save(tmp_path / "bad.npy", np.zeros((1, 1, 1), np.uint8))
+    with pytest.raises(ValueError, match="bad.npy cannot be read"):
+        list(reader.read(reader.partitions()[2]))
+    with pytest.raises(ValueError, match="no videos"):
+        VideoReader({"path": str(tmp_path / "none")}).partitions()
