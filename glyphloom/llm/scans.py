@@ -500,7 +500,8 @@ def learned_templates(lines: DataFrame) -> list[str]:
 
     A template holds ``TEMPLATE_SHARE`` of the videos at least, so that there are no more of them than a video has such lines times the templates of a line (at most 92), divided by that share.
     """
-    videos = lines.agg(F.count_distinct("video_id")).first()[0]
+    alike = materialize(lines.select("video_id", F.regexp_replace("line", "[0-9]+", "0").alias("line")).distinct())
+    videos = alike.agg(F.count_distinct("video_id")).first()[0]
     least = max(FILLERS, math.ceil(videos * TEMPLATE_SHARE))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -508,7 +509,6 @@ def learned_templates(lines: DataFrame) -> list[str]:
             rows = [(video, form, fillers) for video, line in batch.itertuples(index=False) for form, fillers in templates(line)]
             yield pd.DataFrame(rows, columns=["video_id", "form", "fillers"])
 
-    alike = lines.select("video_id", F.regexp_replace("line", "[0-9]+", "0").alias("line")).distinct()
     forms = materialize(alike.mapInPandas(run, "video_id string, form string, fillers array<string>"))
     spread = forms.groupBy("form", "video_id").agg(F.lit(1).alias("_one")).groupBy("form").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("form")
     filled = forms.select("form", F.posexplode("fillers").alias("place", "filler")).groupBy("form", "place", "filler").agg(F.lit(1).alias("_one")).groupBy("form", "place").agg(F.count("*").alias("n"))
