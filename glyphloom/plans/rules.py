@@ -196,12 +196,14 @@ def failure_kind(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events", "event_id").select("event_id", visual.failure_kind(k == 0, message).alias("kind"))
 
 
-@query()
+@query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS leaf FROM events WHERE props IS NOT NULL AND json_valid(props) AND json_exists(props, '$.k') UNION ALL SELECT event_id, 'n.' || i, (event_id % 7 + i)::VARCHAR FROM events, (SELECT unnest([0, 1]) AS i) WHERE props IS NOT NULL")
 def flat_properties(spark: SparkSession, folder: str) -> DataFrame:
-    """The leaves of JSON properties by dotted path; rows only."""
+    """The leaves of JSON properties by dotted path (a nested array is added to each)."""
     from glyphloom.functions.similarity import flat_json
 
-    return table(spark, folder, "events", "event_id", "props").select("event_id", flat_json("props").alias("leaves"))
+    n = F.col("event_id") % 7
+    nested = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "n": ['), n.cast("string"), F.lit(", "), (n + 1).cast("string"), F.lit("]}"))
+    return table(spark, folder, "events", "event_id", "props").select("event_id", F.explode(flat_json(nested)).alias("path", "leaf"))
 
 
 @query(
