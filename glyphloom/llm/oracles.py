@@ -36,6 +36,15 @@ g AS (SELECT frame_id, w, len(w) AS n FROM f WHERE len(w) >= 25),
 t AS (SELECT frame_id, n, unnest(w) AS x FROM g),
 p AS (SELECT a.frame_id AS frame_id_a, b.frame_id AS frame_id_b, count(*) AS c, a.n + b.n AS total FROM t a JOIN t b ON a.x = b.x AND a.frame_id < b.frame_id GROUP BY a.frame_id, b.frame_id, a.n, b.n)
 SELECT frame_id_a, frame_id_b FROM p WHERE c * 5 >= (total - c) * 4
+""",
+    "p4_groups": r"""
+WITH RECURSIVE f AS (SELECT DISTINCT frame_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(combined_text), '[\s\p{Z}]+'), lambda x: x <> ''))) AS w FROM frames WHERE combined_text IS NOT NULL AND frame_id IS NOT NULL),
+g AS (SELECT frame_id, w FROM f WHERE len(w) >= 25), c AS (SELECT w, min(frame_id) AS class_id, count(*) AS copies FROM g GROUP BY w),
+t AS (SELECT class_id, len(w) AS n, unnest(w) AS x FROM c),
+p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS k, a.n + b.n AS total FROM t a JOIN t b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY a.class_id, b.class_id, a.n, b.n),
+l AS (SELECT a, b FROM p WHERE k * 5 >= (total - k) * 4), r AS (SELECT class_id AS node, class_id AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON r.node = l.a),
+q AS (SELECT node, min(root) AS group_id FROM r GROUP BY node), m AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT frame_id, c.class_id, group_id, copies, coalesce(links, 0) AS links FROM g JOIN c USING (w) JOIN q ON q.node = c.class_id LEFT JOIN m ON m.a = c.class_id
 """,
     "p5_found": """
 WITH r AS (SELECT region_id, max_by(struct_pack(v := video_id, u := run_id, c := confidence), ingested_at) AS k FROM regions WHERE region_id IS NOT NULL GROUP BY region_id),
@@ -60,6 +69,14 @@ SELECT 'text_line', line_id, 0 FROM tk JOIN ts USING (video_id, k)
 """,
     "p8_found": """
 SELECT spec_id, doc_id FROM documents, container_specs WHERE purpose = 'pack' AND strlen(text) > capacity_tokens
+""",
+    "p7_cleaned": r"""
+WITH d AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, regexp_replace(lower(line), '[^\p{L}]+', '', 'g') AS k FROM d), dt AS (SELECT source, count(*) AS total FROM documents WHERE source IS NOT NULL AND text <> '' GROUP BY 1),
+s AS (SELECT source, k FROM k JOIN dt USING (source) WHERE length(k) BETWEEN 4 AND 120 GROUP BY source, k, total HAVING count(DISTINCT doc_id) >= 4 AND count(DISTINCT doc_id) >= total * 0.2::DOUBLE),
+x AS (SELECT k.doc_id, k.line, k.n, s.k IS NOT NULL AS gone FROM k LEFT JOIN s ON k.source = s.source AND k.k = s.k),
+y AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS cleaned, count(*) FILTER (WHERE gone) AS removed FROM x GROUP BY doc_id)
+SELECT doc_id, source, CASE WHEN text IS NOT NULL THEN coalesce(cleaned, '') END AS text, coalesce(removed, 0)::INT AS removed_lines FROM documents LEFT JOIN y USING (doc_id)
 """,
     "p8_bounds": """
 SELECT spec_id, sum(coalesce(strlen(text), 0))::BIGINT AS bytes, count(*) AS documents, 0::BIGINT AS overfull, true AS near_least FROM documents, container_specs WHERE purpose = 'pack' GROUP BY spec_id
