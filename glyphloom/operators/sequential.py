@@ -43,14 +43,18 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], algorithm: Calla
 
 #: The task that a row of a spread table lies in; tasks follow each other in the order of the rows.
 CHUNK = "_chunk"
+#: Rows of one key that a single task may go through in order.
+ROWS_IN_ORDER = 500_000
 
 
-def spread(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``df`` ranged over tasks by ``keys`` and ``order`` and written once, with ``CHUNK``: a key with any share of all rows is cut into as many chunks as it needs.
+def spread(df: DataFrame, keys: list[str], order: list[str], counted: DataFrame | None = None, rows: int = ROWS_IN_ORDER) -> DataFrame:
+    """``df`` as it is if no key has more than ``rows`` rows; else ranged over tasks by ``keys`` and ``order`` and written once, with ``CHUNK``: a key is then cut into as many chunks as it needs.
 
-    ``with_previous`` and ``running`` go over such a table chunk by chunk and carry over what one chunk hands to the next, a row for each key and chunk. Null keys are a key of their own.
+    ``with_previous`` and ``running`` give the same over both: chunk by chunk, they carry over what one chunk hands to the next, a row for each key and chunk. Null keys are a key of their own.
+    ``counted`` is a cheaper table with the ``keys`` of at least as many rows, to be counted instead of ``df``.
     """
-    return materialize(df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id()))
+    most = (df if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return df if most <= rows else materialize(df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id()))
 
 
 def _carried(chunks: DataFrame, handed: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,25 +65,30 @@ def _carried(chunks: DataFrame, handed: DataFrame, keys: list[str]) -> DataFrame
 
 
 def with_previous(chunks: DataFrame, keys: list[str], order: list[str], column: str, name: str) -> DataFrame:
-    """``chunks`` with ``name``: ``column`` of the row before in the order of its key; null for the first."""
-    inner = F.lag(column).over(Window.partitionBy(*keys, CHUNK).orderBy(*order))
-    first = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order)) == 1
+    """``chunks`` (of ``spread``) with ``name``: ``column`` of the row before in the order of its key; null for the first."""
+    if CHUNK not in chunks.columns:
+        return chunks.withColumn(name, F.lag(column).over(Window.partitionBy(*keys).orderBy(*order)))
+    by = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     ends = chunks.groupBy(*keys, CHUNK).agg(F.max(F.struct(*order, column))[column].alias("_end"))
     handed = ends.select(*keys, CHUNK, F.lag("_end").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_handed"))
-    placed = chunks.withColumns({"_first": first, name: inner})
+    placed = chunks.withColumns({"_first": F.row_number().over(by) == 1, name: F.lag(column).over(by)})
     return _carried(placed, handed, keys).withColumn(name, F.when(F.col("_first"), F.col("_handed")).otherwise(F.col(name))).drop("_first", "_handed")
 
 
 def running(chunks: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], highest: dict[str, Column] | None = None) -> DataFrame:
-    """``chunks`` with running sums, and running maxima (nulls don't count), of each key's rows in their order."""
+    """``chunks`` (of ``spread``) with running sums, and running maxima (nulls don't count), of each key's rows in their order."""
     highest = highest or {}
     names = [*sums, *highest]
+    total = lambda n, c: F.sum(c) if n in sums else F.max(c)
+    if CHUNK not in chunks.columns:
+        by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return chunks.withColumns({n: F.coalesce(total(n, c).over(by), F.lit(0)) if n in sums else total(n, c).over(by) for n, c in {**sums, **highest}.items()})
     own = chunks.withColumns({f"_v_{n}": c for n, c in {**sums, **highest}.items()})
     inner = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = own.groupBy(*keys, CHUNK).agg(*[(F.sum if n in sums else F.max)(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    totals = own.groupBy(*keys, CHUNK).agg(*[total(n, f"_v_{n}").alias(f"_t_{n}") for n in names])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    handed = totals.select(*keys, CHUNK, *[(F.sum if n in sums else F.max)(f"_t_{n}").over(before).alias(f"_c_{n}") for n in names])
-    placed = own.withColumns({n: (F.sum if n in sums else F.max)(f"_v_{n}").over(inner) for n in names})
+    handed = totals.select(*keys, CHUNK, *[total(n, f"_t_{n}").over(before).alias(f"_c_{n}") for n in names])
+    placed = own.withColumns({n: total(n, f"_v_{n}").over(inner) for n in names})
     whole = {n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0)) if n in sums else F.greatest(n, f"_c_{n}") for n in names}
     return _carried(placed, handed, keys).withColumns(whole).drop(*[f"_{x}_{n}" for n in names for x in "vc"])
 

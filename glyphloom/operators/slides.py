@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions.similarity import gestalt
 from glyphloom.functions.text import is_fragment, is_protected_short, jaccard, normalise, observed_scripts, words
-from glyphloom.operators.sequential import CHUNK, per_group, running, spread, with_previous
+from glyphloom.operators.sequential import CHUNK, ROWS_IN_ORDER, per_group, running, spread, with_previous
 from glyphloom.session import materialize
 
 SAME_SLIDE, SAME_PARAGRAPH = 0.60, 0.65
@@ -22,20 +22,21 @@ def same_slide(previous: Column, current: Column) -> Column:
     return F.startswith(current, previous) | alike
 
 
-def slide_runs(frames: DataFrame, video: str = "video_id", order: tuple[str, ...] = ("frame_number",), text: str = "combined_text") -> DataFrame:
+def slide_runs(frames: DataFrame, video: str = "video_id", order: tuple[str, ...] = ("frame_number",), text: str = "combined_text", counted: DataFrame | None = None, rows: int = ROWS_IN_ORDER) -> DataFrame:
     """Frames with ``slide_number`` (from 1), ``build_index`` (from 0 within the slide) and ``place`` (from 1 within the video).
 
     A slide ends where a frame's text is not the same slide as the one before; a build where the normalised text changes. Comparing with the frame before is
-    exact, as what a slide shows is always its last frame's text. Null texts count as empty. A video's frames are ranged over tasks, whatever their number.
+    exact, as what a slide shows is always its last frame's text. Null texts count as empty. Where a video has more than ``rows`` frames, they are ranged over tasks (see ``spread``).
     """
     keys, by = [video], list(order)
-    chunks = spread(frames.withColumn("_norm", normalise(F.coalesce(F.col(text), F.lit("")))), keys, by)
+    chunks = spread(frames.withColumn("_norm", normalise(F.coalesce(F.col(text), F.lit("")))), keys, by, counted, rows)
+    keep = materialize if CHUNK in chunks.columns else lambda df: df  # what two passes need
     seen = with_previous(chunks, keys, by, "_norm", "_before")
     starts = F.col("_before").isNull() | ~same_slide(F.col("_before"), F.col("_norm"))
-    flagged = materialize(seen.withColumns({"_slide": F.when(starts, 1).otherwise(0), "_changed": F.when(F.col("_before") != F.col("_norm"), 1).otherwise(0)}))
+    flagged = keep(seen.withColumns({"_slide": F.when(starts, 1).otherwise(0), "_changed": F.when(F.col("_before") != F.col("_norm"), 1).otherwise(0)}))
     summed = running(flagged, keys, by, {"slide_number": F.col("_slide"), "place": F.lit(1), "_builds": F.when(F.col("_slide") == 1, 0).otherwise(F.col("_changed"))})
     # A slide's first frame adds no build, so that the builds of all frames up to it are what those before had.
-    led = running(summed, keys, by, {}, {"_lead": F.when(F.col("_slide") == 1, F.col("_builds"))})
+    led = running(keep(summed), keys, by, {}, {"_lead": F.when(F.col("_slide") == 1, F.col("_builds"))})
     return led.withColumn("build_index", F.col("_builds") - F.col("_lead")).drop("_before", "_slide", "_changed", "_builds", "_lead", CHUNK)
 
 

@@ -33,7 +33,7 @@ def last_frames(spark: SparkSession, folder: str, *more: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, folder: str, *more: str) -> DataFrame:
-    return ops.slide_runs(last_frames(spark, folder, *more), order=ORDER)
+    return ops.slide_runs(last_frames(spark, folder, *more), order=ORDER, counted=table(spark, folder, "frames", "video_id"))
 
 
 @query(f"WITH {FRAMES} SELECT video_id, slide_number::BIGINT AS slide_number, count(*) AS frames, min(frame_number) AS first_frame, max(frame_number) AS last_frame FROM b GROUP BY video_id, slide_number")
@@ -49,7 +49,7 @@ def build_runs(spark: SparkSession, folder: str) -> DataFrame:
 @query(f'WITH {FRAMES} SELECT frame_id, round(CASE WHEN every = 0 THEN 1.0 ELSE "both" / every END, 9) AS similarity FROM j WHERE before IS NOT NULL')
 def word_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     rows = last_frames(spark, folder).select("frame_id", "video_id", "frame_number", F.coalesce("combined_text", F.lit("")).alias("text"))
-    chunks = spread(rows, ["video_id"], list(ORDER))
+    chunks = spread(rows, ["video_id"], list(ORDER), table(spark, folder, "frames", "video_id"))
     return with_previous(chunks, ["video_id"], list(ORDER), "text", "before").filter("before IS NOT NULL").select("frame_id", F.round(jaccard(words(F.col("before")), words(F.col("text"))), 9).alias("similarity"))
 
 
@@ -64,7 +64,7 @@ def frame_compare_sets(spark: SparkSession, folder: str) -> DataFrame:
     """Each frame's lines against those of the frame before: shared, added and removed."""
     lines = table(spark, folder, "text_lines", "line_id", "frame_id", "video_id", "frame_number", "text").distinct().filter("text IS NOT NULL AND frame_id IS NOT NULL AND video_id IS NOT NULL")
     own = lines.withColumn("line", normalise(F.col("text"))).groupBy("frame_id").agg(F.min("video_id").alias("video_id"), F.min("frame_number").alias("frame_number"), F.array_join(F.collect_set("line"), "\n").alias("b"))
-    chunks = spread(own, ["video_id"], list(ORDER))
+    chunks = spread(own, ["video_id"], list(ORDER), table(spark, folder, "frames", "video_id"))
     found = frame_ops.compare_line_sets(F.col("a"), F.col("b"))
     return with_previous(chunks, ["video_id"], list(ORDER), "b", "a").filter("a IS NOT NULL").select("frame_id", *[c.alias(n) if n != "similarity" else F.round(c, 9).alias(n) for n, c in found.items()])
 

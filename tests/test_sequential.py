@@ -23,15 +23,17 @@ def test_chunks_hand_over(spark):
     rng = random.Random(4)
     data = [(rng.choice(["hot"] * 8 + ["a", "b", None]), k, rng.choice([1, 2, None])) for k in range(3000)]
     df = spark.createDataFrame(data, "key string, k int, v int")
-    chunks = spread(df, ["key"], ["k"])
+    whole = spread(df, ["key"], ["k"])
+    assert CHUNK not in whole.columns and CHUNK not in spread(df.limit(0), ["key"], ["k"], rows=5).columns
+    chunks = spread(df, ["key"], ["k"], rows=100)
     assert chunks.filter("key = 'hot'").select(CHUNK).distinct().count() > 2
     by = Window.partitionBy("key").orderBy("k")
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    got = running(with_previous(chunks, ["key"], ["k"], "v", "p"), ["key"], ["k"], {"s": F.col("v"), "n": F.lit(1)}, {"m": F.col("v") * F.col("k")})
+    both = [running(with_previous(x, ["key"], ["k"], "v", "p"), ["key"], ["k"], {"s": F.col("v"), "n": F.lit(1)}, {"m": F.col("v") * F.col("k")}) for x in (chunks, whole)]
     want = df.withColumns({"p": F.lag("v").over(by), "s": F.coalesce(F.sum("v").over(upto), F.lit(0)), "n": F.row_number().over(by).cast("long"), "m": F.max(F.col("v") * F.col("k")).over(upto)})
     columns = ["key", "k", "v", "p", "s", "n", "m"]
-    assert rows(got.select(columns)) == rows(want.select(columns))
-    assert running(spread(df.limit(0), ["key"], ["k"]), ["key"], ["k"], {"s": F.col("v")}).count() == 0
+    for got in both:
+        assert rows(got.select(columns)) == rows(want.select(columns))
 
 
 def test_slides_of_one_long_video(spark):
@@ -43,7 +45,7 @@ def test_slides_of_one_long_video(spark):
         shown = shown or ""
         texts.append(shown or None)
     df = spark.createDataFrame([("v", k, t) for k, t in enumerate(texts)], "video_id string, frame_number long, combined_text string")
-    got = [(r.slide_number, r.build_index, r.place) for r in slide_runs(df).orderBy("frame_number").collect()]
+    found = [[(r.slide_number, r.build_index, r.place) for r in slide_runs(df, rows=n).orderBy("frame_number").collect()] for n in (100, 5000)]
     expected, slide, build, before = [], 0, 0, None
     for place, t in enumerate(texts, 1):
         norm = " ".join((t or "").split())
@@ -55,4 +57,4 @@ def test_slides_of_one_long_video(spark):
         slide, build = (slide, build + (before != norm)) if same else (slide + 1, 0)
         expected.append((slide, build, place))
         before = norm
-    assert got == expected
+    assert found == [expected, expected]
