@@ -118,12 +118,7 @@ def p6_segments(spark: SparkSession, folder: str) -> DataFrame:
 # 7: repeated lines
 @query
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    _, documents = repeated_lines.repeated_document_lines(table(spark, folder, "documents"))
-    _, frames = repeated_lines.repeated_frame_lines(table(spark, folder, "text_lines", "line_id", "video_id", "frame_id", "line_index", "text"))
-    found = frames.select("line_id").distinct()
-    return documents.select(F.lit("document").alias("record_kind"), F.col("doc_id").alias("record_id"), "line_number").unionByName(
-        found.select(F.lit("text_line").alias("record_kind"), F.col("line_id").alias("record_id"), F.lit(0).alias("line_number"))
-    )
+    return repeated_lines.repeated_records(table(spark, folder, "documents"), table(spark, folder, "text_lines", "line_id", "video_id", "frame_id", "line_index", "text"))
 
 
 @query
