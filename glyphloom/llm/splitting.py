@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: From coarse to fine; a cut falls behind each match, except that a section starts with its heading.
 SEPARATORS = [re.compile(p) for p in (rb"\n(?=#{1,6} )|\f", rb"\n[ \t]*\n+", rb"\n", rb"(?:[.!?]|\xe2\x80\xa6|\xe3\x80\x82)[\"')\]]*\s+", rb"\s+")]
+NO_ROOM = "a piece must have room for a character beside its overlap"
 LEVELS = ["section", "paragraph", "line", "sentence", "word", "character"]
 
 
@@ -66,7 +67,7 @@ def _tail(data: bytes, start: int, end: int, overlap: int) -> int:
 def pieces(text: str, capacity: int, overlap: int) -> list[tuple[int, int, int]]:
     """Byte ranges (start, end of overlap, end) of the pieces of ``text``: the first has no overlap, an empty text one empty piece."""
     if capacity < 4 or not 0 <= overlap < capacity - 3:
-        raise ValueError("a piece must have room for a character beside its overlap")
+        raise ValueError(NO_ROOM)
     data = text.encode("utf-8", "surrogatepass")
     if len(data) <= capacity:
         return [(0, 0, len(data))]
@@ -81,9 +82,9 @@ def pieces(text: str, capacity: int, overlap: int) -> list[tuple[int, int, int]]
 
 
 def split_oversized(documents: DataFrame, specs: DataFrame) -> DataFrame:
-    """``spec_id, doc_id, piece_number, start_byte, fresh_byte, end_byte, piece_bytes, text`` for every document and ``split`` spec.
+    """``spec_id, doc_id, piece_number, start_byte, fresh_byte, end_byte, piece_bytes, text, error`` for every document and ``split`` spec.
 
-    A document within the capacity is one piece and never leaves the JVM; a null text counts 0 bytes and is one piece with
+    A spec whose pieces have no room for a character beside their overlap cannot cut anything: documents above its capacity are a row each with ``error``, without a piece. A document within the capacity is one piece and never leaves the JVM; a null text counts 0 bytes and is one piece with
     null text. ``start_byte`` to ``fresh_byte`` is the overlap. Repeated rows give repeated pieces. Specs come from a table of fixed
     size. Only ``doc_id`` and ``text`` are read; extra columns are ignored.
     """
@@ -91,10 +92,13 @@ def split_oversized(documents: DataFrame, specs: DataFrame) -> DataFrame:
     sized = documents.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes"))
     each = _with_specs(sized, wanted)
     fits = each.filter(F.col("_bytes") <= F.col("capacity_tokens")).select(
-        "spec_id", "doc_id", F.lit(1).alias("piece_number"), F.lit(0).cast("long").alias("start_byte"), F.lit(0).cast("long").alias("fresh_byte"), F.col("_bytes").alias("end_byte"), F.col("_bytes").alias("piece_bytes"), "text"
+        "spec_id", "doc_id", F.lit(1).alias("piece_number"), F.lit(0).cast("long").alias("start_byte"), F.lit(0).cast("long").alias("fresh_byte"), F.col("_bytes").alias("end_byte"), F.col("_bytes").alias("piece_bytes"), "text", F.lit(None).cast("string").alias("error")
     )
-    large = each.filter(F.col("_bytes") > F.col("capacity_tokens")).select("spec_id", "doc_id", "text", "capacity_tokens", "overlap_tokens")
-    return fits.unionByName(large.mapInPandas(_cut, fits.schema))
+    large = each.filter(F.col("_bytes") > F.coalesce("capacity_tokens", F.lit(-1))).select("spec_id", "doc_id", "text", "capacity_tokens", "overlap_tokens")
+    sound = F.coalesce((F.col("capacity_tokens") >= 4) & (F.col("overlap_tokens") >= 0) & (F.col("overlap_tokens") < F.col("capacity_tokens") - 3), F.lit(False))
+    nothing = [F.lit(None).cast(fits.schema[c].dataType).alias(c) for c in fits.columns[2:-1]]
+    failed = large.filter(~sound).select("spec_id", "doc_id", *nothing, F.lit(NO_ROOM).alias("error"))
+    return fits.unionByName(large.filter(sound).mapInPandas(_cut, fits.schema)).unionByName(failed)
 
 
 def _with_specs(sized: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -112,5 +116,5 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for spec, doc, text, capacity, overlap in batch.itertuples(index=False):
             data = text.encode("utf-8", "surrogatepass")
             for k, (start, fresh, end) in enumerate(pieces(text, int(capacity), int(overlap)), 1):
-                rows.append((spec, doc, k, start, fresh, end, end - start, data[start:end].decode("utf-8", "surrogatepass")))
-        yield pd.DataFrame(rows, columns=["spec_id", "doc_id", "piece_number", "start_byte", "fresh_byte", "end_byte", "piece_bytes", "text"])
+                rows.append((spec, doc, k, start, fresh, end, end - start, data[start:end].decode("utf-8", "surrogatepass"), None))
+        yield pd.DataFrame(rows, columns=["spec_id", "doc_id", "piece_number", "start_byte", "fresh_byte", "end_byte", "piece_bytes", "text", "error"])

@@ -60,3 +60,12 @@ def test_tables(spark):
     assert got.filter("doc_id = 2 AND spec_id = 3").count() > 1 and got.filter("spec_id = 4").count() == 5
     assert {r.piece_bytes for r in got.filter("doc_id IN (3, 4)").collect()} == {0} and got.filter("doc_id = 4").count() == 4
     assert sp.split_oversized(docs.limit(0), specs).count() == 0 and sp.split_oversized(docs, specs.limit(0)).count() == 0
+
+
+def test_a_spec_without_room_fails_its_documents_alone(spark):
+    specs = spark.createDataFrame([(1, "split", 3, 0), (2, "split", 10, 8), (3, "split", 10, 2), (4, "split", None, 0)], "spec_id int, purpose string, capacity_tokens int, overlap_tokens int")
+    docs = spark.createDataFrame([(1, "abc"), (2, "a longer text here"), (3, None)], "doc_id long, text string")
+    got = sp.split_oversized(docs, specs)
+    failed = {(r.spec_id, r.doc_id) for r in got.filter("error IS NOT NULL").collect()}
+    assert failed == {(1, 2), (2, 2), (4, 1), (4, 2), (4, 3)} and got.filter("error IS NOT NULL AND piece_number IS NOT NULL").count() == 0
+    assert got.filter("spec_id = 3 AND doc_id = 2").count() > 1 and got.filter("error IS NULL AND spec_id = 1").count() == 2
