@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphloom.functions.text import collapse
+
 COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("substitutions", "deletions", "insertions", "errors")])
 
 
@@ -78,9 +80,14 @@ def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def composed(text: pd.Series) -> pd.Series:
+def nfc(text: pd.Series) -> pd.Series:
+    """Canonical composition, which no built-in expression offers."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(text: Column) -> Column:
     """Canonical composition with white space collapsed."""
-    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()))
+    return collapse(nfc(text))
 
 
 @F.pandas_udf(T.StringType())

@@ -102,7 +102,7 @@ def join_fragments(left: Column, right: Column, overlap: Column) -> Column:
     a, b = F.trim(left), F.trim(right)
     shared = shared_boundary(a, b)
     stitched = F.when(shared > 0, F.concat(F.left(a, F.length(a) - shared), b)).when((F.length(a) == 1) & a.rlike(r"^\p{Lu}$") & b.rlike(r"^\p{Ll}"), F.concat(a, b))
-    bound = b.rlike(r"^[.,;:!?)\]}]") | a.rlike(r"[(\[{]$")
+    bound = b.rlike(r"^[.,;:!?)\]}]") | a.rlike(r"[(\[{]$")  # fixed values: signs that bind to what is before or behind them
     plain = F.when(bound, F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
     return F.when(a == "", b).when(b == "", a).when(overlap, F.coalesce(stitched, plain)).otherwise(plain)
 

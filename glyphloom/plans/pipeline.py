@@ -369,7 +369,7 @@ def boundary_stitches(spark: SparkSession, folder: str) -> DataFrame:
 def text_forms(spark: SparkSession, folder: str) -> DataFrame:
     """A region's text with plain line ends, in composed form, and as words of letters."""
     rows = regions(spark, folder, "text").filter("text IS NOT NULL")
-    return rows.select("region_id", unix_lines(F.col("text")).alias("unix"), similarity.composed("text").alias("composed"), letter_words(F.col("text")).alias("words"))
+    return rows.select("region_id", unix_lines(F.col("text")).alias("unix"), similarity.composed(F.col("text")).alias("composed"), letter_words(F.col("text")).alias("words"))
 
 
 @query(
