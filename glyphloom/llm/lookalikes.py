@@ -17,11 +17,10 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from glyphloom.functions.similarity import nfc as composed
 from glyphloom.functions.text import observed_scripts
 from glyphloom.session import join_hot, materialize
 
@@ -120,12 +119,6 @@ def mapped(text: Column) -> Column:
     return F.when(both, F.array_join(F.transform(F.split(out, bound), word), "")).otherwise(out)
 
 
-@F.pandas_udf(T.StringType())
-def composed(text: pd.Series) -> pd.Series:
-    """Canonical composition, which no built-in expression offers."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
 def visible(text: Column) -> Column:
     """``text`` without characters that cannot be seen; joiners stay beside letters of scripts that need them."""
     # Joiners that belong are put aside as noncharacters: a look-behind would see half of a character beyond the basic plane.

@@ -61,6 +61,7 @@ OPEN, FILLERS, TEMPLATE_SHARE = 3, 4, 1e-3
 _PAGE = re.compile(
     r"(?i)\s*(?:(?:page|pg\.?|p\.|seite|s\.|página|pagina|pág\.|slide|folie|стр\.?|страница)\s*\d{1,4}(?:\s*(?:of|/|von|de|sur|из)\s*\d{1,4})?|\d{1,3}|[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]|\d{1,4}\s*/\s*\d{1,4})\s*"
 )
+_DIGIT = re.compile(r"\d")
 _EDGE = re.compile(r"^\d{1,4}\s{2,}|\s+\d{1,4}$")
 _PARTS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]")
 _TOKEN = re.compile(r"(?:[^\W_]|[!|])(?:[^\s\"“”«»(){}\[\],;:?…]*(?:[^\W_]|[!|]))?")
@@ -103,14 +104,17 @@ class Furniture:
             return False
         found = self.cache.get(text)
         if found is None:
-            found = _PAGE.fullmatch(text) is not None or self._fits(text)
+            found = (_DIGIT.search(text) is not None and _PAGE.fullmatch(text) is not None) or self._fits(text)
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[text] = found
         return found
 
     def _fits(self, text: str) -> bool:
-        if not self.keys or self.keys.isdisjoint(x.lower() for x in _PARTS.findall(text)):
+        low = text.lower()
+        if len(self.keys) < 64 and not any(key in low for key in self.keys):
+            return False
+        if self.keys.isdisjoint(x.lower() for x in _PARTS.findall(text)):
             return False
         return any(form in self.known for part in {text, _EDGE.sub("", text)} for form, _ in templates(part))
 
@@ -540,12 +544,18 @@ def _known(shared) -> tuple[Lexicon, Furniture]:
 def _examine(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, furniture = _known(shared)
+        seen: dict[tuple[str, str, str], tuple[bool, bool]] = {}  # frames of a slide show the same regions
         for batch in batches:
             rows = []
-            for kind, key, text, before, after, line, known in batch.itertuples(index=False):
+            for kind, key, text, before, after, line, known in zip(*[batch[c].tolist() for c in batch.columns]):
                 if kind == "region":
                     found = bool(known) or (line or "") in furniture
-                    broken, misread = noise(lexicon, text, before or "", after or "")[:2]
+                    place = (text, before or "", (after or "") if text.rstrip()[-1:] in MARKS else "")
+                    if (both := seen.get(place)) is None:
+                        if len(seen) > 100_000:
+                            seen.clear()
+                        both = seen[place] = noise(lexicon, *place)[:2]
+                    broken, misread = both
                 else:
                     kept, found = page_lines(furniture, text)
                     broken, misread = noise(lexicon, "\n".join(kept))[:2]
