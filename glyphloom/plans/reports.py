@@ -103,9 +103,12 @@ def content_digest(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT row_number() OVER (ORDER BY mix_id, source) - 1 AS place, split_part(source, '.', 1) AS s FROM mix_targets WHERE source IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY lower(s) ORDER BY place) AS k FROM t)
+SELECT place::INT AS place, CASE WHEN k = 1 THEN left(s, 31) ELSE left(s, 27) || ' (' || k || ')' END AS sheet FROM k"""
+)
 def workbook_plan(spark: SparkSession, folder: str) -> DataFrame:
-    """Sheet names for the sources of the fixed mix table, in order: a driver-side plan of a few dozen names; rows only."""
+    """Sheet names for the sources of the fixed mix table, in order: a driver-side plan of a few dozen names. (The SQL knows names that occur up to nine times, and no clash of a cut name with another.)"""
     from glyphloom.operators.translation import planned_names
 
     names = [r[0] for r in table(spark, folder, "mix_targets", "mix_id", "source").filter("source IS NOT NULL").orderBy("mix_id", "source").select(safe_name(F.split_part("source", F.lit("."), F.lit(1)))).collect()]
