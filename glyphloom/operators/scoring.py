@@ -76,3 +76,12 @@ def difference_labels(reference: Column, candidate: Column) -> Column:
     ]
     generic = (r != c) & ~spacing & ~capitals & ~punctuation & (lines[0] == lines[1])
     return F.array_compact(F.array(*[F.when(x, F.lit(n)) for x, n in named], F.when(generic, F.lit("text"))))
+
+
+def report(scored_pairs: DataFrame, group: str, key: str, worst: int = 5) -> DataFrame:
+    """``section, name, cer`` of an accuracy report, from ``e`` errors, ``n`` characters and the ``rate`` of each pair: over all (weighted by length, and the mean), per group, and of the ``worst`` pairs, ties by key."""
+    weighted = F.round(F.try_divide(F.sum("e"), F.sum("n")), 9)
+    whole = scored_pairs.agg(weighted.alias("w"), F.round(F.avg("rate"), 9).alias("m")).select(F.inline(F.array(F.struct(F.lit("all").alias("section"), F.lit("weighted").alias("name"), F.col("w").alias("cer")), F.struct(F.lit("all").alias("section"), F.lit("mean").alias("name"), F.col("m").alias("cer")))))
+    groups = scored_pairs.groupBy(F.col(group).alias("name")).agg(weighted.alias("cer")).select(F.lit("video").alias("section"), "name", "cer")
+    top = scored_pairs.filter("n > 0").orderBy(F.desc("rate"), key).limit(worst).select(F.lit("worst").alias("section"), F.col(key).cast("string").alias("name"), F.round("rate", 9).alias("cer"))
+    return whole.unionByName(groups).unionByName(top)

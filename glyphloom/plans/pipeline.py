@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import similarity
 from glyphloom.functions.text import frame_count, join_fragments, letter_words, shared_boundary, unix_lines
-from glyphloom.operators import confidence, engines, exports, lines, translation, visual
+from glyphloom.operators import confidence, engines, exports, lines, scoring, translation, visual
 from glyphloom.plans.base import LATEST_REGIONS, query
 from glyphloom.plans.confidence import regions
 from glyphloom.plans.layout import BOXED, _reading
@@ -290,6 +290,26 @@ def preprocessing_aggregate(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy((F.col("benchmark_id") % 3).alias("variant")).agg(F.sum("e").alias("character_edits"), F.sum("n").alias("reference_characters"), F.sum("w").alias("reference_words"), F.round(F.try_divide(F.sum("e"), F.sum("n")), 9).alias("cer"))
 
 
+@query(
+    f"""WITH {EDITED}, d AS (SELECT benchmark_id, video_id, e, n, CASE WHEN n > 0 THEN e / n END AS rate FROM s)
+SELECT 'all' AS section, 'weighted' AS name, round(sum(e) / nullif(sum(n), 0), 9) AS cer FROM d UNION ALL SELECT 'all', 'mean', round(avg(rate), 9) FROM d
+UNION ALL SELECT 'video', video_id, round(sum(e) / nullif(sum(n), 0), 9) FROM d GROUP BY video_id UNION ALL SELECT 'worst', benchmark_id::VARCHAR, round(rate, 9) FROM (SELECT * FROM d WHERE n > 0 ORDER BY rate DESC, benchmark_id LIMIT 5)"""
+)
+def accuracy_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the accuracy report: rates of all slides, of each video, and of the five worst slides."""
+    scored = _edited(spark, folder).withColumn("rate", F.when(F.col("n") > 0, F.col("e") / F.col("n")))
+    return scoring.report(scored, "video_id", "benchmark_id")
+
+
+@query(
+    f"""SELECT region_id, slide_number::BIGINT AS slide_number, build_index::BIGINT AS build_index FROM (WITH {LATEST_REGIONS} SELECT region_id, frame_id FROM l) JOIN (WITH {FRAMES} SELECT frame_id, slide_number, build_index FROM b) USING (frame_id)"""
+)
+def region_slides(spark: SparkSession, folder: str) -> DataFrame:
+    """The slide and build that each region's frame belongs to."""
+    places = runs(spark, folder).select("frame_id", "slide_number", "build_index")
+    return regions(spark, folder, "frame_id").join(places, "frame_id").select("region_id", "slide_number", "build_index")
+
+
 # Names, categories, look-ups
 @query(r"""SELECT DISTINCT source, export_kind, CASE WHEN regexp_full_match(lower(trim(source)), '[a-z][a-z0-9_-]*') THEN lower(trim(source)) END AS a, CASE WHEN regexp_full_match(lower(trim(' ' || upper(export_kind))), '[a-z][a-z0-9_-]*') THEN lower(trim(export_kind)) END AS b FROM documents""")
 def provider_names(spark: SparkSession, folder: str) -> DataFrame:
