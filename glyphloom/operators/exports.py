@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from glyphloom.operators.sequential import per_group
+from glyphloom.session import if_small, join_hot, materialize
 
 # The columns of files and sheets.
 CSV_COLUMNS = ["Slide Number", "Paragraph Type", "Paragraph Text"]
 STATISTICS_COLUMNS = "ocr_region_count ocr_confidence_minimum ocr_confidence_maximum ocr_confidence_mean ocr_confidence_median ocr_below_threshold_count ocr_below_threshold_proportion ocr_confidence_threshold".split()
 SHEET_COLUMNS = ["Slide", "Original Text", "Initial AI Translation", "Modified Translation", "Verified"]
 TRANSLATION_COLUMNS = ["Source Item", "Slide", "Original Text", "Target Language", "Initial AI Translation", "Translation Status", "Provider", "Model", "Request ID", "Source Reference", "Source Type", "Error", "Review Status", "Review Warnings"]
-#: Sheets that a workbook holds at most; their names are planned together.
-MOST_SHEETS = 1000
+#: Names whose first so many characters differ (in lower case, up to a number in brackets) stay different when they are cut and numbered.
+NAME_BLOCK = 16
 
 
 def csv_rows(paragraphs: DataFrame, slide: str, kind: str, text: str) -> DataFrame:
@@ -32,16 +38,38 @@ def sheet_rows(paragraphs: DataFrame, slide: str, text: str) -> list[Column]:
     return [F.col(slide).alias(SHEET_COLUMNS[0]), F.col(text).alias(SHEET_COLUMNS[1]), *[F.lit("").alias(c) for c in SHEET_COLUMNS[2:]]]
 
 
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("_name", "_low", "_block")]))
+def sheet_name(document: pd.Series) -> pd.DataFrame:
+    """A document's name as a sheet may have it, not yet unique; as it is cut, in lower case; and what it shares with every name that it may clash with, numbered or not."""
+    names = [re.sub(r"[:\\/?*\[\]]", "_", str(d)).strip() or "Video" for d in document]
+    lows = [n[:31].lower() for n in names]
+    return pd.DataFrame({"_name": names, "_low": lows, "_block": [low.replace("ς", "σ").split(" (")[0][:NAME_BLOCK] for low in lows]})
+
+
+def _named(_: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
+    from glyphloom.operators.translation import planner
+
+    plan = planner()
+    return ((document, count, plan(name)) for _, _, document, count, name in rows)
+
+
 def consolidated(rows: DataFrame, document: str, place: str) -> DataFrame:
-    """``rows`` with ``sheet``, the unique name of their document's sheet in one workbook, in the order of ``place`` (the first of each document's); raises without rows, and beyond ``MOST_SHEETS``."""
-    from glyphloom.operators.translation import planned_names
-
-    documents = [r[0] for r in rows.groupBy(document).agg(F.min(place).alias("_p")).orderBy("_p", document).limit(MOST_SHEETS + 1).collect()]
-    if not documents or len(documents) > MOST_SHEETS:
-        raise ValueError("a workbook has from 1 to 1000 sheets")
-    clean = [(re.sub(r"[:\\/?*\[\]]", "_", str(d)).strip() or "Video") for d in documents]
-    names = rows.sparkSession.createDataFrame(list(zip(documents, planned_names(clean))), f"`{document}` {rows.schema[document].dataType.simpleString()}, sheet string")
-    return rows.join(F.broadcast(names), document)
+    """``rows`` with ``sheet``, the unique name of their document's sheet in one workbook, in the order of ``place`` (the first of each document's); raises without documents, of which there may be any number.
+
+    Names that no other is like, and that do not end with a number as given to names that are, stay as they are. All others are planned in order, those
+    of one block (see ``sheet_name``) together, as names of different blocks never clash.
+    """
+    each = rows.filter(F.col(document).isNotNull()).groupBy(F.col(document).alias("_document")).agg(F.min(place).alias("_place"), F.count("*").alias("_rows"))
+    named = materialize(each.withColumn("_n", sheet_name("_document")).select("_document", "_place", "_rows", "_n.*"))
+    if named.isEmpty():
+        raise ValueError("a workbook has at least one sheet")
+    like = (F.count("*").over(Window.partitionBy("_low")) > 1) | F.col("_low").rlike(r" \([0-9]+\)$")
+    told = named.withColumn("_like", like)
+    alone = told.filter(~F.col("_like")).select("_document", "_rows", F.left("_name", F.lit(31)).alias("sheet"))
+    others = told.filter("_like").select("_block", "_place", "_document", "_rows", "_name")
+    planned = per_group(others, ["_block"], ["_place", "_document"], _named, f"_document {rows.schema[document].dataType.simpleString()}, _rows long, sheet string")
+    names = materialize(alone.unionByName(planned)).withColumnRenamed("_document", document)
+    return join_hot(rows, if_small(names), document, "_rows", "inner")
 
 
 def translation_rows(records: DataFrame) -> DataFrame:

@@ -88,19 +88,30 @@ def may_be_copied(source: Column, result: Column) -> Column:
     return enough & ~source.rlike(r"(?i)https?://|www\.") & ~result.rlike(r"(?i)https?://|www\.")
 
 
-def planned_names(names: list[str], most: int = 31) -> list[str]:
-    """Unique names in order: a name that was used (whatever its case) gets the next free number, its stem cut to fit. A plan has a few dozen names at most, and each depends on all before."""
+def planner(most: int = 31) -> Callable[[str], str]:
+    """Gives each name in turn a unique one: a name that was used (whatever its case) gets the next free number, its stem cut to fit. Numbers that a stem has found taken are not tried again."""
     used: set[str] = set()
-    out = []
-    for name in names:
-        stem, k, candidate = name[:most], 1, name[:most]
-        while candidate.lower() in used:
-            k += 1
-            end = f" ({k})"
+    last: dict[str, int] = {}
+
+    def plan(name: str) -> str:
+        stem = name[:most]
+        k = last.get(stem, 1)
+        while True:
+            end = f" ({k})" if k > 1 else ""
             candidate = stem[: most - len(end)] + end
+            if candidate.lower() not in used:
+                break
+            k += 1
+        last[stem] = k
         used.add(candidate.lower())
-        out.append(candidate)
-    return out
+        return candidate
+
+    return plan
+
+
+def planned_names(names: list[str], most: int = 31) -> list[str]:
+    """Unique names in order, by ``planner``. A plan has a few dozen names at most, and each depends on all before."""
+    return list(map(planner(most), names))
 
 
 # States of a review, labels of its priority, and the least likeness to its source of a translation that may be a copy.

@@ -1,5 +1,8 @@
 """Engines, pages, batches, sheets and reviews on small tables."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +103,25 @@ def test_sheets_of_one_workbook(spark):
         exports.consolidated(df.limit(0), "video", "place")
 
 
+def test_any_number_of_sheets(spark):
+    df = spark.range(1500).selectExpr("concat('vid-', lpad(id, 6, '0')) AS video", "id AS place")
+    got = exports.consolidated(df, "video", "place").collect()
+    assert len(got) == 1500 and all(r.sheet == r.video for r in got)
+
+
+def test_sheets_are_planned_in_blocks_as_all_together(spark):
+    rng = random.Random(3)
+    ends = ["", "", " (2)", " (3)", " (2) (2)", " (2", "Σ", "ς", " x", "İ", "ß", "/", "?"]
+    names = sorted({"".join(rng.choice("aAbΣς")[0] * rng.choice([0, 1, 2, 13, 14, 15, 22]) for _ in range(2)) + "".join(rng.choice(ends) for _ in range(3)) + rng.choice(["", "", "y" * 15, " " * 12]) for _ in range(2500)} | {"", "VIDEO", "Video (2)"})
+    rng.shuffle(names)
+    given = [re.sub(r"[:\\/?*\[\]]", "_", n).strip() or "Video" for n in names]
+    df = spark.createDataFrame([(n, k) for k, n in enumerate(names)] + [(n, 10_000) for n in names[:9]] + [(None, 0)], "video string, place int")
+    rows = exports.consolidated(df, "video", "place").collect()
+    got = {r.video: r.sheet for r in rows}
+    assert len(rows) == len(names) + 9 and [got[n] for n in names] == translation.planned_names(given)
+    assert len({s.lower() for s in got.values()}) == len(names) > 1000 and max(map(len, got.values())) == 31
+
+
 def test_secrets_stay_out_of_metadata(spark):
     df = spark.createDataFrame([(1, "v", {"model": "m", "API-Key": "k", "clientSecret": "s"}), (2, None, None)], "k int, f string, m map<string,string>")
     assert rows(exports.metadata_rows(df, "k", ["f"], "m")) == [(1, "f", "v"), (1, "model", "m")]
